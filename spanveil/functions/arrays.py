@@ -1,38 +1,30 @@
-"""Array helpers for work that stays inside one row."""
+"""Array expressions for work that stays inside one row.
 
-from __future__ import annotations
-
-from collections.abc import Callable
+The helpers take and return SQL expression text. A long expression is parsed by
+Spark in one step; built call by call from Python it takes seconds.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and hand it to ``body``.
+def bind(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` standing for ``value``, evaluated once.
 
     Inside a lambda Spark does not share common subexpressions, so a value used
     twice there would be computed twice.
     """
-    return F.transform(F.array(value), body)[0]
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def running_total(numbers: Column) -> Column:
+def running_total(numbers: str) -> str:
     """Inclusive prefix sums of an int array.
 
     Each round adds the element ``2**k`` places to the left, so n numbers take
     log2(n) passes. A fold that appends to its own accumulator would copy the
     array at every step and need n**2 work for a text with n pieces.
     """
-    last_round = F.greatest(F.ceil(F.log2(F.size(numbers))), F.lit(0)).cast("int")
-    return F.aggregate(
-        F.sequence(F.lit(0), last_round),
-        numbers,
-        lambda sums, k: bind(
-            F.pow(F.lit(2), k).cast("int"),
-            lambda step: F.transform(
-                sums,
-                lambda x, i: x + F.coalesce(F.when(i >= step, F.get(sums, i - step)), F.lit(0)),
-            ),
-        ),
+    add_left = "transform(sums, (x, i) -> x + coalesce(if(i >= step, get(sums, i - step), 0), 0))"
+    return (
+        f"aggregate(sequence(0, cast(ceil(log2(greatest(size({numbers}), 1))) as int)), {numbers}, "
+        f"(sums, k) -> {bind('shiftleft(1, k)', 'step', add_left)})"
     )

@@ -11,6 +11,16 @@ from spanveil.functions.arrays import bind
 WHITESPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
+def quoted(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def name(column: str) -> str:
+    """A SQL identifier."""
+    return "`" + column.replace("`", "``") + "`"
+
+
 def strip(col: Column) -> Column:
     """Drop leading and trailing whitespace, Unicode whitespace included."""
     return F.btrim(col, F.lit(WHITESPACE))
@@ -21,11 +31,10 @@ def normalise_newlines(col: Column) -> Column:
     return F.regexp_replace(col, "\r\n?", "\n")
 
 
-def find(text: Column, value: Column) -> Column:
+def find(text: str, value: str) -> str:
     """0-based index of the first occurrence of ``value``, null when absent.
 
-    An empty value is found at 0 in any text.
+    An empty value is found at 0 in any text. SQL text in and out.
     """
-    return F.when(value == "", F.lit(0)).otherwise(
-        bind(F.position(value, text), lambda at: F.when(at > 0, at - 1))
-    )
+    index = bind(f"position({value}, {text})", "hit", "if(hit > 0, hit - 1, null)")
+    return f"CASE WHEN {value} = '' THEN 0 ELSE {index} END"

@@ -10,11 +10,12 @@ of one row; rows need no exchange.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanveil.functions.arrays import bind
-from spanveil.functions.spans import SPANS_DDL, no_spans, span
+from spanveil.functions.spans import NO_SPANS, SPANS_DDL, span
+from spanveil.functions.text import name, quoted
 
 # Placeholder names without digits: GIVENNAME1 and the like do not count by default.
 PLACEHOLDER = "[A-Z]+"
@@ -25,81 +26,45 @@ PLACEHOLDER = "[A-Z]+"
 BLOCK = 64
 
 
-def _steps(redacted: Column, placeholder: str) -> Column:
+def _steps(redacted: str, placeholder: str) -> str:
     """Per placeholder: label, plain characters before it, the character after it."""
-    names = F.regexp_extract_all(redacted, F.lit(rf"\[({placeholder})\]"), F.lit(1))
-    plain = F.split(redacted, rf"\[{placeholder}\]", -1)
+    names = f"regexp_extract_all({redacted}, {quoted(rf'\[({placeholder})\]')}, 1)"
+    plain = f"split({redacted}, {quoted(rf'\[{placeholder}\]')}, -1)"
+    follower = (
+        "CASE WHEN get(cut.plain, k + 1) <> '' THEN left(get(cut.plain, k + 1), 1) "
+        "WHEN k + 1 < size(cut.names) THEN '[' ELSE '' END"
+    )
+    step = f"named_struct('label', label, 'gap', length(get(cut.plain, k)), 'follower', {follower})"
     return bind(
-        F.struct(names.alias("names"), plain.alias("plain")),
-        lambda cut: F.transform(
-            cut["names"],
-            lambda name, k: F.struct(
-                name.alias("label"),
-                F.length(F.get(cut["plain"], k)).alias("gap"),
-                F.when(F.get(cut["plain"], k + 1) != "", F.substring(F.get(cut["plain"], k + 1), 1, 1))
-                .when(k + 1 < F.size(cut["names"]), "[")
-                .otherwise("")
-                .alias("follower"),
-            ),
-        ),
+        f"named_struct('names', {names}, 'plain', {plain})", "cut", f"transform(cut.names, (label, k) -> {step})"
     )
 
 
-def _walk_block(steps: Column, rest: Column, base: Column) -> Column:
+def _walk_block(steps: str, rest: str, base: str) -> str:
     """Walk some steps over ``rest``, the text from offset ``base`` on."""
-    size = F.length(rest)
-
-    def step(state: Column, s: Column) -> Column:
-        start = state["at"] + s["gap"]
-        hit = F.when(s["follower"] == "", 0).otherwise(F.position(s["follower"], rest, start + 1))
-        return bind(
-            F.struct(start.alias("start"), F.when(hit > 0, hit - 1).otherwise(size).alias("end")),
-            lambda p: F.struct(
-                p["end"].alias("at"),
-                F.concat(
-                    state["spans"],
-                    F.array(
-                        span(
-                            s["label"],
-                            F.substring(rest, p["start"] + 1, F.greatest(p["end"] - p["start"], F.lit(0))),
-                            base + p["start"],
-                            base + p["end"],
-                        )
-                    ),
-                ).alias("spans"),
-            ),
-        )
-
-    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), no_spans().alias("spans")), step)
-
-
-def align_spans(original: Column, redacted: Column, placeholder: str = PLACEHOLDER) -> Column:
-    """Entity spans of ``original`` as an array column."""
-
-    def walk(steps: Column) -> Column:
-        blocks = F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / BLOCK).cast("int"))
-        start = F.struct(
-            F.lit(0).alias("base"),
-            original.alias("rest"),
-            F.array().cast(f"ARRAY<{SPANS_DDL}>").alias("blocks"),
-        )
-
-        def next_block(state: Column, b: Column) -> Column:
-            return bind(
-                _walk_block(F.slice(steps, b * BLOCK + 1, F.lit(BLOCK)), state["rest"], state["base"]),
-                lambda done: F.struct(
-                    (state["base"] + done["at"]).alias("base"),
-                    F.substring(state["rest"], done["at"] + 1, F.length(state["rest"])).alias("rest"),
-                    F.concat(state["blocks"], F.array(done["spans"])).alias("blocks"),
-                ),
-            )
-
-        return F.aggregate(blocks, start, next_block, lambda state: F.flatten(state["blocks"]))
-
-    return bind(
-        _steps(redacted, placeholder),
-        lambda steps: F.when(F.size(steps) > 0, walk(steps)).otherwise(no_spans()),
+    value = f"substring({rest}, here.start + 1, greatest(here.end - here.start, 0))"
+    found = span("s.label", value, f"{base} + here.start", f"{base} + here.end")
+    after = f"named_struct('at', here.end, 'spans', concat(walked.spans, array({found})))"
+    hit = f"if(s.follower = '', 0, position(s.follower, {rest}, walked.at + s.gap + 1))"
+    end = bind(hit, "hit", f"if(hit > 0, hit - 1, length({rest}))")
+    step = bind(f"named_struct('start', walked.at + s.gap, 'end', {end})", "here", after)
+    return f"aggregate({steps}, named_struct('at', 0, 'spans', {NO_SPANS}), (walked, s) -> {step})"
+
+
+def align_spans(original: str, redacted: str, placeholder: str = PLACEHOLDER) -> str:
+    """SQL text of the entity spans of ``original``."""
+    block = _walk_block(f"slice(steps, b * {BLOCK} + 1, {BLOCK})", "state.rest", "state.base")
+    after = (
+        "named_struct('base', state.base + done.at, "
+        "'rest', substring(state.rest, done.at + 1), "
+        "'blocks', concat(state.blocks, array(done.spans)))"
+    )
+    start = f"named_struct('base', 0, 'rest', {original}, 'blocks', CAST(array() AS ARRAY<{SPANS_DDL}>))"
+    walk = (
+        f"aggregate(sequence(0, CAST(floor((size(steps) - 1) / {BLOCK}) AS INT)), {start}, "
+        f"(state, b) -> {bind(block, 'done', after)}, state -> flatten(state.blocks))"
     )
+    return bind(_steps(redacted, placeholder), "steps", f"if(size(steps) > 0, {walk}, {NO_SPANS})")
 
 
 def align_redaction(
@@ -110,4 +75,4 @@ def align_redaction(
     output_col: str = "pii_entities",
 ) -> DataFrame:
     """Append the spans recovered from an original and a masked text column."""
-    return df.withColumn(output_col, align_spans(F.col(original_col), F.col(redacted_col), placeholder))
+    return df.withColumn(output_col, F.expr(align_spans(name(original_col), name(redacted_col), placeholder)))

@@ -12,8 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanveil.functions.spans import no_spans
-from spanveil.functions.text import strip
+from spanveil.functions.spans import NO_SPANS
+from spanveil.functions.text import name, strip
 from spanveil.operators.align import PLACEHOLDER, align_spans
 from spanveil.operators.recover import recovered_spans
 from spanveil.operators.rules import DEFAULT_TYPES
@@ -131,7 +131,7 @@ def with_fallback(df: DataFrame, text_col: str, masked: Column, spans: Column) -
     return df.select(
         *columns,
         F.when(failed, F.col(text_col)).otherwise(masked).alias("redacted_text"),
-        F.when(failed, no_spans()).otherwise(spans).alias("pii_entities"),
+        F.when(failed, F.expr(NO_SPANS)).otherwise(spans).alias("pii_entities"),
         failed.alias("failed"),
     )
 
@@ -141,14 +141,14 @@ def read_chat_answers(
 ) -> DataFrame:
     """Result columns from decoded model output that holds the masked text."""
     staged = df.withColumn("_masked", assistant_part(F.col(content_col)))
-    staged = staged.withColumn("_spans", align_spans(F.col(text_col), F.col("_masked"), placeholder))
+    staged = staged.withColumn("_spans", F.expr(align_spans(name(text_col), "_masked", placeholder)))
     return with_fallback(staged, text_col, F.col("_masked"), F.col("_spans")).drop("_masked", "_spans")
 
 
 def read_json_answers(df: DataFrame, text_col: str, raw_col: str) -> DataFrame:
     """Result columns from raw JSON answers; offsets given by the model are not used."""
     staged = df.withColumn("_answer", parse_answer(F.col(raw_col)))
-    staged = staged.withColumn("_spans", recovered_spans(F.col(text_col), F.col("_answer.pii_entities")))
+    staged = staged.withColumn("_spans", F.expr(recovered_spans(name(text_col), "_answer.pii_entities")))
     return with_fallback(staged, text_col, F.col("_answer.redacted_text"), F.col("_spans")).drop(
         "_answer", "_spans"
     )

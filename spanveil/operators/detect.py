@@ -10,42 +10,42 @@ no shuffle, no Python worker, and the same plan runs on a stream.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from functools import reduce
 from itertools import groupby
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanveil.functions.arrays import bind, running_total
-from spanveil.functions.spans import no_spans, span
+from spanveil.functions.spans import NO_SPANS, span
+from spanveil.functions.text import name, quoted
 from spanveil.operators.rules import DEFAULT_RULES, Rule, select_rules
 
 # Two Unicode noncharacters, reserved for use inside a program. MARK fences a
 # match, SLOT separates the rule slots inside the fence. Where a text does hold
 # one of them, it counts as plain text and no entity reaches across it.
-MARK = "﷐"
-SLOT = "﷑"
+MARK = "\ufdd0"
+SLOT = "\ufdd1"
 
 SEGMENTS_DDL = "ARRAY<STRUCT<piece: STRING, label: STRING>>"
 
 
-def _segment(piece: Column, label: Column) -> Column:
-    return F.struct(piece.alias("piece"), label.cast("string").alias("label"))
+def segment(piece: str, label: str = "CAST(NULL AS STRING)") -> str:
+    return f"named_struct('piece', {piece}, 'label', {label})"
 
 
-def _any_of(text: Column, literals: Iterable[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in literals])
+def _contains_any(text: str, literals: Iterable[str]) -> str:
+    return "(" + " OR ".join(f"contains({text}, {quoted(x)})" for x in literals) + ")"
 
 
-def _meets(lower: Column, needs: Sequence[Sequence[str]]) -> Column:
-    return reduce(lambda a, b: a & b, [_any_of(lower, group) for group in needs])
+def holds_reserved(text: str) -> str:
+    return _contains_any(text, (MARK, SLOT))
 
 
 def _gate(rule: Rule) -> str:
     return "" if not rule.needs else "cue" if rule.cue else "literal"
 
 
-def _fence(text: Column, rules: Sequence[Rule], open_gates: frozenset[str]) -> Column:
+def _fence(text: str, rules: Sequence[Rule], open_gates: Iterable[str]) -> str:
     """One regex pass that fences each match of the rules behind open gates.
 
     A match turns into ``cue MARK slot0 SLOT slot1 ... MARK`` in which only the
@@ -68,28 +68,22 @@ def _fence(text: Column, rules: Sequence[Rule], open_gates: frozenset[str]) -> C
                 alternatives.append(f"({rule.pattern})")
                 group += 1
             slots.append(f"${group}")
-        guarded = all(r.starts for r in members)
         # Nested classes, so that a closing hyphen in one rule stays a hyphen.
-        first = f"(?=[{''.join(f'[{r.starts}]' for r in members)}])" if guarded else ""
-        branches.append(f"{first}(?:{'|'.join(alternatives)})")
+        starts = "".join(f"[{r.starts}]" for r in members)
+        guard = f"(?=[{starts}])" if all(r.starts for r in members) else ""
+        branches.append(f"{guard}(?:{'|'.join(alternatives)})")
     if not branches:
         return text
-    replacement = "".join(cues) + MARK + SLOT.join(slots) + MARK
-    return F.regexp_replace(text, F.lit("|".join(branches)), F.lit(replacement))
-
-
-def _label_slots(pieces: Column, rules: Sequence[Rule]) -> Column:
-    """Fenced pieces to segments: text at even, filled slots at odd places."""
-    labels = F.array(*[F.lit(r.label) for r in rules])
-    return F.transform(
-        pieces,
-        lambda piece, i: F.when(i % 2 == 0, _segment(piece, F.lit(None))).otherwise(
-            _segment(
-                F.replace(piece, F.lit(SLOT), F.lit("")),
-                F.get(labels, F.length(piece) - F.length(F.ltrim(piece, F.lit(SLOT)))),
-            )
-        ),
-    )
+    fenced = "".join(cues) + MARK + SLOT.join(slots) + MARK
+    return f"regexp_replace({text}, {quoted('|'.join(branches))}, {quoted(fenced)})"
+
+
+def _label_slots(fenced: str, rules: Sequence[Rule]) -> str:
+    """Fenced text to segments: text at even, filled slots at odd places."""
+    labels = "array(" + ", ".join(quoted(r.label) for r in rules) + ")"
+    slot = f"get({labels}, length(p) - length(ltrim({quoted(SLOT)}, p)))"
+    match = segment(f"replace(p, {quoted(SLOT)}, '')", slot)
+    return f"transform(split({fenced}, {quoted(MARK)}, -1), (p, i) -> if(i % 2 = 0, {segment('p')}, {match}))"
 
 
 def with_segments(df: DataFrame, text_col: str, rules: Sequence[Rule]) -> DataFrame:
@@ -100,76 +94,65 @@ def with_segments(df: DataFrame, text_col: str, rules: Sequence[Rule]) -> DataFr
     such gates, for rules with and without cue words, hence at most four
     patterns, all with the same result on the texts they see.
     """
-    columns = df.columns
-    text = F.col(text_col)
+    text = name(text_col)
     if not rules:
-        return df.select(*columns, F.array(_segment(text, F.lit(None))).alias("_segments"))
+        return df.select("*", F.expr(f"array({segment(text)})").alias("_segments"))
 
     gates = sorted({_gate(r) for r in rules} - {""})
-    flags = [
-        reduce(
-            lambda a, b: a | b,
-            [_meets(F.col("_lower"), needs) for needs in dict.fromkeys(r.needs for r in rules if _gate(r) == g)],
-        ).alias(f"_gate_{g}")
-        for g in gates
-    ]
-    flagged = df.select(*columns, F.lower(text).alias("_lower")).select(*columns, *flags) if gates else df
-
-    # The test wrapped last is made first: it is the one with every gate shut.
-    fenced = _fence(text, rules, frozenset(["", *gates]))
-    for opened in [*([g] for g in gates if len(gates) > 1), *([[]] if gates else [])]:
-        shut = reduce(lambda a, b: a & b, [~F.col(f"_gate_{g}") for g in gates if g not in opened])
-        fenced = F.when(shut, _fence(text, rules, frozenset(["", *opened]))).otherwise(fenced)
-
-    whole = frozenset(["", *gates])
-    around_reserved = F.flatten(
-        F.transform(
-            F.split(text, f"(?<=[{MARK}{SLOT}])|(?=[{MARK}{SLOT}])", -1),
-            lambda part: F.when(_any_of(part, (MARK, SLOT)), F.array(_segment(part, F.lit(None)))).otherwise(
-                _label_slots(F.split(_fence(part, rules, whole), MARK, -1), rules)
-            ),
-        )
-    )
-    segments = F.when(_any_of(text, (MARK, SLOT)), around_reserved).otherwise(
-        _label_slots(F.split(fenced, MARK, -1), rules)
-    )
-    return flagged.select(*columns, segments.alias("_segments"))
-
-
-def masked_text(segments: Column) -> Column:
-    return F.array_join(
-        F.transform(
-            segments,
-            lambda s: F.when(s["label"].isNull(), s["piece"]).otherwise(
-                F.concat(F.lit("["), s["label"], F.lit("]"))
-            ),
-        ),
-        "",
+    every = ["", *gates]
+    staged = df
+    if gates:
+        # A projection each, so that lower() and the gates are computed once.
+        flags = []
+        for gate in gates:
+            needs = dict.fromkeys(r.needs for r in rules if _gate(r) == gate)
+            met = [" AND ".join(_contains_any("_lower", group) for group in need) for need in needs]
+            flags.append(F.expr(" OR ".join(f"({m})" for m in met)).alias(f"_gate_{gate}"))
+        staged = df.select("*", F.expr(f"lower({text})").alias("_lower")).select("*", *flags)
+
+    # From no gate open to all but one; the first case that holds is taken.
+    fenced = _fence(text, rules, every)
+    cases = []
+    for opened in [*([[]] if gates else []), *([g] for g in gates if len(gates) > 1)]:
+        shut = " AND ".join(f"NOT _gate_{g}" for g in gates if g not in opened)
+        cases.append(f"WHEN {shut} THEN {_fence(text, rules, ['', *opened])}")
+    if cases:
+        fenced = f"CASE {' '.join(cases)} ELSE {fenced} END"
+
+    around_reserved = (
+        f"flatten(transform(split({text}, {quoted(f'(?<=[{MARK}{SLOT}])|(?=[{MARK}{SLOT}])')}, -1), "
+        f"part -> if({holds_reserved('part')}, array({segment('part')}), "
+        f"{_label_slots(_fence('part', rules, every), rules)})))"
     )
+    segments = f"CASE WHEN {holds_reserved(text)} THEN {around_reserved} ELSE {_label_slots(fenced, rules)} END"
+    extra = ["_lower", *(f"_gate_{g}" for g in gates)] if gates else []
+    return staged.select("*", F.expr(segments).alias("_segments")).drop(*extra)
 
 
-def segment_spans(segments: Column) -> Column:
-    """Entity spans of a segment array, in text order."""
-    lengths = F.transform(segments, lambda s: F.length(s["piece"]))
-    located = bind(
-        running_total(lengths),
-        lambda ends: F.transform(
-            segments,
-            lambda s, i: span(s["label"], s["piece"], F.get(ends, i) - F.length(s["piece"]), F.get(ends, i)),
-        ),
-    )
-    return F.filter(located, lambda s: s["label"].isNotNull())
+def masked_text(segments: str) -> str:
+    """SQL text of the masked form of a segment array."""
+    return f"array_join(transform({segments}, s -> if(s.label IS NULL, s.piece, concat('[', s.label, ']'))), '')"
+
+
+def segment_spans(segments: str) -> str:
+    """SQL text of the entity spans of a segment array, in text order."""
+    ends = running_total(f"transform({segments}, s -> length(s.piece))")
+    placed = span("s.label", "s.piece", "get(ends, i) - length(s.piece)", "get(ends, i)")
+    located = bind(ends, "ends", f"transform({segments}, (s, i) -> {placed})")
+    return f"filter({located}, s -> s.label IS NOT NULL)"
 
 
 def add_redaction(df: DataFrame) -> DataFrame:
     """Replace ``_segments`` by ``redacted_text`` and ``pii_entities``."""
-    columns = [c for c in df.columns if c not in ("_segments", "redacted_text", "pii_entities")]
-    segments = F.col("_segments")
-    found = F.exists(segments, lambda s: s["label"].isNotNull())
-    return df.select(
-        *columns,
-        masked_text(segments).alias("redacted_text"),
-        F.when(found, segment_spans(segments)).otherwise(no_spans()).alias("pii_entities"),
+    spans = f"if(exists(_segments, s -> s.label IS NOT NULL), {segment_spans('_segments')}, {NO_SPANS})"
+    return (
+        df.drop("redacted_text", "pii_entities")
+        .select(
+            "*",
+            F.expr(masked_text("_segments")).alias("redacted_text"),
+            F.expr(f"coalesce({spans}, {NO_SPANS})").alias("pii_entities"),
+        )
+        .drop("_segments")
     )
 
 

@@ -12,11 +12,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanveil.functions.arrays import bind
-from spanveil.operators.detect import MARK, SLOT, add_redaction, with_segments
+from spanveil.functions.text import quoted
+from spanveil.operators.detect import MARK, add_redaction, holds_reserved, segment, with_segments
 from spanveil.operators.rules import DEFAULT_RULES, Rule, select_rules
 
 # A word is a run of these; hyphens and apostrophes separate words.
@@ -30,50 +31,28 @@ SALTS = 32
 _FOUND_DDL = "ARRAY<STRUCT<word: STRING, label: STRING>>"
 
 
-def _words(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"[{WORD_CLASS}]+"), F.lit(0)))
+def _plain_words(segments: str) -> str:
+    """SQL text: distinct words of the plain segments."""
+    words = f"regexp_extract_all(s.piece, {quoted(f'[{WORD_CLASS}]+')}, 0)"
+    return f"array_distinct(flatten(transform(filter({segments}, s -> s.label IS NULL), s -> {words})))"
 
 
-def _plain_words(segments: Column) -> Column:
-    """Distinct words of the plain segments."""
-    plain = F.filter(segments, lambda s: s["label"].isNull())
-    return F.array_distinct(F.flatten(F.transform(plain, lambda s: _words(s["piece"]))))
-
-
-def _cut_at_words(segments: Column, found: Column) -> Column:
-    """Split the plain segments at the found words.
+def _cut_at_words(segments: str, found: str) -> str:
+    """SQL text: the plain segments split at the found words.
 
     The pattern is built per row from the words that do occur, and matches whole
     words only. Words hold no character with a meaning in a pattern.
     """
-    pattern = F.concat(
-        F.lit(f"(?<![{WORD_CLASS}])("),
-        F.array_join(F.transform(found, lambda f: f["word"]), "|"),
-        F.lit(f")(?![{WORD_CLASS}])"),
-    )
-
-    def cut(piece: Column, pat: Column) -> Column:
-        return F.transform(
-            F.split(F.regexp_replace(piece, pat, F.lit(f"{MARK}$1{MARK}")), MARK, -1),
-            lambda part, i: F.struct(
-                part.alias("piece"),
-                F.when(i % 2 == 1, F.filter(found, lambda f: f["word"] == part)[0]["label"]).alias("label"),
-            ),
-        )
-
-    return F.when(F.size(found) == 0, segments).otherwise(
-        bind(
-            pattern,
-            lambda pat: F.flatten(
-                F.transform(
-                    segments,
-                    lambda s: F.when(
-                        s["label"].isNotNull() | s["piece"].isin(MARK, SLOT), F.array(s)
-                    ).otherwise(cut(s["piece"], pat)),
-                )
-            ),
-        )
+    pattern = (
+        f"concat({quoted(f'(?<![{WORD_CLASS}])(')}, array_join(transform({found}, f -> f.word), '|'), "
+        f"{quoted(f')(?![{WORD_CLASS}])')})"
     )
+    label = f"if(i % 2 = 1, element_at(filter({found}, f -> f.word = part), 1).label, NULL)"
+    parts = f"split(regexp_replace(s.piece, pattern, {quoted(f'{MARK}$1{MARK}')}), {quoted(MARK)}, -1)"
+    cut = f"transform({parts}, (part, i) -> {segment('part', label)})"
+    keep = f"s.label IS NOT NULL OR {holds_reserved('s.piece')}"
+    every = f"flatten(transform({segments}, s -> if({keep}, array(s), {cut})))"
+    return f"if(size({found}) = 0, {segments}, {bind(pattern, 'pattern', every)})"
 
 
 def _terms(dictionary: DataFrame, types: Sequence[str] | None) -> DataFrame:
@@ -82,28 +61,24 @@ def _terms(dictionary: DataFrame, types: Sequence[str] | None) -> DataFrame:
     return wanted.groupBy(F.lower("term").alias("key")).agg(F.min("label").alias("label"))
 
 
-def _found_inline(segments: Column, terms: Sequence[tuple[str, str]]) -> Column:
+def _found_inline(segments: str, terms: Sequence[tuple[str, str]]) -> str:
+    """SQL text: the listed words with their labels; each list is one hash set."""
     by_label: dict[str, list[str]] = {}
     for key, label in terms:
         by_label.setdefault(label, []).append(key)
-
-    def label_of(word: Column) -> Column:
-        case = F.lit(None).cast("string")
-        for label in sorted(by_label, reverse=True):
-            case = F.when(F.lower(word).isin(by_label[label]), label).otherwise(case)
-        return case
-
-    return F.filter(
-        F.transform(
-            _plain_words(segments), lambda w: F.struct(w.alias("word"), label_of(w).alias("label"))
-        ),
-        lambda f: f["label"].isNotNull(),
+    if not by_label:
+        return f"CAST(array() AS {_FOUND_DDL})"
+    label_of = " ".join(
+        f"WHEN lower(w) IN ({', '.join(map(quoted, keys))}) THEN {quoted(label)}"
+        for label, keys in sorted(by_label.items())
     )
+    pairs = f"transform({_plain_words(segments)}, w -> named_struct('word', w, 'label', CASE {label_of} END))"
+    return f"filter({pairs}, f -> f.label IS NOT NULL)"
 
 
 def _found_by_join(df: DataFrame, id_col: str, terms: DataFrame, broadcast: bool) -> DataFrame:
     """(id, _found) for the texts with listed words; needs ``_segments``."""
-    words = df.select(F.col(id_col), F.explode(F.array_distinct(_plain_words(F.col("_segments")))).alias("word"))
+    words = df.select(F.col(id_col), F.expr(f"explode({_plain_words('_segments')})").alias("word"))
     words = words.withColumn("key", F.lower("word"))
     if broadcast:
         hits = words.join(F.broadcast(terms), "key")
@@ -143,14 +118,14 @@ def redact_with_lists(
     cut = with_segments(df, text_col, select_rules(types, rules))
     if count <= inline_terms and size <= INLINE_BYTES:
         rows = [(r["key"], r["label"]) for r in terms.collect()]
-        found = cut.withColumn("_found", _found_inline(F.col("_segments"), rows))
+        found = cut.withColumn("_found", F.expr(_found_inline("_segments", rows)))
     else:
         if id_col is None:
             raise ValueError(f"{count} terms need a join: give id_col")
         hits = _found_by_join(cut, id_col, terms, broadcast=size <= broadcast_bytes)
         found = cut.join(hits, id_col, "left").withColumn(
-            "_found", F.coalesce("_found", F.array().cast(_FOUND_DDL))
+            "_found", F.expr(f"coalesce(_found, CAST(array() AS {_FOUND_DDL}))")
         )
     return add_redaction(
-        found.select(*columns, _cut_at_words(F.col("_segments"), F.col("_found")).alias("_segments"))
+        found.select(*columns, F.expr(_cut_at_words("_segments", "_found")).alias("_segments"))
     )

@@ -8,92 +8,68 @@ first in list order stays, whatever its label.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanveil.functions.arrays import bind
 from spanveil.functions.spans import span
-from spanveil.functions.text import find
+from spanveil.functions.text import find, name
 
+ENTITIES_DDL = "ARRAY<STRUCT<label: STRING, value: STRING>>"
 
-def approximate_start(text: Column, value: Column) -> Column:
-    """Start of the value with its spaces removed, null when absent.
+
+def approximate_start(text: str, value: str) -> str:
+    """SQL text: start of the value with its spaces removed, null when absent.
 
     A value of spaces only is found at 0 in any text that is not empty.
     """
-    return bind(
-        F.replace(value, F.lit(" "), F.lit("")),
-        lambda packed: F.when(packed != "", find(text, packed)).when(F.length(text) > 0, F.lit(0)),
-    )
+    start = f"CASE WHEN packed <> '' THEN {find(text, 'packed')} WHEN length({text}) > 0 THEN 0 END"
+    return bind(f"replace({value}, ' ', '')", "packed", start)
 
 
-def value_start(text: Column, value: Column) -> Column:
-    return F.coalesce(find(text, value), approximate_start(text, value))
+def value_start(text: str, value: str) -> str:
+    return f"coalesce({find(text, value)}, {approximate_start(text, value)})"
 
 
-def _located(text: Column, entities: Column) -> Column:
-    return F.transform(
-        entities,
-        lambda e, pos: F.struct(
-            value_start(text, e["value"]).alias("start"),
-            pos.alias("pos"),
-            e["label"].alias("label"),
-            e["value"].alias("value"),
-        ),
+def _located(text: str, entities: str) -> str:
+    return (
+        f"transform({entities}, (e, pos) -> named_struct('start', {value_start(text, 'e.value')}, "
+        "'pos', pos, 'label', e.label, 'value', e.value))"
     )
 
 
-def recovered_spans(text: Column, entities: Column) -> Column:
-    """Spans of an entity array, deduplicated by place, in list order.
+def recovered_spans(text: str, entities: str) -> str:
+    """SQL text of the spans of an entity array, deduplicated by place, in list order.
 
     ``end`` is the start plus the length of the value as given, so after an
     approximate match it runs past the text found by the number of spaces.
     """
-    placed = F.array_sort(
-        F.transform(
-            F.filter(_located(text, entities), lambda e: e["start"].isNotNull()),
-            lambda e: F.struct(
-                e["start"].alias("start"),
-                (e["start"] + F.length(e["value"])).alias("end"),
-                e["pos"].alias("pos"),
-                e["label"].alias("label"),
-                e["value"].alias("value"),
-            ),
-        )
+    placed = (
+        f"array_sort(transform(filter({_located(text, entities)}, e -> e.start IS NOT NULL), "
+        "e -> named_struct('start', e.start, 'end', e.start + length(e.value), "
+        "'pos', e.pos, 'label', e.label, 'value', e.value)))"
     )
     # Sorted by place and position: the first of each run of equal places is
     # the one to keep, found by looking at the left neighbour only.
     first_at_place = bind(
         placed,
-        lambda all_: F.filter(
-            all_,
-            lambda e, i: (i == 0)
-            | (e["start"] != F.get(all_, i - 1)["start"])
-            | (e["end"] != F.get(all_, i - 1)["end"]),
-        ),
-    )
-    in_list_order = F.array_sort(
-        F.transform(
-            first_at_place,
-            lambda e: F.struct(
-                e["pos"].alias("pos"), span(e["label"], e["value"], e["start"], e["end"]).alias("span")
-            ),
-        )
+        "sorted",
+        "filter(sorted, (e, i) -> i = 0 OR e.start <> get(sorted, i - 1).start OR e.end <> get(sorted, i - 1).end)",
     )
-    return F.transform(in_list_order, lambda e: e["span"])
+    kept = span("e.label", "e.value", "e.start", "e.end")
+    in_list_order = f"array_sort(transform({first_at_place}, e -> named_struct('pos', e.pos, 'span', {kept})))"
+    return f"transform({in_list_order}, e -> e.span)"
 
 
 def recover_spans(
     df: DataFrame, text_col: str, entities_col: str, output_col: str = "pii_entities"
 ) -> DataFrame:
     """Append the spans of an array of ``(label, value)`` structs."""
-    return df.withColumn(output_col, recovered_spans(F.col(text_col), F.col(entities_col)))
+    return df.withColumn(output_col, F.expr(recovered_spans(name(text_col), name(entities_col))))
 
 
 def unlocated_values(df: DataFrame, text_col: str, entities_col: str, *keep: str) -> DataFrame:
     """One row per entity that is not in its text: the kept columns, pos, label, value."""
-    lost = F.filter(_located(F.col(text_col), F.col(entities_col)), lambda e: e["start"].isNull())
-    rows = df.select(*keep, F.explode(F.coalesce(lost, F.array())).alias("_lost"))
+    lost = f"filter({_located(name(text_col), name(entities_col))}, e -> e.start IS NULL)"
+    rows = df.select(*keep, F.expr(f"explode({lost})").alias("_lost"))
     return rows.select(*keep, "_lost.pos", "_lost.label", "_lost.value")
-
-

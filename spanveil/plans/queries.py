@@ -90,13 +90,11 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
     wrong labels (each IP also comes as TEL), so that lists and sets differ.
     """
     aligned = align_redaction(corpus(spark, sf), "source_text", "target_text", output_col="_aligned")
-    again = F.filter("_aligned", lambda s: s["label"] != "EMAIL")
-    wrong = F.transform(
-        F.filter("_aligned", lambda s: s["label"] == "IP"),
-        lambda s: span(F.lit("TEL"), s["value"], s["start"], s["end"]),
-    )
+    again = "filter(_aligned, s -> s.label <> 'EMAIL')"
+    as_tel = span("'TEL'", "s.value", "s.start", "s.end")
+    wrong = f"transform(filter(_aligned, s -> s.label = 'IP'), s -> {as_tel})"
     return aligned.select(
-        "id", F.concat("_aligned", again, wrong).alias("pred"), F.col("privacy_mask").alias("gold")
+        "id", F.expr(f"concat(_aligned, {again}, {wrong})").alias("pred"), F.col("privacy_mask").alias("gold")
     )
 
 
@@ -282,11 +280,9 @@ def recover_query(spark, sf):
 
 def approx_span(spark, sf):
     given = given_values(spark, sf)
-    found = F.transform(
-        "given",
-        lambda e: F.struct(e["value"].alias("value"), approximate_start(F.col("text"), e["value"]).alias("start")),
-    )
-    rows = given.select("doc_id", F.posexplode(found).alias("pos", "e"))
+    start = approximate_start("text", "e.value")
+    found = f"transform(given, e -> named_struct('value', e.value, 'start', {start}))"
+    rows = given.select("doc_id", F.expr(f"posexplode({found})").alias("pos", "e"))
     return rows.select("doc_id", "pos", "e.value", F.coalesce("e.start", F.lit(-1)).alias("start"))
 
 

@@ -45,7 +45,6 @@ def difference(spark, db, sf, query, sql):
 if __name__ == "__main__":
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     sys.path.insert(0, root)
-    os.environ["PYTHONPATH"] = root
     from pyspark.sql import SparkSession
 
     from __spark_entry__ import oracle_sql, queries
