@@ -25,8 +25,8 @@ def span(label: str, value: str, start: str, end: str) -> str:
 
 def span_rows(df: DataFrame, spans_col: str, *keep: str) -> DataFrame:
     """One row per span: the ``keep`` columns, ``pos``, then the span's fields."""
-    # coalesce() keeps the generator input from being a bare column. For a bare
+    # filter() keeps the generator input from being a bare column. For a bare
     # column Spark infers a size > 0 filter and pushes it below the projection
     # that computes the spans, which would run the whole detection twice.
-    spans = F.expr(f"posexplode(coalesce({name(spans_col)}, {NO_SPANS}))").alias("pos", "_span")
+    spans = F.expr(f"posexplode(filter({name(spans_col)}, s -> s IS NOT NULL))").alias("pos", "_span")
     return df.select(*keep, spans).select(*keep, "pos", "_span.label", "_span.value", "_span.start", "_span.end")

@@ -68,8 +68,9 @@ def _fence(text: str, rules: Sequence[Rule], open_gates: Iterable[str]) -> str:
                 alternatives.append(f"({rule.pattern})")
                 group += 1
             slots.append(f"${group}")
-        # Nested classes, so that a closing hyphen in one rule stays a hyphen.
-        starts = "".join(f"[{r.starts}]" for r in members)
+        # One flat class: a closing hyphen of a rule moves to the end of it.
+        hyphen = "-" if any(r.starts.endswith("-") for r in members) else ""
+        starts = "".join(r.starts.removesuffix("-") for r in members) + hyphen
         guard = f"(?=[{starts}])" if all(r.starts for r in members) else ""
         branches.append(f"{guard}(?:{'|'.join(alternatives)})")
     if not branches:

@@ -30,8 +30,8 @@ class Rule:
     unmasked. ``needs`` holds groups of lower-case literals; every match, put in
     lower case, contains at least one literal of each group. A text that cannot
     meet this skips the rule without running its pattern. ``starts`` is the body of a character class that holds
-    every character a match can begin with; other places in the text are passed
-    over after one test. Both only save time. Neither pattern may contain a
+    every character a match can begin with, a hyphen last; other places in the
+    text are passed over after one test. Both only save time. Neither pattern may contain a
     capturing group, and ``pattern`` must not match the empty string.
     """
 

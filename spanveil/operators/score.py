@@ -10,57 +10,47 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanveil.functions.text import name
+
 # Fixed value: keeps the ratios defined when there is nothing to count.
 EPSILON = 1e-9
 
 
-def _keys(spans: Column, ignore_labels: bool) -> Column:
+def _keys(spans_col: str, ignore_labels: bool, output: str) -> Column:
     """Spans as strings; on strings Spark's array set functions use hash sets."""
-    return F.transform(
-        spans,
-        lambda s: F.concat_ws(":", s["start"], s["end"], *([] if ignore_labels else [s["label"]])),
-    )
+    parts = "s.start, s.end" if ignore_labels else "s.start, s.end, s.label"
+    return F.expr(f"transform({name(spans_col)}, s -> concat_ws(':', {parts}))").alias(output)
 
 
 def score_rows(
     df: DataFrame, pred_col: str, gold_col: str, ignore_labels: bool = False
 ) -> DataFrame:
     """Append ``tp``, ``fp`` and ``fn`` of each row. No exchange."""
-    columns = [c for c in df.columns if c not in ("tp", "fp", "fn")]
-    keyed = df.select(
-        *columns,
-        _keys(F.col(pred_col), ignore_labels).alias("_pred"),
-        _keys(F.col(gold_col), ignore_labels).alias("_gold"),
-    )
-    return keyed.select(
-        *columns,
-        F.size(F.array_intersect("_pred", "_gold")).cast("bigint").alias("tp"),
-        F.size(F.array_except("_pred", "_gold")).cast("bigint").alias("fp"),
-        F.size(F.array_except("_gold", "_pred")).cast("bigint").alias("fn"),
+    keyed = df.drop("tp", "fp", "fn").select(
+        "*", _keys(pred_col, ignore_labels, "_pred_keys"), _keys(gold_col, ignore_labels, "_gold_keys")
     )
+    return keyed.selectExpr(
+        "*",
+        "CAST(size(array_intersect(_pred_keys, _gold_keys)) AS BIGINT) AS tp",
+        "CAST(size(array_except(_pred_keys, _gold_keys)) AS BIGINT) AS fp",
+        "CAST(size(array_except(_gold_keys, _pred_keys)) AS BIGINT) AS fn",
+    ).drop("_pred_keys", "_gold_keys")
 
 
 def with_ratios(counts: DataFrame) -> DataFrame:
     """Append ``precision``, ``recall`` and ``f1`` to a table with tp, fp and fn."""
-    precision = F.col("tp") / (F.col("tp") + F.col("fp") + F.lit(EPSILON))
-    recall = F.col("tp") / (F.col("tp") + F.col("fn") + F.lit(EPSILON))
-    return counts.withColumns({"precision": precision, "recall": recall}).withColumn(
-        "f1",
-        2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + F.lit(EPSILON)),
-    )
-
-
-def _total(name: str) -> Column:
-    return F.coalesce(F.sum(name), F.lit(0)).cast("bigint").alias(name)
+    return counts.selectExpr(
+        "*", f"tp / (tp + fp + {EPSILON}D) AS precision", f"tp / (tp + fn + {EPSILON}D) AS recall"
+    ).selectExpr("*", f"2 * precision * recall / (precision + recall + {EPSILON}D) AS f1")
 
 
 def score(df: DataFrame, pred_col: str, gold_col: str, ignore_labels: bool = False) -> DataFrame:
     """One row: corpus totals of tp, fp and fn with the ratios over them."""
     rows = score_rows(df.select(pred_col, gold_col), pred_col, gold_col, ignore_labels)
-    return with_ratios(rows.agg(_total("tp"), _total("fp"), _total("fn")))
+    return with_ratios(rows.agg(*[F.expr(f"coalesce(sum({c}), 0)").alias(c) for c in ("tp", "fp", "fn")]))
 
 
 def score_by_label(
@@ -72,34 +62,28 @@ def score_by_label(
     the gold span. The counts are summed per label before the exchange.
     """
     keyed = df.select(
-        F.col(pred_col).alias("_p"),
-        F.col(gold_col).alias("_g"),
-        _keys(F.col(pred_col), ignore_labels).alias("_pred"),
-        _keys(F.col(gold_col), ignore_labels).alias("_gold"),
+        F.col(pred_col).alias("_pred"),
+        F.col(gold_col).alias("_gold"),
+        _keys(pred_col, ignore_labels, "_pred_keys"),
+        _keys(gold_col, ignore_labels, "_gold_keys"),
     )
-
-    def marks(spans: str, keys: str, others: str, tp: bool) -> Column:
-        def mark(s: Column, i: Column) -> Column:
-            hit = F.array_contains(F.col(others), F.get(F.col(keys), i))
-            count = (lambda c: F.when(c, 1).otherwise(0))
-            return F.struct(
-                s["label"].alias("label"),
-                (count(hit) if tp else F.lit(0)).alias("tp"),
-                (count(~hit) if tp else F.lit(0)).alias("fp"),
-                (F.lit(0) if tp else count(~hit)).alias("fn"),
-            )
-
-        return F.transform(F.col(spans), mark)
-
-    marked = keyed.select(
-        F.explode(F.concat(marks("_p", "_pred", "_gold", True), marks("_g", "_gold", "_pred", False))).alias("m")
+    predicted = (
+        "transform(_pred, (s, i) -> named_struct('label', s.label, "
+        "'hit', array_contains(_gold_keys, get(_pred_keys, i)), 'gold', false))"
+    )
+    missed = (
+        "transform(_gold, (s, i) -> named_struct('label', s.label, "
+        "'hit', array_contains(_pred_keys, get(_gold_keys, i)), 'gold', true))"
     )
-    counts = marked.groupBy(F.col("m.label").alias("label")).agg(
-        F.sum("m.tp").alias("tp"), F.sum("m.fp").alias("fp"), F.sum("m.fn").alias("fn")
+    marks = keyed.select(F.expr(f"explode(concat({predicted}, {missed}))").alias("m")).select("m.*")
+    counts = marks.groupBy("label").agg(
+        F.expr("count_if(NOT gold AND hit)").alias("tp"),
+        F.expr("count_if(NOT gold AND NOT hit)").alias("fp"),
+        F.expr("count_if(gold AND NOT hit)").alias("fn"),
     )
     # A label whose gold spans were all found and that was never predicted
     # (possible when labels are ignored) has no counts and no row.
-    return with_ratios(counts.filter((F.col("tp") + F.col("fp") + F.col("fn")) > 0))
+    return with_ratios(counts.filter("tp + fp + fn > 0"))
 
 
 def rounded(scores: DataFrame, digits: int = 4) -> DataFrame:
@@ -107,24 +91,53 @@ def rounded(scores: DataFrame, digits: int = 4) -> DataFrame:
     return scores.withColumns({c: F.round(c, digits) for c in ("precision", "recall", "f1")})
 
 
+def _stacked(pred: DataFrame, gold: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Both span tables with their repeats counted in ``p`` and ``g``, one row per key.
+
+    Repeats go on the map side and one exchange is enough; joining the tables
+    would take three. The key holds the span, so a text with very many spans
+    is spread over the tasks.
+    """
+    sides = pred.selectExpr(*map(name, key), "1 AS p", "0 AS g").unionByName(
+        gold.selectExpr(*map(name, key), "0 AS p", "1 AS g")
+    )
+    return sides.groupBy(*key).agg(F.sum("p").alias("p"), F.sum("g").alias("g"))
+
+
 def score_long_form(
     pred: DataFrame, gold: DataFrame, id_cols: Sequence[str], ignore_labels: bool = False
 ) -> DataFrame:
-    """Corpus totals for spans stored one per row.
-
-    Both tables are stacked and grouped by row id and span, which removes
-    repeats on the map side and needs one exchange; a join would need three.
-    The key holds the span, so a row with very many spans is spread out.
-    """
+    """Corpus totals for spans stored one per row; same counts as ``score``."""
     key = [*id_cols, "start", "end", *([] if ignore_labels else ["label"])]
-    sides = pred.select(*key, F.lit(1).alias("p"), F.lit(0).alias("g")).unionByName(
-        gold.select(*key, F.lit(0).alias("p"), F.lit(1).alias("g"))
-    )
-    spans = sides.groupBy(*key).agg(F.max("p").alias("p"), F.max("g").alias("g"))
     return with_ratios(
-        spans.agg(
-            F.count_if((F.col("p") == 1) & (F.col("g") == 1)).alias("tp"),
-            F.count_if((F.col("p") == 1) & (F.col("g") == 0)).alias("fp"),
-            F.count_if((F.col("p") == 0) & (F.col("g") == 1)).alias("fn"),
+        _stacked(pred, gold, key).agg(
+            F.expr("count_if(p > 0 AND g > 0)").alias("tp"),
+            F.expr("count_if(p > 0 AND g = 0)").alias("fp"),
+            F.expr("count_if(p = 0 AND g > 0)").alias("fn"),
+        )
+    )
+
+
+def score_long_form_by_label(
+    pred: DataFrame, gold: DataFrame, id_cols: Sequence[str], ignore_labels: bool = False
+) -> DataFrame:
+    """Scores per label for spans stored one per row; same counts as ``score_by_label``.
+
+    With labels ignored, the labels found at one place have to see each other:
+    a window over the place, which holds at most one row per label.
+    """
+    spans = _stacked(pred, gold, [*id_cols, "start", "end", "label"])
+    p_here, g_here = F.col("p"), F.col("g")
+    if ignore_labels:
+        place = Window.partitionBy(*id_cols, "start", "end")
+        p_here, g_here = F.sum("p").over(place), F.sum("g").over(place)
+    counts = (
+        spans.select("label", "p", "g", p_here.alias("p_here"), g_here.alias("g_here"))
+        .groupBy("label")
+        .agg(
+            F.expr("sum(if(g_here > 0, p, 0))").alias("tp"),
+            F.expr("sum(if(g_here = 0, p, 0))").alias("fp"),
+            F.expr("sum(if(p_here = 0, g, 0))").alias("fn"),
         )
     )
+    return with_ratios(counts.filter("tp + fp + fn > 0"))

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanveil.functions.text import name
+
 
 # The training template, the sequence length and the ignore mark.
 TRAINING_PREFIX = (
@@ -17,9 +20,6 @@ TRAINING_PREFIX = (
 MAX_LENGTH = 512
 IGNORED = -100
 
-Tokenizer = Callable[[Column, int], Column]
-
-
 def prompt_prefix(source: Column) -> Column:
     before, after = TRAINING_PREFIX.split("{source}")
     return F.concat(F.lit(before), source, F.lit(after))
@@ -29,25 +29,46 @@ def training_text(source: Column, target: Column) -> Column:
     return F.concat(prompt_prefix(source), target)
 
 
-def whitespace_tokenizer(text: Column, limit: int) -> Column:
-    """Ids of the first ``limit`` whitespace-separated words: 1 plus 28 bits of a digest."""
-    words = F.slice(F.filter(F.split(text, "[ \t\r\n]+"), lambda w: w != ""), 1, limit)
-    return F.transform(words, lambda w: (F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("int") + 1))
+@dataclass(frozen=True)
+class Tokenizer:
+    """Ids of the first ``limit`` tokens of a text column, and how many there are.
+
+    ``count`` may be cheaper than counting the ids.
+    """
+
+    ids: Callable[[str, int], Column]
+    count: Callable[[str, int], Column]
+
+
+def _words(text_col: str, limit: int) -> str:
+    # The split stops after the words that are wanted; one more piece for an
+    # empty one in front, one for the unsplit rest, which is dropped.
+    pieces = f"slice(split({name(text_col)}, '[ \\t\\r\\n]+', {limit + 2}), 1, {limit + 1})"
+    return f"slice(filter({pieces}, w -> w <> ''), 1, {limit})"
+
+
+# Whitespace-separated words; an id is 1 plus 28 bits of the word's digest.
+WHITESPACE_TOKENIZER = Tokenizer(
+    ids=lambda text, limit: F.expr(
+        f"transform({_words(text, limit)}, w -> CAST(conv(left(md5(w), 7), 16, 10) AS INT) + 1)"
+    ),
+    count=lambda text, limit: F.expr(f"size({_words(text, limit)})"),
+)
 
 
 def python_tokenizer(make_encode: Callable[[], Callable[[list[str]], Sequence[Sequence[int]]]]) -> Tokenizer:
     """A tokenizer from a Python encoder, made once per task and called per Arrow batch."""
 
-    def tokenizer(text: Column, limit: int) -> Column:
+    def ids(text_col: str, limit: int) -> Column:
         @F.pandas_udf("array<int>")
         def encode_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             encode = make_encode()
             for batch in batches:
-                yield pd.Series([list(ids)[:limit] for ids in encode(batch.tolist())], index=batch.index)
+                yield pd.Series([list(i)[:limit] for i in encode(batch.tolist())], index=batch.index)
 
-        return encode_batches(text)
+        return encode_batches(F.col(text_col))
 
-    return tokenizer
+    return Tokenizer(ids=ids, count=lambda text, limit: F.size(ids(text, limit)))
 
 
 def sft_examples(df: DataFrame, source_col: str = "source_text", target_col: str = "target_text") -> DataFrame:
@@ -65,7 +86,7 @@ def sft_labels(
     keep: Sequence[str] = ("id",),
     source_col: str = "source_text",
     target_col: str = "target_text",
-    tokenizer: Tokenizer = whitespace_tokenizer,
+    tokenizer: Tokenizer = WHITESPACE_TOKENIZER,
     pad_id: int = 0,
     max_length: int = MAX_LENGTH,
 ) -> DataFrame:
@@ -78,20 +99,15 @@ def sft_labels(
     examples = sft_examples(df, source_col, target_col)
     encoded = examples.select(
         *keep,
-        tokenizer(F.col("text"), max_length).alias("_ids"),
-        F.size(tokenizer(F.col("prompt"), max_length)).alias("prefix_len"),
+        tokenizer.ids("text", max_length).alias("_ids"),
+        tokenizer.count("prompt", max_length).alias("_prefix"),
     )
-    missing = F.lit(max_length) - F.size("_ids")
+    missing = f"{max_length} - size(_ids)"
     padded = encoded.select(
         *keep,
-        F.concat("_ids", F.array_repeat(F.lit(pad_id), missing)).alias("input_ids"),
-        F.concat(
-            F.array_repeat(F.lit(1), F.size("_ids")), F.array_repeat(F.lit(0), missing)
-        ).alias("attention_mask"),
-        "prefix_len",
-    )
-    labels = F.transform(
-        "input_ids",
-        lambda token, i: F.when((i < F.col("prefix_len")) | (token == pad_id), IGNORED).otherwise(token),
+        F.expr(f"concat(_ids, array_repeat({pad_id}, {missing}))").alias("input_ids"),
+        F.expr(f"concat(array_repeat(1, size(_ids)), array_repeat(0, {missing}))").alias("attention_mask"),
+        "_prefix",
     )
-    return padded.select(*keep, "input_ids", "attention_mask", labels.alias("labels"))
+    labels = f"transform(input_ids, (token, i) -> if(i < _prefix OR token = {pad_id}, {IGNORED}, token))"
+    return padded.select(*keep, "input_ids", "attention_mask", F.expr(labels).alias("labels"))

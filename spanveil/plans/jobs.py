@@ -12,7 +12,7 @@ from spanveil.operators.limits import head_n
 from spanveil.operators.lookup import redact_with_lists
 from spanveil.operators.rules import DEFAULT_RULES, Rule
 from spanveil.operators.score import score, score_by_label
-from spanveil.operators.training_text import MAX_LENGTH, Tokenizer, sft_labels, whitespace_tokenizer
+from spanveil.operators.training_text import MAX_LENGTH, WHITESPACE_TOKENIZER, Tokenizer, sft_labels
 from spanveil.sources.corpus import corpus_output, head_per_split, read_corpus
 from spanveil.sources.results import read_results, write_results
 from spanveil.sources.text_files import read_text_files
@@ -98,7 +98,7 @@ def training_set(
     corpus: DataFrame,
     train_rows: int = 1000,
     validation_rows: int = 100,
-    tokenizer: Tokenizer = whitespace_tokenizer,
+    tokenizer: Tokenizer = WHITESPACE_TOKENIZER,
     pad_id: int = 0,
     max_length: int = MAX_LENGTH,
 ) -> DataFrame:

@@ -359,6 +359,8 @@ ORACLES: dict[str, str] = {
     "score_report": overall(False, f"SELECT {ratios(4)} FROM total"),
     "score_per_label": per_label(False),
     "score_per_label_ignore_labels": per_label(True),
+    "score_long_per_label": per_label(False),
+    "score_long_per_label_ignore_labels": per_label(True),
     "corpus_output": with_(
         *GOLD[:2],
         CORPUS,

@@ -34,6 +34,7 @@ from spanveil.operators.score import (
     score,
     score_by_label,
     score_long_form,
+    score_long_form_by_label,
     score_rows,
 )
 from spanveil.operators.training_text import sft_examples, sft_labels
@@ -329,6 +330,20 @@ def score_long(spark, sf):
     )
 
 
+def _long_by_label(spark, sf, ignore_labels):
+    both = predictions(spark, sf)
+    pred, gold = span_rows(both, "pred", "id"), span_rows(both, "gold", "id")
+    return _rounded_ratios(score_long_form_by_label(pred, gold, ["id"], ignore_labels))
+
+
+def score_long_per_label(spark, sf):
+    return _long_by_label(spark, sf, False)
+
+
+def score_long_per_label_ignore_labels(spark, sf):
+    return _long_by_label(spark, sf, True)
+
+
 def corpus_output_query(spark, sf):
     """The eleven columns of a rule redaction; arrays as text."""
     out = corpus_output(redact(corpus(spark, sf), "source_text"))
@@ -436,6 +451,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "score_per_label_ignore_labels": score_per_label_ignore_labels,
     "score_report": score_report,
     "score_long_form": score_long,
+    "score_long_per_label": score_long_per_label,
+    "score_long_per_label_ignore_labels": score_long_per_label_ignore_labels,
     "corpus_output": corpus_output_query,
     "split_write_read": split_write_read,
     "results_json_roundtrip": results_json_roundtrip,
