@@ -20,6 +20,9 @@ from spanveil.operators.rules import DEFAULT_TYPES
 
 Predict = Callable[[list[str]], Sequence[str | None]]
 
+# Prompts per call of the caller's function.
+BATCH_SIZE = 256
+
 ANSWER_DDL = "redacted_text STRING, pii_entities ARRAY<STRUCT<label: STRING, value: STRING>>"
 
 # Markers and prompt texts, which models are tuned to word by word.
@@ -171,8 +174,12 @@ def _answer_batch(predict: Predict, prompts: list[str]) -> list[str | None]:
     return single
 
 
-def ask(prompts: Column, make_predict: Callable[[], Predict]) -> Column:
-    """Answers of the caller's function, which is made once per task."""
+def ask(prompts: Column, make_predict: Callable[[], Predict], batch_size: int = BATCH_SIZE) -> Column:
+    """Answers of the caller's function, which is made once per task.
+
+    Spark hands over ``spark.sql.execution.arrow.maxRecordsPerBatch`` rows at a
+    time; the function gets them in lists of at most ``batch_size``.
+    """
 
     @F.pandas_udf("string")
     def answer(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -180,8 +187,11 @@ def ask(prompts: Column, make_predict: Callable[[], Predict]) -> Column:
         for batch in batches:
             asked = batch.notna()
             answers = pd.Series([None] * len(batch), index=batch.index, dtype=object)
-            if asked.any():
-                answers[asked] = _answer_batch(predict, batch[asked].tolist())
+            prompts_here = batch[asked].tolist()
+            got: list[str | None] = []
+            for first in range(0, len(prompts_here), batch_size):
+                got += _answer_batch(predict, prompts_here[first : first + batch_size])
+            answers[asked] = got
             yield answers
 
     # Asking again gives another answer and costs another call, so the planner
@@ -197,6 +207,7 @@ def redact_with(
     answers: str = "json",
     placeholder: str = PLACEHOLDER,
     only_types: bool = False,
+    batch_size: int = BATCH_SIZE,
 ) -> DataFrame:
     """Mask texts with the caller's model.
 
@@ -208,7 +219,7 @@ def redact_with(
     if answers not in ("json", "chat"):
         raise ValueError(f"answers must be 'json' or 'chat', not {answers!r}")
     make_prompt = json_prompt if answers == "json" else chat_prompt
-    asked = df.withColumn("_raw", ask(make_prompt(F.col(text_col), types), make_predict))
+    asked = df.withColumn("_raw", ask(make_prompt(F.col(text_col), types), make_predict, batch_size))
     if answers == "json":
         result = read_json_answers(asked, text_col, "_raw").drop("_raw")
     else:

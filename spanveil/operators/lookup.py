@@ -1,11 +1,14 @@
 """Detection by word lists, for names and places that no pattern can find.
 
-Word lists apply to the plain segments that the rules left, so rule and list
-entities never overlap. The work has two parts: find which words of a text are
-listed, then cut the text at those words. A short list is checked inside the
-row. A longer one is joined with the distinct words of each text, as a broadcast
-when its measured size allows, else as a shuffle join salted by row id because
-common words would otherwise gather in a few tasks.
+Lists apply to the plain segments that the rules left, so rule and list
+entities never overlap. A term is one word or several; it matches whole words in
+any letter case, with any whitespace between them, the longest term first.
+
+The work has two parts: find which terms a text holds, then cut the text at
+them. A short list is checked inside the row. A longer one is joined with the
+distinct word groups of each text, as a broadcast when its measured size
+allows, else as a shuffle join. That join is salted by row, because otherwise a
+common word would gather in one task.
 """
 
 from __future__ import annotations
@@ -22,32 +25,44 @@ from spanveil.operators.rules import DEFAULT_RULES, Rule, select_rules
 
 # A word is a run of these; hyphens and apostrophes separate words.
 WORD_CLASS = r"\p{L}\p{M}\p{N}_"
+BETWEEN = r"\s+"
 
 INLINE_TERMS = 5_000
 INLINE_BYTES = 1 << 20
 BROADCAST_BYTES = 64 << 20
 SALTS = 32
 
-_FOUND_DDL = "ARRAY<STRUCT<word: STRING, label: STRING>>"
+_FOUND_DDL = "ARRAY<STRUCT<term: STRING, label: STRING>>"
 
 
-def _plain_words(segments: str) -> str:
-    """SQL text: distinct words of the plain segments."""
-    words = f"regexp_extract_all(s.piece, {quoted(f'[{WORD_CLASS}]+')}, 0)"
-    return f"array_distinct(flatten(transform(filter({segments}, s -> s.label IS NULL), s -> {words})))"
+def _words(text: str) -> str:
+    return f"regexp_extract_all({text}, {quoted(f'[{WORD_CLASS}]+')}, 0)"
 
 
-def _cut_at_words(segments: str, found: str) -> str:
-    """SQL text: the plain segments split at the found words.
+def _plain_terms(segments: str, longest: int) -> str:
+    """SQL text: distinct groups of one to ``longest`` adjacent words, per plain segment."""
+    groups = _words("s.piece")
+    if longest > 1:
+        # Groups across punctuation are candidates too; the cut does not match them.
+        of_n = "transform(sequence(1, size(words) - n + 1), i -> array_join(slice(words, i, n), ' '))"
+        longer = f"transform(sequence(2, {longest}), n -> if(size(words) >= n, {of_n}, CAST(array() AS ARRAY<STRING>)))"
+        groups = bind(groups, "words", f"concat(words, flatten({longer}))")
+    return f"array_distinct(flatten(transform(filter({segments}, s -> s.label IS NULL), s -> {groups})))"
 
-    The pattern is built per row from the words that do occur, and matches whole
-    words only. Words hold no character with a meaning in a pattern.
+
+def _cut_at_terms(segments: str, found: str) -> str:
+    """SQL text: the plain segments split at the found terms.
+
+    The pattern is built per row from the terms that may occur, longest first.
+    Words hold no character with a meaning in a pattern.
     """
+    longest_first = f"array_sort({found}, (a, b) -> length(b.term) - length(a.term))"
+    alternatives = f"array_join(transform({longest_first}, f -> replace(f.term, ' ', {quoted(BETWEEN)})), '|')"
     pattern = (
-        f"concat({quoted(f'(?<![{WORD_CLASS}])(')}, array_join(transform({found}, f -> f.word), '|'), "
-        f"{quoted(f')(?![{WORD_CLASS}])')})"
+        f"concat({quoted(f'(?<![{WORD_CLASS}])(')}, {alternatives}, {quoted(f')(?![{WORD_CLASS}])')})"
     )
-    label = f"if(i % 2 = 1, element_at(filter({found}, f -> f.word = part), 1).label, NULL)"
+    same = f"f -> f.term = regexp_replace(part, {quoted(BETWEEN)}, ' ')"
+    label = f"if(i % 2 = 1, element_at(filter({found}, {same}), 1).label, NULL)"
     parts = f"split(regexp_replace(s.piece, pattern, {quoted(f'{MARK}$1{MARK}')}), {quoted(MARK)}, -1)"
     cut = f"transform({parts}, (part, i) -> {segment('part', label)})"
     keep = f"s.label IS NOT NULL OR {holds_reserved('s.piece')}"
@@ -55,39 +70,49 @@ def _cut_at_words(segments: str, found: str) -> str:
     return f"if(size({found}) = 0, {segments}, {bind(pattern, 'pattern', every)})"
 
 
-def _terms(dictionary: DataFrame, types: Sequence[str] | None) -> DataFrame:
-    """Lower-case terms with one label each: the first in label order."""
+def _keyed(dictionary: DataFrame, types: Sequence[str] | None) -> DataFrame:
+    """Terms in lower case with one label each: the first in label order."""
     wanted = dictionary if types is None else dictionary.filter(F.col("label").isin(list(types)))
-    return wanted.groupBy(F.lower("term").alias("key")).agg(F.min("label").alias("label"))
+    return wanted.groupBy(F.expr(f"lower(array_join({_words('term')}, ' '))").alias("key")).agg(
+        F.min("label").alias("label")
+    )
 
 
-def _found_inline(segments: str, terms: Sequence[tuple[str, str]]) -> str:
-    """SQL text: the listed words with their labels; each list is one hash set."""
+def _found_inline(segments: str, terms: Sequence[tuple[str, str]], longest: int) -> str:
+    """SQL text: the listed terms with their labels; each list is one hash set."""
     by_label: dict[str, list[str]] = {}
     for key, label in terms:
         by_label.setdefault(label, []).append(key)
     if not by_label:
         return f"CAST(array() AS {_FOUND_DDL})"
     label_of = " ".join(
-        f"WHEN lower(w) IN ({', '.join(map(quoted, keys))}) THEN {quoted(label)}"
+        f"WHEN lower(t) IN ({', '.join(map(quoted, keys))}) THEN {quoted(label)}"
         for label, keys in sorted(by_label.items())
     )
-    pairs = f"transform({_plain_words(segments)}, w -> named_struct('word', w, 'label', CASE {label_of} END))"
+    candidates = _plain_terms(segments, longest)
+    pairs = f"transform({candidates}, t -> named_struct('term', t, 'label', CASE {label_of} END))"
     return f"filter({pairs}, f -> f.label IS NOT NULL)"
 
 
-def _found_by_join(df: DataFrame, id_col: str, terms: DataFrame, broadcast: bool) -> DataFrame:
-    """(id, _found) for the texts with listed words; needs ``_segments``."""
-    words = df.select(F.col(id_col), F.expr(f"explode({_plain_words('_segments')})").alias("word"))
-    words = words.withColumn("key", F.lower("word"))
+def _found_by_join(
+    cut: DataFrame, text_col: str, id_col: str, terms: DataFrame, longest: int, broadcast: bool
+) -> DataFrame:
+    """(_id, _found) for the texts that hold listed terms.
+
+    The state per id is the set of listed terms, so it is bounded by the list
+    also where many rows share an id.
+    """
+    words = cut.select(
+        F.col(id_col).alias("_id"),
+        F.pmod(F.xxhash64(id_col, text_col), F.lit(SALTS)).alias("salt"),
+        F.expr(f"explode({_plain_terms('_segments', longest)})").alias("term"),
+    ).withColumn("key", F.lower("term"))
     if broadcast:
         hits = words.join(F.broadcast(terms), "key")
     else:
         salted = terms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        hits = words.withColumn("salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")).join(
-            salted, ["key", "salt"]
-        )
-    return hits.groupBy(id_col).agg(F.collect_set(F.struct("word", "label")).alias("_found"))
+        hits = words.join(salted, ["key", "salt"])
+    return hits.groupBy("_id").agg(F.collect_set(F.struct("term", "label")).alias("_found"))
 
 
 def redact_with_lists(
@@ -100,32 +125,40 @@ def redact_with_lists(
     inline_terms: int = INLINE_TERMS,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Mask rule matches and listed words; adds ``redacted_text`` and ``pii_entities``.
+    """Mask rule matches and listed terms; adds ``redacted_text`` and ``pii_entities``.
 
-    ``dictionary`` has the columns ``term`` and ``label``. Each term is one word
-    and matches in any letter case. ``id_col`` is needed for lists too long for
-    the inline check.
+    ``dictionary`` has the columns ``term`` and ``label``. ``id_col`` is needed
+    for lists too long for the inline check.
     """
-    bad = dictionary.filter(~F.rlike("term", F.lit(f"^[{WORD_CLASS}]+$"))).select("term").first()
+    spaced = f"regexp_replace(trim(term), {quoted(BETWEEN)}, ' ')"
+    bad = dictionary.filter(f"{spaced} <> array_join({_words('term')}, ' ') OR trim(term) = ''").first()
     if bad is not None:
-        raise ValueError(f"a dictionary term must be one word: {bad[0]!r}")
-    terms = _terms(dictionary, types)
-    count, size = terms.agg(
-        F.count("key"), F.coalesce(F.sum(F.octet_length("key") + F.octet_length("label")), F.lit(0))
+        raise ValueError(f"a dictionary term may hold words and spaces only: {bad['term']!r}")
+    terms = _keyed(dictionary, types)
+    count, size, longest = terms.selectExpr(
+        "count(key)",
+        "coalesce(sum(octet_length(key) + octet_length(label)), 0)",
+        "coalesce(max(size(split(key, ' '))), 1)",
     ).first()
 
+    chosen = select_rules(types, rules)
     columns = [c for c in df.columns if c not in ("redacted_text", "pii_entities")]
-    cut = with_segments(df, text_col, select_rules(types, rules))
     if count <= inline_terms and size <= INLINE_BYTES:
         rows = [(r["key"], r["label"]) for r in terms.collect()]
-        found = cut.withColumn("_found", F.expr(_found_inline("_segments", rows)))
+        cut = with_segments(df, text_col, chosen)
+        found = cut.withColumn("_found", F.expr(_found_inline("_segments", rows, longest)))
     else:
         if id_col is None:
             raise ValueError(f"{count} terms need a join: give id_col")
-        hits = _found_by_join(cut, id_col, terms, broadcast=size <= broadcast_bytes)
-        found = cut.join(hits, id_col, "left").withColumn(
+        hits = _found_by_join(
+            with_segments(df, text_col, chosen), text_col, id_col, terms, longest, size <= broadcast_bytes
+        )
+        # The text itself crosses this join, its segments are made after it. A
+        # null id has to find its terms as well, hence the null-safe match.
+        joined = df.join(hits, df[id_col].eqNullSafe(hits["_id"]), "left").drop("_id")
+        found = with_segments(joined, text_col, chosen).withColumn(
             "_found", F.expr(f"coalesce(_found, CAST(array() AS {_FOUND_DDL}))")
         )
     return add_redaction(
-        found.select(*columns, F.expr(_cut_at_words("_segments", "_found")).alias("_segments"))
+        found.select(*columns, F.expr(_cut_at_terms("_segments", "_found")).alias("_segments"))
     )

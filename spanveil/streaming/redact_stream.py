@@ -15,9 +15,17 @@ from spanveil.operators.detect import redact
 from spanveil.operators.rules import DEFAULT_RULES, Rule
 
 
-def read_text_stream(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
-    """New files under ``path`` as a stream of rows."""
-    return spark.readStream.schema(schema).format(fmt).load(path)
+def read_text_stream(
+    spark: SparkSession, path: str, schema: str, fmt: str = "parquet", files_per_batch: int | None = None
+) -> DataFrame:
+    """New files under ``path`` as a stream of rows.
+
+    ``files_per_batch`` cuts a large backlog into several micro-batches.
+    """
+    reader = spark.readStream.schema(schema).format(fmt)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.load(path)
 
 
 def redact_stream(

@@ -6,24 +6,30 @@ from brute import detect, tuples
 from spanveil.operators.lookup import redact_with_lists
 from spanveil.operators.rules import DEFAULT_RULES
 
-TERMS = [("Paris", "CITY"), ("alice", "GIVENNAME1"), ("Élise", "GIVENNAME1"), ("paris", "GIVENNAME2"), ("X_1", "STATE")]
+TERMS = [("New York", "STATE"), ("New  York City", "CITY"), ("York", "LASTNAME1"), ("new", "TITLE"), ("Paris", "CITY"), ("alice", "GIVENNAME1"), ("Élise", "GIVENNAME1"), ("paris", "GIVENNAME2"), ("X_1", "STATE")]
 TEXTS = [
     "Alice went to PARIS, alice@paris.fr did not; parisian Élise",
     "nothing here",
     "",
     "paris.paris-Paris 1.2.3.4paris",
     "a X_1 X_12 x_1",
+    "In new york city, New\tYork,\nNEW \n YORK CITY; New. York; newyork New 1.2.3.4 York",
+    None,
 ]
 
 
 def expected(text, labels):
-    """Rule spans first, then whole listed words in the plain parts."""
+    """Rule spans first, then whole listed terms in the plain parts, longest first."""
+    if text is None:
+        return []
+    terms = sorted(labels, key=len, reverse=True)
+    listed = re.compile(r"(?<!\w)(" + "|".join(t.replace(" ", r"\s+") for t in terms) + r")(?!\w)", re.I)
     _, ruled = detect(text, DEFAULT_RULES)
     spans, at = [], 0
     for label, value, start, end in [*ruled, (None, "", len(text), len(text))]:
-        for m in re.finditer(r"\w+", text[at:start]):
-            if m.group().lower() in labels:
-                spans.append((labels[m.group().lower()], m.group(), at + m.start(), at + m.end()))
+        for m in listed.finditer(text[at:start]):
+            key = " ".join(m.group().lower().split())
+            spans.append((labels[key], m.group(), at + m.start(), at + m.end()))
         if label:
             spans.append((label, value, start, end))
         at = end
@@ -37,12 +43,21 @@ def test_lists_all_ways(spark, how):
     rows = redact_with_lists(df, "text", dictionary, "id", **how).orderBy("id").collect()
     labels = {}
     for term, label in sorted(TERMS, key=lambda t: t[1], reverse=True):
-        labels[term.lower()] = label
+        labels[" ".join(term.lower().split())] = label
     for text, row in zip(TEXTS, rows, strict=True):
         assert tuples(row["pii_entities"]) == expected(text, labels)
     assert rows[0]["redacted_text"] == "[GIVENNAME1] went to [CITY], [EMAIL] did not; parisian [GIVENNAME1]"
 
 
+def test_rows_that_share_an_id_or_have_none(spark):
+    dictionary = spark.createDataFrame(TERMS, "term STRING, label STRING")
+    df = spark.createDataFrame([(1, "Paris"), (1, "alice"), (None, "York")], "id INT, text STRING")
+    rows = redact_with_lists(df, "text", dictionary, "id", inline_terms=-1, broadcast_bytes=-1).collect()
+    assert sorted((r["text"], r["redacted_text"]) for r in rows) == [
+        ("Paris", "[CITY]"), ("York", "[LASTNAME1]"), ("alice", "[GIVENNAME1]")
+    ]
+
+
 def test_types_and_bad_terms(spark):
     df = spark.createDataFrame([(1, "Paris alice")], "id INT, text STRING")
     dictionary = spark.createDataFrame(TERMS, "term STRING, label STRING")
@@ -50,8 +65,8 @@ def test_types_and_bad_terms(spark):
     assert row["redacted_text"] == "[CITY] alice"
     none = redact_with_lists(df, "text", dictionary, types=["EMAIL"]).first()
     assert none["redacted_text"] == "Paris alice" and none["pii_entities"] == []
-    two_words = spark.createDataFrame([("New York", "CITY")], "term STRING, label STRING")
+    punctuated = spark.createDataFrame([("St. John", "CITY")], "term STRING, label STRING")
     with pytest.raises(ValueError):
-        redact_with_lists(df, "text", two_words)
+        redact_with_lists(df, "text", punctuated)
     with pytest.raises(ValueError):
         redact_with_lists(df, "text", dictionary, inline_terms=-1)
