@@ -45,6 +45,37 @@ def _gate(rule: Rule) -> str:
     return "" if not rule.needs else "cue" if rule.cue else "literal"
 
 
+def _guard(starts: Sequence[Sequence[str]]) -> str:
+    """A lookahead for the first characters that all the rules have in common."""
+    classes = []
+    for bodies in zip(*starts):
+        # One flat class is faster than a union; a closing hyphen moves to its end.
+        hyphen = "-" if any(b.endswith("-") for b in bodies) else ""
+        classes.append("[" + "".join(dict.fromkeys(b.removesuffix("-") for b in bodies)) + hyphen + "]")
+    return f"(?={''.join(classes)})" if classes else ""
+
+
+def _gate_test(text: str, rules: Sequence[Rule]) -> str:
+    """True when some rule's required literals all occur in the text.
+
+    Literals without letters are looked for first, in the text as it is; the
+    text is put in lower case only if they leave something to decide.
+    """
+    by_signs: dict[tuple, dict[tuple, None]] = {}
+    for rule in rules:
+        signs = tuple(g for g in rule.needs if all(x.lower() == x.upper() for x in g))
+        words = tuple(g for g in rule.needs if g not in signs)
+        by_signs.setdefault(signs, {})[words] = None
+    tests = []
+    for signs, alternatives in by_signs.items():
+        parts = [_contains_any(text, group) for group in signs]
+        if () not in alternatives:
+            met = [" AND ".join(_contains_any("low", group) for group in words) for words in alternatives]
+            parts.append(bind(f"lower({text})", "low", " OR ".join(f"({m})" for m in met)))
+        tests.append("(" + " AND ".join(parts) + ")")
+    return " OR ".join(tests)
+
+
 def _fence(text: str, rules: Sequence[Rule], open_gates: Iterable[str]) -> str:
     """One regex pass that fences each match of the rules behind open gates.
 
@@ -68,10 +99,7 @@ def _fence(text: str, rules: Sequence[Rule], open_gates: Iterable[str]) -> str:
                 alternatives.append(f"({rule.pattern})")
                 group += 1
             slots.append(f"${group}")
-        # One flat class: a closing hyphen of a rule moves to the end of it.
-        hyphen = "-" if any(r.starts.endswith("-") for r in members) else ""
-        starts = "".join(r.starts.removesuffix("-") for r in members) + hyphen
-        guard = f"(?=[{starts}])" if all(r.starts for r in members) else ""
+        guard = _guard([r.starts for r in members])
         branches.append(f"{guard}(?:{'|'.join(alternatives)})")
     if not branches:
         return text
@@ -101,15 +129,9 @@ def with_segments(df: DataFrame, text_col: str, rules: Sequence[Rule]) -> DataFr
 
     gates = sorted({_gate(r) for r in rules} - {""})
     every = ["", *gates]
-    staged = df
-    if gates:
-        # A projection each, so that lower() and the gates are computed once.
-        flags = []
-        for gate in gates:
-            needs = dict.fromkeys(r.needs for r in rules if _gate(r) == gate)
-            met = [" AND ".join(_contains_any("_lower", group) for group in need) for need in needs]
-            flags.append(F.expr(" OR ".join(f"({m})" for m in met)).alias(f"_gate_{gate}"))
-        staged = df.select("*", F.expr(f"lower({text})").alias("_lower")).select("*", *flags)
+    # A projection each for gates and fences, so that they are computed once.
+    flags = [F.expr(_gate_test(text, [r for r in rules if _gate(r) == g])).alias(f"_gate_{g}") for g in gates]
+    staged = df.select("*", *flags) if gates else df
 
     # From no gate open to all but one; the first case that holds is taken.
     fenced = _fence(text, rules, every)
@@ -125,9 +147,13 @@ def with_segments(df: DataFrame, text_col: str, rules: Sequence[Rule]) -> DataFr
         f"part -> if({holds_reserved('part')}, array({segment('part')}), "
         f"{_label_slots(_fence('part', rules, every), rules)})))"
     )
-    segments = f"CASE WHEN {holds_reserved(text)} THEN {around_reserved} ELSE {_label_slots(fenced, rules)} END"
-    extra = ["_lower", *(f"_gate_{g}" for g in gates)] if gates else []
-    return staged.select("*", F.expr(segments).alias("_segments")).drop(*extra)
+    segments = (
+        f"CASE WHEN {holds_reserved(text)} THEN {around_reserved} "
+        f"WHEN contains(_fenced, {quoted(MARK)}) THEN {_label_slots('_fenced', rules)} "
+        f"WHEN {text} IS NOT NULL THEN array({segment(text)}) END"
+    )
+    fenced_df = staged.select("*", F.expr(fenced).alias("_fenced")).drop(*(f"_gate_{g}" for g in gates))
+    return fenced_df.select("*", F.expr(segments).alias("_segments")).drop("_fenced")
 
 
 def masked_text(segments: str) -> str:

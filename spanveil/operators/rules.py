@@ -29,9 +29,9 @@ class Rule:
     ``cue`` matches words that must stand right before the entity and stay
     unmasked. ``needs`` holds groups of lower-case literals; every match, put in
     lower case, contains at least one literal of each group. A text that cannot
-    meet this skips the rule without running its pattern. ``starts`` is the body of a character class that holds
-    every character a match can begin with, a hyphen last; other places in the
-    text are passed over after one test. Both only save time. Neither pattern may contain a
+    meet this skips the rule without running its pattern. ``starts`` holds bodies of character classes, for the
+    first characters a match can have, a hyphen last in each; other places in
+    the text are passed over after one test. Both only save time. Neither pattern may contain a
     capturing group, and ``pattern`` must not match the empty string.
     """
 
@@ -39,7 +39,7 @@ class Rule:
     pattern: str
     cue: str = ""
     needs: tuple[tuple[str, ...], ...] = ()
-    starts: str = ""
+    starts: tuple[str, ...] = ()
 
     @property
     def whole(self) -> str:
@@ -62,42 +62,42 @@ _SIGNS = (":", "=", "#")
 
 DEFAULT_RULES = (
     Rule("EMAIL", r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
-         needs=(("@",),), starts="A-Za-z0-9._%+-"),
-    Rule("GEOCOORD", r"[-+]?[0-9]{1,3}\.[0-9]{3,},[ ]?[-+]?[0-9]{1,3}\.[0-9]{3,}", starts="0-9+-"),
-    Rule("IP", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", starts="0-9"),
+         needs=(("@",),), starts=("A-Za-z0-9._%+-",)),
+    Rule("GEOCOORD", r"[-+]?[0-9]{1,3}\.[0-9]{3,},[ ]?[-+]?[0-9]{1,3}\.[0-9]{3,}", starts=("0-9+-",)),
+    Rule("IP", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", starts=("0-9",)),
     Rule("TEL", r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}",
-         starts="0-9+("),
-    Rule("SOCIALNUMBER", "[0-9]{3}-[0-9]{2}-[0-9]{4}", starts="0-9"),
-    Rule("DATE", _DATE, starts="0-9JFMASOND"),
-    Rule("TIME", "[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?(?:[ ]?[AaPp][Mm])?", starts="0-9"),
-    Rule("TITLE", r"(?:Mrs|Mr|Ms|Dr|Prof)\.", starts="MDP"),
+         starts=("0-9+(",)),
+    Rule("SOCIALNUMBER", "[0-9]{3}-[0-9]{2}-[0-9]{4}", starts=("0-9",)),
+    Rule("DATE", _DATE, starts=("0-9JFMASOND",)),
+    Rule("TIME", "[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?(?:[ ]?[AaPp][Mm])?", starts=("0-9",)),
+    Rule("TITLE", r"(?:Mrs|Mr|Ms|Dr|Prof)\.", starts=("MDP",)),
     Rule("DOB", _DATE, cue=f"(?i:date of birth|birth date|dob|born){_SIGN}",
-         needs=(_SIGNS, ("birth", "dob", "born")), starts="DdBb"),
+         needs=(_SIGNS, ("birth", "dob", "born")), starts=("DdBb", "AaIiOo")),
     Rule("PASS", "[A-Za-z0-9!#$%&*+./?@^_~-]{4,}",
          cue=f"(?i:password|passcode|passwd|pwd|secret|token|api[_-]?key){_SIGN}[\"']?",
          needs=(_SIGNS, ("passw", "passcode", "pwd", "secret", "token", "apikey", "api_key", "api-key")),
-         starts="PpSsTtAa"),
+         starts=("PpSsTtAa", "AaWwEeOoPp")),
     Rule("PASSPORT", "[A-Z0-9]{6,9}", cue=f"(?i:passport)(?i:[ ]number|[ ]no\\.?)?{_SIGN}",
-         needs=(_SIGNS, ("passport",)), starts="Pp"),
+         needs=(_SIGNS, ("passport",)), starts=("Pp", "Aa")),
     Rule("IDCARD", "[A-Z0-9][A-Z0-9-]{4,19}", cue=f"(?i:identity card|id card|national id){_SIGN}",
-         needs=(_SIGNS, ("identity card", "id card", "national id")), starts="IiNn"),
+         needs=(_SIGNS, ("identity card", "id card", "national id")), starts=("IiNn", "DdAa")),
     Rule("DRIVERLICENSE", "[A-Z0-9][A-Z0-9-]{4,19}",
          cue=f"(?i:driver'?s? licen[cs]e|driving licen[cs]e){_SIGN}",
-         needs=(_SIGNS, ("licence", "license")), starts="Dd"),
+         needs=(_SIGNS, ("licence", "license")), starts=("Dd", "Rr")),
     Rule("USERNAME", "[A-Za-z0-9][A-Za-z0-9._@-]{1,63}", cue=f"(?i:user ?name|user|login|handle){_SIGN}",
-         needs=(_SIGNS, ("user", "login", "handle")), starts="UuLlHh"),
+         needs=(_SIGNS, ("user", "login", "handle")), starts=("UuLlHh", "SsOoAa")),
     Rule("POSTCODE", "[A-Za-z0-9]{3,5}(?:[ -][A-Za-z0-9]{3,4})?",
-         cue=f"(?i:zip code|zip|post ?code|postal code){_SIGN}", needs=(_SIGNS, ("zip", "post")), starts="ZzPp"),
+         cue=f"(?i:zip code|zip|post ?code|postal code){_SIGN}", needs=(_SIGNS, ("zip", "post")), starts=("ZzPp", "IiOo")),
     Rule("SEX", "(?i:female|male|non-binary|diverse)", cue=f"(?i:sex|gender){_SIGN}",
-         needs=(_SIGNS, ("sex", "gender")), starts="SsGg"),
+         needs=(_SIGNS, ("sex", "gender")), starts=("SsGg", "Ee")),
 )
 
 # Patterns with many false hits; pass DEFAULT_RULES + BROAD_RULES to use them.
 BROAD_RULES = (
     Rule("STREET", "[0-9]{1,5} [A-Z][a-z]+ (?:Street|Avenue|Road|Lane|Drive|Boulevard|St|Ave|Rd|Ln|Blvd)",
-         starts="0-9"),
-    Rule("BUILDING", "(?:Building|Bldg|House|Tower) [A-Z0-9]{1,6}", starts="BHT"),
-    Rule("SECADDRESS", "(?:Apartment|Apt|Suite|Unit|Flat)[.]? #?[A-Z0-9]{1,6}", starts="ASUF"),
+         starts=("0-9",)),
+    Rule("BUILDING", "(?:Building|Bldg|House|Tower) [A-Z0-9]{1,6}", starts=("BHT",)),
+    Rule("SECADDRESS", "(?:Apartment|Apt|Suite|Unit|Flat)[.]? #?[A-Z0-9]{1,6}", starts=("ASUF",)),
 )
 
 

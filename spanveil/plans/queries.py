@@ -53,8 +53,8 @@ from spanveil.streaming.redact_stream import read_text_stream, redact_stream
 
 TYPE_SUBSET = ("EMAIL", "TEL")
 CUSTOM_RULES = (
-    Rule("CREDITCARD", "[0-9]{16}", starts="0-9"),
-    Rule("HEXKEY", "[0-9a-f]{40}", starts="0-9a-f"),
+    Rule("CREDITCARD", "[0-9]{16}", starts=("0-9",)),
+    Rule("HEXKEY", "[0-9a-f]{40}", starts=("0-9a-f",)),
     *DEFAULT_RULES,
 )
 HEAD = 100
