@@ -20,10 +20,11 @@ from spanveil.functions.text import name, quoted
 # Placeholder names without digits: GIVENNAME1 and the like do not count by default.
 PLACEHOLDER = "[A-Z]+"
 
-# The walk runs in blocks. Inside a block a step searches and appends only
-# within the block's share of the text, so the cost of a text with n characters
-# and k placeholders stays near n * BLOCK + n * k / BLOCK instead of n * k.
-BLOCK = 64
+# The walk runs in blocks of sqrt(k) placeholders, at least this many. A step
+# searches and appends only within its block's share of the text, and only the
+# start of a block copies the rest of the text, so a text with n characters and
+# k placeholders costs about n * sqrt(k) instead of n * k.
+SMALLEST_BLOCK = 16
 
 
 def _steps(redacted: str, placeholder: str) -> str:
@@ -53,7 +54,7 @@ def _walk_block(steps: str, rest: str, base: str) -> str:
 
 def align_spans(original: str, redacted: str, placeholder: str = PLACEHOLDER) -> str:
     """SQL text of the entity spans of ``original``."""
-    block = _walk_block(f"slice(steps, b * {BLOCK} + 1, {BLOCK})", "state.rest", "state.base")
+    block = _walk_block("slice(all.steps, b * all.width + 1, all.width)", "state.rest", "state.base")
     after = (
         "named_struct('base', state.base + done.at, "
         "'rest', substring(state.rest, done.at + 1), "
@@ -61,10 +62,12 @@ def align_spans(original: str, redacted: str, placeholder: str = PLACEHOLDER) ->
     )
     start = f"named_struct('base', 0, 'rest', {original}, 'blocks', CAST(array() AS ARRAY<{SPANS_DDL}>))"
     walk = (
-        f"aggregate(sequence(0, CAST(floor((size(steps) - 1) / {BLOCK}) AS INT)), {start}, "
+        f"aggregate(sequence(0, (size(all.steps) - 1) div all.width), {start}, "
         f"(state, b) -> {bind(block, 'done', after)}, state -> flatten(state.blocks))"
     )
-    return bind(_steps(redacted, placeholder), "steps", f"if(size(steps) > 0, {walk}, {NO_SPANS})")
+    width = f"greatest({SMALLEST_BLOCK}, CAST(sqrt(size(steps)) AS INT))"
+    sized = bind(f"named_struct('steps', steps, 'width', {width})", "all", walk)
+    return bind(_steps(redacted, placeholder), "steps", f"if(size(steps) > 0, {sized}, {NO_SPANS})")
 
 
 def align_redaction(

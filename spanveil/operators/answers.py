@@ -85,8 +85,8 @@ JSON_SYSTEM = (
 
 
 def _fill(template: str, text: Column, types: Sequence[str]) -> Column:
-    before, after = template.replace("{types}", ", ".join(types)).split("{text}")
-    return F.concat(F.lit(before), text, F.lit(after))
+    before, after = template.split("{text}")
+    return F.concat(F.lit(before.replace("{types}", ", ".join(types))), text, F.lit(after))
 
 
 def chat_prompt(text: Column, types: Sequence[str] = DEFAULT_TYPES) -> Column:

@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 from brute import align, recover, tuples
 from spanveil.functions.arrays import running_total
 from spanveil.functions.text import WHITESPACE, normalise_newlines, strip
-from spanveil.operators import align as align_module
-from spanveil.operators.align import align_redaction
+from spanveil.operators.align import SMALLEST_BLOCK, align_redaction
 from spanveil.operators.recover import approximate_start, recover_spans, unlocated_values
 
 ENTITIES = "ARRAY<STRUCT<label: STRING, value: STRING>>"
@@ -54,12 +53,14 @@ def test_align_random(spark):
     assert run_align(spark, pairs) == [align(o, r) for o, r in pairs]
 
 
-def test_align_many_placeholders_crosses_blocks(spark):
-    rng = random.Random(3)
-    words = [random_text(rng, "abcdé", 8) + "x" for _ in range(align_module.BLOCK * 5 + 3)]
-    original = " ".join(words)
-    redacted = " ".join("[W]" if rng.random() < 0.8 else w for w in words)
-    assert run_align(spark, [(original, redacted)]) == [align(original, redacted)]
+@pytest.mark.parametrize("words", [SMALLEST_BLOCK, SMALLEST_BLOCK + 1, 3 * SMALLEST_BLOCK, 3_000])
+def test_align_many_placeholders_crosses_blocks(spark, words):
+    rng = random.Random(words)
+    parts = [random_text(rng, "abcdé😀", 8) + "x" for _ in range(words)]
+    original = " ".join(parts)
+    some = " ".join("[W]" if rng.random() < 0.8 else p for p in parts)
+    every = " ".join("[W]" for _ in parts)
+    assert run_align(spark, [(original, some), (original, every)]) == [align(original, some), align(original, every)]
 
 
 RECOVER_CASES = [
