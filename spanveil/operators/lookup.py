@@ -71,13 +71,25 @@ def _cut_at_terms(segments: str, found: str) -> str:
 
 
 def _keyed(dictionary: DataFrame, types: Sequence[str] | None) -> DataFrame:
-    """Terms in lower case with one label each: the first in label order."""
+    """Terms in lower case with one label each, the first in label order.
+
+    ``bad`` holds a term that is not made of words and spaces, if there is one.
+    """
     wanted = dictionary if types is None else dictionary.filter(F.col("label").isin(list(types)))
-    return wanted.groupBy(F.expr(f"lower(array_join({_words('term')}, ' '))").alias("key")).agg(
-        F.min("label").alias("label")
+    words = f"array_join({_words('term')}, ' ')"
+    spaced = f"regexp_replace(trim(term), {quoted(BETWEEN)}, ' ')"
+    return (
+        wanted.selectExpr("label", f"{words} AS words", f"if({spaced} <> {words} OR {words} = '', term, NULL) AS bad")
+        .groupBy(F.expr("lower(words)").alias("key"))
+        .agg(F.min("label").alias("label"), F.max("bad").alias("bad"))
     )
 
 
+def _refuse(bad: str | None) -> None:
+    if bad is not None:
+        raise ValueError(f"a dictionary term may hold words and spaces only: {bad!r}")
+
+
 def _found_inline(segments: str, terms: Sequence[tuple[str, str]], longest: int) -> str:
     """SQL text: the listed terms with their labels; each list is one hash set."""
     by_label: dict[str, list[str]] = {}
@@ -130,28 +142,35 @@ def redact_with_lists(
     ``dictionary`` has the columns ``term`` and ``label``. ``id_col`` is needed
     for lists too long for the inline check.
     """
-    spaced = f"regexp_replace(trim(term), {quoted(BETWEEN)}, ' ')"
-    bad = dictionary.filter(f"{spaced} <> array_join({_words('term')}, ' ') OR trim(term) = ''").first()
-    if bad is not None:
-        raise ValueError(f"a dictionary term may hold words and spaces only: {bad['term']!r}")
     terms = _keyed(dictionary, types)
-    count, size, longest = terms.selectExpr(
-        "count(key)",
-        "coalesce(sum(octet_length(key) + octet_length(label)), 0)",
-        "coalesce(max(size(split(key, ' '))), 1)",
-    ).first()
-
     chosen = select_rules(types, rules)
     columns = [c for c in df.columns if c not in ("redacted_text", "pii_entities")]
-    if count <= inline_terms and size <= INLINE_BYTES:
-        rows = [(r["key"], r["label"]) for r in terms.collect()]
+
+    # One row more than the inline check takes shows whether the list is short.
+    head = terms.limit(max(inline_terms, 0) + 1).collect()
+    size = sum(len(r["key"].encode()) for r in head)
+    if len(head) <= inline_terms and size <= INLINE_BYTES:
+        _refuse(max((r["bad"] for r in head if r["bad"] is not None), default=None))
+        longest = max((len(r["key"].split(" ")) for r in head), default=1)
+        rows = [(r["key"], r["label"]) for r in head]
         cut = with_segments(df, text_col, chosen)
         found = cut.withColumn("_found", F.expr(_found_inline("_segments", rows, longest)))
     else:
         if id_col is None:
-            raise ValueError(f"{count} terms need a join: give id_col")
+            raise ValueError("a list this long needs a join: give id_col")
+        size, longest, bad = terms.selectExpr(
+            "coalesce(sum(octet_length(key) + octet_length(label)), 0)",
+            "coalesce(max(size(split(key, ' '))), 1)",
+            "max(bad)",
+        ).first()
+        _refuse(bad)
         hits = _found_by_join(
-            with_segments(df, text_col, chosen), text_col, id_col, terms, longest, size <= broadcast_bytes
+            with_segments(df, text_col, chosen),
+            text_col,
+            id_col,
+            terms.select("key", "label"),
+            longest,
+            size <= broadcast_bytes,
         )
         # The text itself crosses this join, its segments are made after it. A
         # null id has to find its terms as well, hence the null-safe match.
