@@ -26,8 +26,6 @@ from spanveil.operators.rules import DEFAULT_RULES, Rule, select_rules
 MARK = "\ufdd0"
 SLOT = "\ufdd1"
 
-SEGMENTS_DDL = "ARRAY<STRUCT<piece: STRING, label: STRING>>"
-
 
 def segment(piece: str, label: str = "CAST(NULL AS STRING)") -> str:
     return f"named_struct('piece', {piece}, 'label', {label})"

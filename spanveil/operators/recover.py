@@ -15,8 +15,6 @@ from spanveil.functions.arrays import bind
 from spanveil.functions.spans import span
 from spanveil.functions.text import find, name
 
-ENTITIES_DDL = "ARRAY<STRUCT<label: STRING, value: STRING>>"
-
 
 def approximate_start(text: str, value: str) -> str:
     """SQL text: start of the value with its spaces removed, null when absent.

@@ -6,7 +6,17 @@ from brute import detect, tuples
 from spanveil.operators.lookup import redact_with_lists
 from spanveil.operators.rules import DEFAULT_RULES
 
-TERMS = [("New York", "STATE"), ("New  York City", "CITY"), ("York", "LASTNAME1"), ("new", "TITLE"), ("Paris", "CITY"), ("alice", "GIVENNAME1"), ("Élise", "GIVENNAME1"), ("paris", "GIVENNAME2"), ("X_1", "STATE")]
+TERMS = [
+    ("New York", "STATE"),
+    ("New  York City", "CITY"),
+    ("York", "LASTNAME1"),
+    ("new", "TITLE"),
+    ("Paris", "CITY"),
+    ("alice", "GIVENNAME1"),
+    ("Élise", "GIVENNAME1"),
+    ("paris", "GIVENNAME2"),
+    ("X_1", "STATE"),
+]
 TEXTS = [
     "Alice went to PARIS, alice@paris.fr did not; parisian Élise",
     "nothing here",
