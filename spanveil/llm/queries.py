@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanveil.llm.fingerprints import neighbours
 from spanveil.llm.tables import documents
 from spanveil.llm.tokens import count_tokens, round_trip
 
@@ -16,6 +17,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), public_tokenizers.path(WORD_BPE))
 
 
+def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours(documents(spark, sf_dir))
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = round_trip(documents(spark, sf_dir), public_tokenizers.path(WORD_BPE))
     return done.select(
@@ -28,6 +33,7 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op4_spotsigs": op4_spotsigs,
     "op5_bpe_round_trip": op5_bpe_round_trip,
 }
 
