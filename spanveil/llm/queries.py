@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanveil.llm.fingerprints import neighbours
-from spanveil.llm.tables import documents
+from spanveil.llm.quality import fold_of, score_quality, train
+from spanveil.llm.tables import documents, labels
 from spanveil.llm.tokens import count_tokens, round_trip
 
 WORD_BPE = "word_bpe_49k.json"
@@ -17,6 +18,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), public_tokenizers.path(WORD_BPE))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    scored = score_quality(docs, train(docs, labels(spark, sf_dir)))
+    return scored.select("doc_id", (fold_of("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(documents(spark, sf_dir))
 
@@ -33,6 +40,7 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_quality": op2_quality,
     "op4_spotsigs": op4_spotsigs,
     "op5_bpe_round_trip": op5_bpe_round_trip,
 }
