@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from spanveil.llm.fingerprints import neighbours
 from spanveil.llm.quality import fold_of, score_quality, train
 from spanveil.llm.tables import documents, labels
+from spanveil.llm import toxicity
 from spanveil.llm.tokens import count_tokens, round_trip
 
 WORD_BPE = "word_bpe_49k.json"
@@ -24,6 +25,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold_of("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    scored = toxicity.score_toxicity(docs, toxicity.train(docs, labels(spark, sf_dir)))
+    return scored.select("doc_id", (fold_of("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(documents(spark, sf_dir))
 
@@ -41,6 +48,7 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_quality": op2_quality,
+    "op3_toxicity": op3_toxicity,
     "op4_spotsigs": op4_spotsigs,
     "op5_bpe_round_trip": op5_bpe_round_trip,
 }
