@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from spanveil.llm.fingerprints import neighbours
 from spanveil.llm.leaks import contamination
+from spanveil.llm.neardup import near_duplicates
 from spanveil.llm.quality import fold_of, score_quality, train
 from spanveil.llm.tables import benchmark, documents, labels
 from spanveil.llm import toxicity
@@ -46,6 +47,10 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(documents(spark, sf_dir), benchmark(spark, sf_dir))
     return found.select(
@@ -87,6 +92,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_spotsigs": op4_spotsigs,
     "op5_bpe_round_trip": op5_bpe_round_trip,
+    "op7_minhash": op7_minhash,
     "op9_decontamination": op9_decontamination,
 }
 

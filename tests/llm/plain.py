@@ -35,3 +35,31 @@ def leaks(docs, items, size=10):
                     found |= windows[tuple(w[i : i + k])]
         out[doc] = (len(w), len(hit), sorted(found))
     return out
+
+
+def shingles(text, k=4):
+    w = words(text)
+    k = min(k, len(w))
+    return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if w else frozenset()
+
+
+def near_groups(docs, least=80):
+    """id -> (set size, least id reachable), for unique ids."""
+    sets = {doc: shingles(text) for doc, text in docs}
+    parent = {doc: doc for doc in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    filled = sorted(doc for doc in sets if sets[doc])
+    for i, a in enumerate(filled):
+        for b in filled[i + 1 :]:
+            one, two = sets[a], sets[b]
+            if min(len(one), len(two)) * 100 >= least * max(len(one), len(two)):
+                both = len(one & two)
+                if 100 * both >= least * (len(one) + len(two) - both) and root(a) != root(b):
+                    x, y = sorted((root(a), root(b)))
+                    parent[y] = x
+    return {doc: (len(sets[doc]), root(doc)) for doc in sets}
