@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from spanveil.llm.fingerprints import neighbours
 from spanveil.llm.leaks import contamination
+from spanveil.llm.lines import dedup_lines
 from spanveil.llm.neardup import near_duplicates
 from spanveil.llm.quality import fold_of, score_quality, train
+from spanveil.llm.substrings import dedup_substrings
 from spanveil.llm.tables import benchmark, documents, labels
 from spanveil.llm import toxicity
 from spanveil.llm.tokens import count_tokens, round_trip
@@ -51,6 +53,11 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op8_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = dedup_substrings(documents(spark, sf_dir))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(documents(spark, sf_dir), benchmark(spark, sf_dir))
     return found.select(
@@ -59,6 +66,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = dedup_lines(documents(spark, sf_dir))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 # Windows are compared as word lists joined by a blank, which no word holds.
 OP9_SQL = r"""
 WITH d AS (
@@ -86,6 +98,43 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+OP8_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), places AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS run
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)
+), later AS (
+  SELECT doc_id, i FROM places JOIN (SELECT run, min(doc_id) AS least FROM places GROUP BY run) USING (run) WHERE doc_id > least
+), gone AS (
+  SELECT doc_id, list(DISTINCT k) AS ks FROM (SELECT doc_id, unnest(range(i, i + 50)) AS k FROM later) GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, w, coalesce(len(ks), 0) AS n_removed,
+    CASE WHEN ks IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda k: NOT list_contains(ks, k)), lambda k: w[k]) END AS words
+  FROM d LEFT JOIN gone USING (doc_id)
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string(words, ' '), '')) AS kept_sha256
+FROM kept
+"""
+
+OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\n]+') AS l FROM documents
+), places AS (
+  SELECT doc_id, i, array_to_string(l[i:i + 2], chr(10)) AS run
+  FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS i FROM d WHERE len(l) >= 3)
+), later AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS n FROM places) WHERE n > 1
+), gone AS (
+  SELECT doc_id, list(DISTINCT k) AS ks FROM (SELECT doc_id, unnest(range(i, i + 3)) AS k FROM later) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(coalesce(len(ks), 0) AS BIGINT) AS n_removed,
+  sha256(CASE WHEN ks IS NULL THEN coalesce(text, '') ELSE coalesce(array_to_string(
+    list_transform(list_filter(range(1, len(l) + 1), lambda k: NOT list_contains(ks, k)), lambda k: l[k]), chr(10)), '') END) AS text_sha256
+FROM d LEFT JOIN gone USING (doc_id)
+"""
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_quality": op2_quality,
@@ -93,10 +142,14 @@ QUERIES = {
     "op4_spotsigs": op4_spotsigs,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op7_minhash": op7_minhash,
+    "op8_suffix_trees": op8_suffix_trees,
     "op9_decontamination": op9_decontamination,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 # Queries that DuckDB can express over the same tables.
 ORACLES: dict[str, str] = {
+    "op8_suffix_trees": OP8_SQL,
     "op9_decontamination": OP9_SQL,
+    "op10_line_dedup": OP10_SQL,
 }

@@ -148,3 +148,23 @@ class Runs:
         sums = self.sums(hashes)
         begin = np.arange(len(hashes) - k + 1)
         return self.between(sums, begin, begin + k)
+
+
+def window_minima(values: np.ndarray, width: int) -> np.ndarray:
+    """Places that hold the least value of some ``width`` consecutive ones; of equal ones the last.
+
+    Every run of ``width`` values holds such a place, and equal runs hold it at
+    the same offset, wherever they stand.
+    """
+    if len(values) < width:
+        return np.zeros(0, dtype=np.int64)
+    runs = np.lib.stride_tricks.sliding_window_view(values[::-1], width)
+    return np.unique(len(values) - 1 - (np.arange(len(runs)) + runs.argmin(axis=1)))
+
+
+def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which of n items lie in one of the spans; spans are clipped to the items."""
+    edges = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(edges, np.clip(starts, 0, n), 1)
+    np.add.at(edges, np.clip(np.maximum(ends, starts), 0, n), -1)
+    return np.cumsum(edges[:-1]) > 0

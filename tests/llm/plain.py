@@ -63,3 +63,36 @@ def near_groups(docs, least=80):
                     x, y = sorted((root(a), root(b)))
                     parent[y] = x
     return {doc: (len(sets[doc]), root(doc)) for doc in sets}
+
+
+def cut_substrings(docs, size=50):
+    """id -> (words, kept words), for unique ids; removes windows that also start in a smaller id."""
+    least = {}
+    split = {doc: words(text, lower=False) for doc, text in docs}
+    for doc in sorted(split):
+        w = split[doc]
+        for i in range(len(w) - size + 1):
+            least.setdefault(tuple(w[i : i + size]), doc)
+    out = {}
+    for doc, w in split.items():
+        gone = set()
+        for i in range(len(w) - size + 1):
+            if least[tuple(w[i : i + size])] < doc:
+                gone.update(range(i, i + size))
+        out[doc] = (len(w), [x for i, x in enumerate(w) if i not in gone])
+    return out
+
+
+def cut_lines(docs, run=3):
+    """id -> (lines, removed, text), for unique ids."""
+    seen, out = set(), {}
+    for doc, text in sorted(docs):
+        lines = [x for x in (text or "").split("\n") if x]
+        gone = set()
+        for i in range(len(lines) - run + 1):
+            key = tuple(lines[i : i + run])
+            if key in seen:
+                gone.update(range(i, i + run))
+            seen.add(key)
+        out[doc] = (len(lines), len(gone), "\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else text)
+    return out
