@@ -13,7 +13,7 @@ from spanveil.llm.neardup import near_duplicates
 from spanveil.llm.quality import fold_of, score_quality, train
 from spanveil.llm.substrings import dedup_substrings
 from spanveil.llm.tables import benchmark, documents, labels
-from spanveil.llm import toxicity
+from spanveil.llm import brown, toxicity
 from spanveil.llm.tokens import count_tokens, round_trip
 
 WORD_BPE = "word_bpe_49k.json"
@@ -49,6 +49,13 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(fold_of("doc_id", 7) == 2, F.lit(True))
+    scored = brown.score(docs, brown.train(docs, ~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
@@ -141,6 +148,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_spotsigs": op4_spotsigs,
     "op5_bpe_round_trip": op5_bpe_round_trip,
+    "op6_brown": op6_brown,
     "op7_minhash": op7_minhash,
     "op8_suffix_trees": op8_suffix_trees,
     "op9_decontamination": op9_decontamination,
