@@ -24,6 +24,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -136,6 +137,12 @@ def _parts(items: DataFrame, id_col: str, text_col: str) -> list[list[tuple[str,
     return parts
 
 
+def _searcher(docs: DataFrame, part: list[tuple[str, str]], size: int):
+    """A broadcast of one part's windows, by the rarity of its words in ``docs`` (column ``_text``)."""
+    vocabulary = np.unique(_splitter().split(pa.array([t for _, t in part], pa.large_string())).hashes)
+    return docs.sparkSession.sparkContext.broadcast(Windows.of(part, _rarity(docs, vocabulary), size))
+
+
 def contamination(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     item_id: str = "item_id", item_text: str = "text", size: int = WINDOW,
@@ -146,15 +153,13 @@ def contamination(
     without words have none and are clean; items without words match nothing; an
     item with a null id is named by the empty string. Rows keep their number.
     """
-    spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     schema = f"_id {id_type}, _text string, n_words long, hits array<struct<first: long, size: long>>, items array<string>"
 
     def search(before: DataFrame, part: list[tuple[str, str]], last: bool) -> DataFrame:
         """Adds the hits of one part to those of the parts before; drops the texts after the last."""
-        vocabulary = np.unique(_splitter().split(pa.array([t for _, t in part], pa.large_string())).hashes)
-        shared = spark.sparkContext.broadcast(Windows.of(part, _rarity(rows, vocabulary), size))
+        shared = _searcher(rows, part, size)
         first = "hits" not in before.columns
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,3 +209,32 @@ def contamination(
         F.col("_id").alias(id_col), "n_words", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.array_sort("items").alias("items"), (F.size("hits") > 0).alias("contaminated"),
     )
+
+
+def _clean(shared):
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        splitter, windows = _splitter(), shared.value
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True)], names=["_text"])
+        out = []
+        for piece in slices([batch], 0):
+            split = splitter.split(piece.column(0))
+            _, begin = windows.found(split.hashes, split.bounds)
+            found = np.zeros(piece.num_rows, dtype=bool)
+            found[np.searchsorted(split.bounds, begin, "right") - 1] = True
+            out.append(~found)
+        return pd.Series(np.concatenate(out) if out else np.zeros(0, dtype=bool))
+
+    return clean
+
+
+def keep_clean(
+    docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW
+) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text holds no item window. No exchange of texts."""
+    rows = docs.select(F.col(text_col).cast("string").alias("_text"))
+    for part in _parts(items, item_id, item_text):
+        shared = _searcher(rows, part, size)
+
+        docs = docs.where(_clean(shared)(F.col(text_col).cast("string")))
+    return docs

@@ -26,6 +26,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -236,9 +237,7 @@ def keep_good(docs: DataFrame, scorer: Scorer, text_col: str = "text") -> DataFr
     """The rows of ``docs``, all columns, whose text is scored 0.5 or more. No exchange."""
 
     @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
-
+    def score(texts: pd.Series) -> pd.Series:
         describer = Describer()
         column = pa.array(texts, pa.string(), from_pandas=True)
         batch = pa.RecordBatch.from_arrays([column], names=["_text"])

@@ -4,7 +4,7 @@ import plain
 import pytest
 
 from spanveil.llm import leaks
-from spanveil.llm.leaks import contamination
+from spanveil.llm.leaks import contamination, keep_clean
 
 ITEMS = [
     (1, "the small DOG stood in a wide green field near the old river"),
@@ -31,5 +31,7 @@ def test_edges_in_one_and_in_many_parts(spark, edges, nothing, monkeypatch, room
     assert result(found) == want and found.count() == edges.count()
     assert want[1][1] > 10 and want[5][1] == 1 and want[8][1] == 3000
     assert all(r.contaminated == (r.n_hit > 0) and r.n_items == len(r["items"]) for r in found.collect())
+    kept = keep_clean(edges, items)
+    assert kept.columns == edges.columns and {r.doc_id for r in kept.collect()} == {i for i, x in want.items() if not x[1]}
     assert contamination(nothing, items).count() == 0
     assert not any(r.contaminated for r in contamination(edges, items.where("false")).collect())
