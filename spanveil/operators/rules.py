@@ -1,10 +1,10 @@
 """Detection rules: rows of (label, pattern) tried in order.
 
-Patterns stay inside the common part of Java regular expressions and RE2: no
-lookaround, no backreference, no ``\\b``, ``\\d`` or ``\\s``. Every open-ended
-piece is a plain character class, so matching needs no deep stack, and the piece
-that can start anywhere (the local part of an address) is bounded, so a long run
-of word characters costs linear time.
+A match takes the whole value: runs of letters and digits have no upper bound,
+so no tail of a longer value is left unmasked. Matching stays linear without
+bounds because an open-ended piece can start at the start of its run only (a
+lookbehind tells, or ``\\G`` right after a match) and never gives characters
+back (possessive), so each run is read once and needs no deep stack.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
+import regex
+
 # The default entity labels, in their published order.
 DEFAULT_TYPES = (
     "TIME", "USERNAME", "IDCARD", "SOCIALNUMBER", "EMAIL", "PASSPORT",
@@ -32,7 +34,8 @@ class Rule:
     meet this skips the rule without running its pattern. ``starts`` holds bodies of character classes, for the
     first characters a match can have, a hyphen last in each; other places in
     the text are passed over after one test. Both only save time. Neither pattern may contain a
-    capturing group, and ``pattern`` must not match the empty string.
+    capturing group, and ``pattern`` must not match the empty string; such rules
+    are refused.
     """
 
     label: str
@@ -41,6 +44,13 @@ class Rule:
     needs: tuple[tuple[str, ...], ...] = ()
     starts: tuple[str, ...] = ()
 
+    def __post_init__(self) -> None:
+        compiled = regex.compile(f"(?:{self.cue})(?:{self.pattern})")
+        if compiled.groups:
+            raise ValueError(f"rule {self.label}: write (?:...) for a group, a plain one is not allowed")
+        if regex.compile(self.pattern).match(""):
+            raise ValueError(f"rule {self.label}: the pattern matches the empty string")
+
     @property
     def whole(self) -> str:
         return f"(?:{self.cue})(?:{self.pattern})" if self.cue else f"(?:{self.pattern})"
@@ -50,54 +60,59 @@ _MONTH = (
     "(?:January|February|March|April|May|June|July|August|September|October|November|December"
     "|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sept|Sep|Oct|Nov|Dec)"
 )
+_DIGITS = "(?<![0-9])[0-9]"  # the first digit of a run
 _DATE = (
-    "[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}"
-    "|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{2,4}"
-    f"|[0-9]{{1,2}}(?:st|nd|rd|th)? {_MONTH},? [0-9]{{4}}"
-    f"|{_MONTH} [0-9]{{1,2}}(?:st|nd|rd|th)?(?:,? [0-9]{{4}})?"
+    f"{_DIGITS}++[-/.][0-9]{{1,2}}[-/.][0-9]{{2,}}+"
+    f"|{_DIGITS}{{4,}}+[-/][0-9]{{1,2}}[-/][0-9]++"
+    f"|{_DIGITS}++(?:st|nd|rd|th)? {_MONTH},? [0-9]{{4,}}+"
+    f"|{_MONTH} [0-9]++(?:st|nd|rd|th)?(?:,? [0-9]{{4,}}+)?"
 )
 _GAP = "[ ]{0,3}"
 _SIGN = f"{_GAP}[:=#]{_GAP}"
 _SIGNS = (":", "=", "#")
 
+_CODE = "[A-Z0-9][A-Z0-9-]{4,}+[A-Za-z0-9]*+"
+
 DEFAULT_RULES = (
-    Rule("EMAIL", r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
+    Rule("EMAIL", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}[A-Za-z0-9-]*+",
          needs=(("@",),), starts=("A-Za-z0-9._%+-",)),
-    Rule("GEOCOORD", r"[-+]?[0-9]{1,3}\.[0-9]{3,},[ ]?[-+]?[0-9]{1,3}\.[0-9]{3,}", starts=("0-9+-",)),
-    Rule("IP", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", starts=("0-9",)),
-    Rule("TEL", r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}",
+    Rule("GEOCOORD", rf"[-+]?{_DIGITS}++\.[0-9]{{3,}}+,[ ]?[-+]?[0-9]++\.[0-9]{{3,}}+", starts=("0-9+-",)),
+    Rule("IP", rf"{_DIGITS}++(?:\.[0-9]++){{3,}}+", starts=("0-9",)),
+    Rule("TEL", rf"(?:\+[0-9]{{1,3}}[ .-])?{_DIGITS}{{3,}}+[ .-][0-9]{{3}}[ .-][0-9]{{4,}}+"
+         r"|\+[0-9]{4,}+[ .-][0-9]{3}[ .-][0-9]{4,}+"
+         r"|(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ ]?[0-9]{3}[ .-][0-9]{4,}+",
          starts=("0-9+(",)),
-    Rule("SOCIALNUMBER", "[0-9]{3}-[0-9]{2}-[0-9]{4}", starts=("0-9",)),
+    Rule("SOCIALNUMBER", f"{_DIGITS}{{3,}}+-[0-9]{{2}}-[0-9]{{4,}}+", starts=("0-9",)),
     Rule("DATE", _DATE, starts=("0-9JFMASOND",)),
-    Rule("TIME", "[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?(?:[ ]?[AaPp][Mm])?", starts=("0-9",)),
+    Rule("TIME", f"{_DIGITS}++:[0-9]{{2,}}+(?::[0-9]++)*+(?:[ ]?[AaPp][Mm])?", starts=("0-9",)),
     Rule("TITLE", r"(?:Mrs|Mr|Ms|Dr|Prof)\.", starts=("MDP",)),
     Rule("DOB", _DATE, cue=f"(?i:date of birth|birth date|dob|born){_SIGN}",
          needs=(_SIGNS, ("birth", "dob", "born")), starts=("DdBb", "AaIiOo")),
-    Rule("PASS", "[A-Za-z0-9!#$%&*+./?@^_~-]{4,}",
+    Rule("PASS", "[A-Za-z0-9!#$%&*+./?@^_~-]{4,}+",
          cue=f"(?i:password|passcode|passwd|pwd|secret|token|api[_-]?key){_SIGN}[\"']?",
          needs=(_SIGNS, ("passw", "passcode", "pwd", "secret", "token", "apikey", "api_key", "api-key")),
          starts=("PpSsTtAa", "AaWwEeOoPp")),
-    Rule("PASSPORT", "[A-Z0-9]{6,9}", cue=f"(?i:passport)(?i:[ ]number|[ ]no\\.?)?{_SIGN}",
+    Rule("PASSPORT", "[A-Z0-9]{6,}+[A-Za-z0-9]*+", cue=f"(?i:passport)(?i:[ ]number|[ ]no\\.?)?{_SIGN}",
          needs=(_SIGNS, ("passport",)), starts=("Pp", "Aa")),
-    Rule("IDCARD", "[A-Z0-9][A-Z0-9-]{4,19}", cue=f"(?i:identity card|id card|national id){_SIGN}",
+    Rule("IDCARD", _CODE, cue=f"(?i:identity card|id card|national id){_SIGN}",
          needs=(_SIGNS, ("identity card", "id card", "national id")), starts=("IiNn", "DdAa")),
-    Rule("DRIVERLICENSE", "[A-Z0-9][A-Z0-9-]{4,19}",
+    Rule("DRIVERLICENSE", _CODE,
          cue=f"(?i:driver'?s? licen[cs]e|driving licen[cs]e){_SIGN}",
          needs=(_SIGNS, ("licence", "license")), starts=("Dd", "Rr")),
-    Rule("USERNAME", "[A-Za-z0-9][A-Za-z0-9._@-]{1,63}", cue=f"(?i:user ?name|user|login|handle){_SIGN}",
+    Rule("USERNAME", "[A-Za-z0-9][A-Za-z0-9._@-]++", cue=f"(?i:user ?name|user|login|handle){_SIGN}",
          needs=(_SIGNS, ("user", "login", "handle")), starts=("UuLlHh", "SsOoAa")),
-    Rule("POSTCODE", "[A-Za-z0-9]{3,5}(?:[ -][A-Za-z0-9]{3,4})?",
+    Rule("POSTCODE", "[A-Za-z0-9]{3,}+(?:[ -][A-Za-z0-9]{3,4}(?![A-Za-z0-9_]))?",
          cue=f"(?i:zip code|zip|post ?code|postal code){_SIGN}", needs=(_SIGNS, ("zip", "post")), starts=("ZzPp", "IiOo")),
-    Rule("SEX", "(?i:female|male|non-binary|diverse)", cue=f"(?i:sex|gender){_SIGN}",
+    Rule("SEX", "(?i:female|male|non-binary|diverse)(?![A-Za-z0-9_])", cue=f"(?i:sex|gender){_SIGN}",
          needs=(_SIGNS, ("sex", "gender")), starts=("SsGg", "Ee")),
 )
 
 # Patterns with many false hits; pass DEFAULT_RULES + BROAD_RULES to use them.
 BROAD_RULES = (
-    Rule("STREET", "[0-9]{1,5} [A-Z][a-z]+ (?:Street|Avenue|Road|Lane|Drive|Boulevard|St|Ave|Rd|Ln|Blvd)",
+    Rule("STREET", f"{_DIGITS}++ [A-Z][a-z]++ (?:Street|Avenue|Road|Lane|Drive|Boulevard|St|Ave|Rd|Ln|Blvd)",
          starts=("0-9",)),
-    Rule("BUILDING", "(?:Building|Bldg|House|Tower) [A-Z0-9]{1,6}", starts=("BHT",)),
-    Rule("SECADDRESS", "(?:Apartment|Apt|Suite|Unit|Flat)[.]? #?[A-Z0-9]{1,6}", starts=("ASUF",)),
+    Rule("BUILDING", "(?:Building|Bldg|House|Tower) [A-Z0-9]++", starts=("BHT",)),
+    Rule("SECADDRESS", "(?:Apartment|Apt|Suite|Unit|Flat)[.]? #?[A-Z0-9]++", starts=("ASUF",)),
 )
 
 

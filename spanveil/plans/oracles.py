@@ -7,18 +7,73 @@ are sums of lengths; masked text is rebuilt from the spans and the original.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from dataclasses import dataclass
+
 from spanveil.functions.text import WHITESPACE
 from spanveil.operators.answers import CHAT_PROMPT, JSON_PROMPT
 from spanveil.operators.lookup import WORD_CLASS
-from spanveil.operators.rules import DEFAULT_RULES, DEFAULT_TYPES, select_rules
 from spanveil.operators.score import EPSILON
 from spanveil.operators.training_text import IGNORED, MAX_LENGTH, TRAINING_PREFIX
-from spanveil.plans.queries import CUSTOM_RULES, HEAD, HEAD_TRAIN, HEAD_VALIDATION, SCORE_DIGITS, TYPE_SUBSET
+from spanveil.plans.queries import HEAD, HEAD_TRAIN, HEAD_VALIDATION, SCORE_DIGITS, TYPE_SUBSET
 
-CARD = "[0-9]{16}"
+CARD = "[0-9]{16,}"
 WORD = f"[{WORD_CLASS}]+"
 
 
+@dataclass(frozen=True)
+class Pattern:
+    """What a rule has to find, in RE2, written apart from the rules."""
+
+    label: str
+    pattern: str
+    cue: str = ""
+
+    @property
+    def whole(self) -> str:
+        return f"(?:{self.cue})(?:{self.pattern})" if self.cue else f"(?:{self.pattern})"
+
+
+_MONTHS = (
+    "(?:January|February|March|April|May|June|July|August|September|October|November|December|"
+    "Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sept|Sep|Oct|Nov|Dec)"
+)
+_DAY = (
+    r"[0-9]+[-/.][0-9]{1,2}[-/.][0-9]{2,}|[0-9]{4,}[-/][0-9]{1,2}[-/][0-9]+"
+    f"|[0-9]+(?:st|nd|rd|th)? {_MONTHS},? [0-9]{{4,}}|{_MONTHS} [0-9]+(?:st|nd|rd|th)?(?:,? [0-9]{{4,}})?"
+)
+_IS = " {0,3}[:=#] {0,3}"
+DEFAULT_RULES = (
+    Pattern("EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}[A-Za-z0-9-]*"),
+    Pattern("GEOCOORD", r"[-+]?[0-9]+\.[0-9]{3,}, ?[-+]?[0-9]+\.[0-9]{3,}"),
+    Pattern("IP", r"[0-9]+(?:\.[0-9]+){3,}"),
+    Pattern("TEL", r"(?:\+[0-9]{1,3}[ .-])?[0-9]{3,}[ .-][0-9]{3}[ .-][0-9]{4,}|\+[0-9]{4,}[ .-][0-9]{3}[ .-][0-9]{4,}"
+            r"|(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4,}"),
+    Pattern("SOCIALNUMBER", "[0-9]{3,}-[0-9]{2}-[0-9]{4,}"),
+    Pattern("DATE", _DAY),
+    Pattern("TIME", "[0-9]+:[0-9]{2,}(?::[0-9]+)*(?: ?[AaPp][Mm])?"),
+    Pattern("TITLE", r"(?:Mrs|Mr|Ms|Dr|Prof)\."),
+    Pattern("DOB", _DAY, f"(?i:date of birth|birth date|dob|born){_IS}"),
+    Pattern("PASS", "[A-Za-z0-9!#$%&*+./?@^_~-]{4,}", f"(?i:password|passcode|passwd|pwd|secret|token|api[_-]?key){_IS}[\"']?"),
+    Pattern("PASSPORT", "[A-Z0-9]{6,}[A-Za-z0-9]*", rf"(?i:passport)(?i: number| no\.?)?{_IS}"),
+    Pattern("IDCARD", "[A-Z0-9][A-Z0-9-]{4,}[A-Za-z0-9]*", f"(?i:identity card|id card|national id){_IS}"),
+    Pattern("DRIVERLICENSE", "[A-Z0-9][A-Z0-9-]{4,}[A-Za-z0-9]*", f"(?i:driver'?s? licen[cs]e|driving licen[cs]e){_IS}"),
+    Pattern("USERNAME", "[A-Za-z0-9][A-Za-z0-9._@-]+", f"(?i:user ?name|user|login|handle){_IS}"),
+    Pattern("POSTCODE", r"[A-Za-z0-9]{3,}(?:[ -][A-Za-z0-9]{3,4}\b)?", f"(?i:zip code|zip|post ?code|postal code){_IS}"),
+    Pattern("SEX", r"(?i:female|male|non-binary|diverse)\b", f"(?i:sex|gender){_IS}"),
+)
+CUSTOM_RULES = (Pattern("CREDITCARD", "[0-9]{16,}"), Pattern("HEXKEY", "[0-9a-f]{40,}"), *DEFAULT_RULES)
+# Fixed value: the default labels as a prompt names them.
+DEFAULT_TYPES = (
+    "TIME, USERNAME, IDCARD, SOCIALNUMBER, EMAIL, PASSPORT, DRIVERLICENSE, DOB, LASTNAME1, IP, GIVENNAME1, SEX, TEL, "
+    "CITY, POSTCODE, STREET, STATE, BUILDING, TITLE, COUNTRY, DATE, PASS, SECADDRESS, LASTNAME2, GIVENNAME2, GEOCOORD, LASTNAME3"
+).split(", ")
+
+
+def select_rules(types: Iterable[str]) -> tuple[Pattern, ...]:
+    return tuple(r for r in DEFAULT_RULES if r.label in types)
+
+
 def text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 

@@ -53,8 +53,8 @@ from spanveil.streaming.redact_stream import read_text_stream, redact_stream
 
 TYPE_SUBSET = ("EMAIL", "TEL")
 CUSTOM_RULES = (
-    Rule("CREDITCARD", "[0-9]{16}", starts=("0-9",)),
-    Rule("HEXKEY", "[0-9a-f]{40}", starts=("0-9a-f",)),
+    Rule("CREDITCARD", "(?<![0-9])[0-9]{16,}+", starts=("0-9",)),
+    Rule("HEXKEY", "(?<![0-9a-f])[0-9a-f]{40,}+", starts=("0-9a-f",)),
     *DEFAULT_RULES,
 )
 HEAD = 100
@@ -167,8 +167,8 @@ def dictionary_shuffle_join(spark, sf):
 
 
 def mask_cards(texts: list[str]) -> list[tuple[str, list[str]]]:
-    """What the stub models know: sixteen digits are a card number."""
-    return [(re.sub("[0-9]{16}", "[CARD]", t), re.findall("[0-9]{16}", t)) for t in texts]
+    """What the stub models know: sixteen digits or more are a card number."""
+    return [(re.sub("[0-9]{16,}", "[CARD]", t), re.findall("[0-9]{16,}", t)) for t in texts]
 
 
 def json_stub():

@@ -2,6 +2,8 @@
 
 import re
 
+import regex
+
 
 def align(original, redacted, name="[A-Z]+"):
     parts = re.split(rf"\[({name})\]", redacted)
@@ -36,12 +38,13 @@ def recover(text, entities):
 
 def detect(text, rules):
     """Leftmost match, first rule on a tie, repeated; no guards and no gates."""
-    compiled = [(r.label, re.compile(f"({r.cue})({r.pattern})")) for r in rules]
+    compiled = [(r.label, regex.compile(f"({r.cue})({r.pattern})")) for r in rules]
     spans, masked, at = [], [], 0
     pending = [p.search(text) for _, p in compiled]
     while True:
         for k, (_, p) in enumerate(compiled):
-            if pending[k] is not None and pending[k].start() < at:
+            anew = "\\G" in p.pattern and at
+            if anew or pending[k] is not None and pending[k].start() < at:
                 pending[k] = p.search(text, at)
         live = [(m.start(), k) for k, m in enumerate(pending) if m is not None]
         if not live:

@@ -50,7 +50,7 @@ if __name__ == "__main__":
     from __spark_entry__ import oracle_sql, queries
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    names = sys.argv[2:] or list(queries())
+    names = sys.argv[2:] or list(oracle_sql())
     spark = (
         SparkSession.builder.master("local[8]").config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,6 +64,48 @@ def test_null_empty_and_reserved_characters(spark):
     ]
 
 
+WHOLE = [
+    ("x" * 80 + "@ex.com", "[EMAIL]"),
+    ("a@b.com1", "[EMAIL]"),
+    ("passport: AB1234567890123", "passport: [PASSPORT]"),
+    ("id card: " + "A1" * 15, "id card: [IDCARD]"),
+    ("driving license: " + "A1" * 15, "driving license: [DRIVERLICENSE]"),
+    ("user: " + "u" * 80, "user: [USERNAME]"),
+    ("123-45-67890", "[SOCIALNUMBER]"),
+    ("9123-45-6789", "[SOCIALNUMBER]"),
+    ("1234.5.6.78901", "[IP]"),
+    ("1.2.3.4.5", "[IP]"),
+    ("10:30:5", "[TIME]"),
+    ("2024-01-123", "[DATE]"),
+    ("123/4/56", "[DATE]"),
+    ("May 12345", "[DATE]"),
+    ("1555-123-45678", "[TEL]"),
+    ("zip: 1234567", "zip: [POSTCODE]"),
+    ("zip: 90210 something", "zip: [POSTCODE] something"),
+    ("sex: malevolent", "sex: malevolent"),
+    ("sex: male.", "sex: [SEX]."),
+    ("12:30abc@x.com", "[TIME][EMAIL]"),
+]
+
+
+def test_no_tail_of_a_longer_value_is_left(spark):
+    got = results(redact(frame(spark, [t for t, _ in WHOLE])))
+    assert [masked for masked, _ in got] == [want for _, want in WHOLE]
+
+
+@pytest.mark.parametrize("text", ["a" * 2_000_000, "1" * 2_000_000, "1." * 1_000_000, "1-" * 1_000_000, "a@" * 500_000, "A-" * 1_000_000])
+def test_long_junk_takes_linear_time(spark, text):
+    started = time.monotonic()
+    redact(frame(spark, [text])).collect()
+    assert time.monotonic() - started < 40
+
+
+def test_bad_rules_are_refused():
+    for pattern in ("(c)at", "[0-9]*", "(?P<n>x)"):
+        with pytest.raises(ValueError, match="rule BAD"):
+            Rule("BAD", pattern)
+
+
 def test_types_restrict_detection(spark):
     df = frame(spark, ["a@b.de 1.2.3.4"])
     assert results(redact(df, types=["IP"])) == [("a@b.de [IP]", [("IP", "1.2.3.4", 7, 14)])]
