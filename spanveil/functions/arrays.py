@@ -16,15 +16,21 @@ def bind(value: str, name: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def running_total(numbers: str) -> str:
-    """Inclusive prefix sums of an int array.
+def running(numbers: str, combine: str) -> str:
+    """Inclusive prefixes of an int array, ``combine`` joining ``x`` and the part ``y`` to its left.
 
-    Each round adds the element ``2**k`` places to the left, so n numbers take
+    Each round takes in the element ``2**k`` places to the left, so n numbers take
     log2(n) passes. A fold that appends to its own accumulator would copy the
     array at every step and need n**2 work for a text with n pieces.
     """
-    add_left = "transform(sums, (x, i) -> x + coalesce(if(i >= step, get(sums, i - step), 0), 0))"
+    taken = bind("get(sums, i - step)", "y", combine)
+    add_left = f"transform(sums, (x, i) -> if(i >= step, {taken}, x))"
     return (
         f"aggregate(sequence(0, cast(ceil(log2(greatest(size({numbers}), 1))) as int)), {numbers}, "
         f"(sums, k) -> {bind('shiftleft(1, k)', 'step', add_left)})"
     )
+
+
+def running_total(numbers: str) -> str:
+    """Inclusive prefix sums of an int array."""
+    return running(numbers, "x + y")

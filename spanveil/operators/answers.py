@@ -22,6 +22,8 @@ Predict = Callable[[list[str]], Sequence[str | None]]
 
 # Prompts per call of the caller's function.
 BATCH_SIZE = 256
+# Failed single calls in a row after which a model counts as dead for a batch.
+GIVE_UP = 8
 
 ANSWER_DDL = "redacted_text STRING, pii_entities ARRAY<STRUCT<label: STRING, value: STRING>>"
 
@@ -79,9 +81,6 @@ Output:
          """{text}"""
          Output:
         '''
-JSON_SYSTEM = (
-    "You are a PII detection and redaction assistant. You must respond with valid JSON only."
-)
 
 
 def _fill(template: str, text: Column, types: Sequence[str]) -> Column:
@@ -95,7 +94,7 @@ def chat_prompt(text: Column, types: Sequence[str] = DEFAULT_TYPES) -> Column:
 
 
 def json_prompt(text: Column, types: Sequence[str] = DEFAULT_TYPES) -> Column:
-    """Prompt for a model that answers with JSON; its system line is JSON_SYSTEM."""
+    """Prompt for a model that answers with JSON."""
     return _fill(JSON_PROMPT, text, types)
 
 
@@ -112,16 +111,29 @@ def assistant_part(content: Column) -> Column:
 def parse_answer(raw: Column) -> Column:
     """A JSON answer as a struct, null where it cannot be used.
 
-    It is unusable when it is no JSON, when either field is missing or has the
-    wrong shape, or when an entity lacks its label or value.
+    It is unusable when it is not one JSON document and nothing else, when either
+    field is missing or has the wrong shape, or when an entity lacks its label or
+    value; these and the masked text have to be JSON strings.
     """
-    parsed = F.from_json(raw, ANSWER_DDL)
-    broken = F.exists(
-        parsed["pii_entities"], lambda e: e.isNull() | e["label"].isNull() | e["value"].isNull()
-    )
-    return F.when(
-        parsed["redacted_text"].isNotNull() & parsed["pii_entities"].isNotNull() & ~broken, parsed
+    parsed = F.from_json(raw, ANSWER_DDL, {"allowSingleQuotes": "false"})
+    # The parser stops behind the first document. Inside a list and inside an
+    # object, text that follows it breaks one of the two.
+    listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]"))), "$", "array<variant>")
+    document = F.try_parse_json(F.concat(F.lit('{"x":'), raw, F.lit("}")))
+    kind = lambda path: F.schema_of_variant(F.try_variant_get(document, path, "variant"))
+    entities = F.try_variant_get(document, "$.x.pii_entities", "array<struct<label: variant, value: variant>>")
+    is_text = lambda v: F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False))
+    broken = F.exists(entities, lambda e: e.isNull() | ~is_text(e["label"]) | ~is_text(e["value"]))
+    usable = (
+        document.isNotNull()
+        & (F.size(listed) == 1)
+        & (kind("$.x.redacted_text") == "STRING")
+        & entities.isNotNull()
+        & ~broken
+        & parsed["redacted_text"].isNotNull()
+        & parsed["pii_entities"].isNotNull()
     )
+    return F.when(usable, parsed)
 
 
 def with_fallback(df: DataFrame, text_col: str, masked: Column, spans: Column) -> DataFrame:
@@ -157,42 +169,62 @@ def read_json_answers(df: DataFrame, text_col: str, raw_col: str) -> DataFrame:
     )
 
 
-def _answer_batch(predict: Predict, prompts: list[str]) -> list[str | None]:
-    """Answers of one batch; a batch that fails is asked again text by text."""
+def _texts_only(answers: Sequence[str | None]) -> list[tuple[str | None, str | None]]:
+    return [(a, None) if isinstance(a, str) else (None, f"no text but {type(a).__name__}") for a in answers]
+
+
+def _answer_batch(predict: Predict, prompts: list[str]) -> list[tuple[str | None, str | None]]:
+    """Answers of one batch with the reason where there is none.
+
+    A batch that fails is asked again text by text. A model that fails GIVE_UP
+    times in a row there is not asked for the rest of the batch.
+    """
     try:
         answers = list(predict(prompts))
         if len(answers) == len(prompts):
-            return answers
-    except Exception:
-        pass
-    single: list[str | None] = []
-    for prompt in prompts:
+            return _texts_only(answers)
+        why = f"{len(answers)} answers to {len(prompts)} prompts"
+    except Exception as problem:
+        why = _reason(problem)
+    single: list[tuple[str | None, str | None]] = []
+    failures = 0
+    for prompt in prompts if len(prompts) > 1 else ():
         try:
-            single.append(predict([prompt])[0])
-        except Exception:
-            single.append(None)
-    return single
+            single += _texts_only(list(predict([prompt]))[:1] or [None])
+            failures = 0
+        except Exception as problem:
+            single.append((None, _reason(problem)))
+            failures += 1
+        if failures == GIVE_UP:
+            why = f"not asked after {GIVE_UP} failures in a row"
+            break
+    return single + [(None, why)] * (len(prompts) - len(single))
+
+
+def _reason(problem: Exception) -> str:
+    return f"{type(problem).__name__}: {problem}"[:200]
 
 
 def ask(prompts: Column, make_predict: Callable[[], Predict], batch_size: int = BATCH_SIZE) -> Column:
-    """Answers of the caller's function, which is made once per task.
+    """``answer`` and ``failure`` of the caller's function, which is made once per task.
 
-    Spark hands over ``spark.sql.execution.arrow.maxRecordsPerBatch`` rows at a
-    time; the function gets them in lists of at most ``batch_size``.
+    An answer that is no text counts as none, and ``failure`` says why there is
+    none. Spark hands over ``spark.sql.execution.arrow.maxRecordsPerBatch`` rows
+    at a time; the function gets them in lists of at most ``batch_size``.
     """
 
-    @F.pandas_udf("string")
-    def answer(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("answer string, failure string")
+    def answer(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         predict = make_predict()
         for batch in batches:
-            asked = batch.notna()
-            answers = pd.Series([None] * len(batch), index=batch.index, dtype=object)
-            prompts_here = batch[asked].tolist()
-            got: list[str | None] = []
+            asked = batch.notna().tolist()
+            prompts_here = [p for p, a in zip(batch, asked) if a]
+            got: list[tuple[str | None, str | None]] = []
             for first in range(0, len(prompts_here), batch_size):
                 got += _answer_batch(predict, prompts_here[first : first + batch_size])
-            answers[asked] = got
-            yield answers
+            given = iter(got)
+            rows = [next(given) if a else (None, "no text") for a in asked]
+            yield pd.DataFrame(rows, columns=["answer", "failure"], dtype=object)
 
     # Asking again gives another answer and costs another call, so the planner
     # must not copy the call into filters above it.
@@ -214,16 +246,21 @@ def redact_with(
     ``make_predict`` returns a function from a list of prompts to a list of
     answers. ``answers`` says what it returns: ``"json"`` documents, or ``"chat"``
     output with the masked text. ``only_types`` drops entities of other labels.
+    Rows without a usable answer keep their text, and ``failure`` gives the reason.
     Write the result before using it twice if the model is not deterministic.
     """
     if answers not in ("json", "chat"):
         raise ValueError(f"answers must be 'json' or 'chat', not {answers!r}")
     make_prompt = json_prompt if answers == "json" else chat_prompt
-    asked = df.withColumn("_raw", ask(make_prompt(F.col(text_col), types), make_predict, batch_size))
+    asked = df.withColumn("_asked", ask(make_prompt(F.col(text_col), types), make_predict, batch_size))
+    asked = asked.withColumns({"_raw": F.col("_asked.answer"), "_why": F.col("_asked.failure")}).drop("_asked")
     if answers == "json":
         result = read_json_answers(asked, text_col, "_raw").drop("_raw")
     else:
         result = read_chat_answers(asked, text_col, "_raw", placeholder).drop("_raw")
+    # The model gave no text, or what it gave cannot be used.
+    why = F.when(F.col("failed"), F.coalesce("_why", F.lit("answer cannot be read")))
+    result = result.withColumn("failure", why).drop("_why")
     if only_types:
         wanted = list(types)
         result = result.withColumn(

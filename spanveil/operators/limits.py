@@ -5,6 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanveil.sources.shared import fresh_path
+
+
+def _last_id(ids: DataFrame, n: int) -> tuple[object, int] | None:
+    """The id of the n-th row in id order and the number of rows with smaller ids; None if there are fewer rows.
+
+    The sorted ids are written once. The driver gets a count and the least id of
+    each written file, and one task looks into the file that holds the n-th row.
+    """
+    spark = ids.sparkSession
+    path = fresh_path(spark, "ids")
+    ids.orderBy("_id").write.parquet(path)
+    files = spark.read.parquet(path).withColumn("_file", F.input_file_name())
+    below = 0
+    for r in sorted(files.groupBy("_file").agg(F.min("_id").alias("least"), F.count("*").alias("n")).collect(), key=lambda r: r.least):
+        if below + r.n >= n:
+            part = files.where(F.col("_file") == r["_file"])
+            last = part.orderBy("_id").limit(n - below).agg(F.max("_id")).first()[0]
+            return last, below + part.where(F.col("_id") < F.lit(last)).count()
+        below += r.n
+    return None
+
 
 def head_n(df: DataFrame, id_col: str, n: int | None) -> DataFrame:
     """The ``n`` rows with the smallest ids; all rows for None or 0, none below 0.
@@ -12,15 +34,17 @@ def head_n(df: DataFrame, id_col: str, n: int | None) -> DataFrame:
     Only the ids are sorted, and the last one wanted becomes a plain filter on
     ``id_col`` that reaches the scan, so texts past the limit are never read.
     Rows that share the last id are counted, so exactly ``n`` rows come back.
+    Rows without an id come after all others.
     """
     if not n:
         return df
     if n < 0:
         return df.limit(0)
-    ids = df.select(id_col).filter(F.col(id_col).isNotNull()).orderBy(id_col).limit(n)
-    cut = ids.groupBy(id_col).count().orderBy(F.desc(id_col)).first()
+    known = df.filter(F.col(id_col).isNotNull())
+    cut = _last_id(known.select(F.col(id_col).alias("_id")), n)
     if cut is None:
-        return df.limit(n)
-    last, at_last = cut[0], cut[1]
+        missing = n - known.count()
+        return known.unionByName(df.filter(F.col(id_col).isNull()).limit(missing)) if missing else known
+    last, below = cut
     ties = df.filter(F.col(id_col) == F.lit(last))
-    return df.filter(F.col(id_col) < F.lit(last)).unionByName(ties.limit(at_last))
+    return df.filter(F.col(id_col) < F.lit(last)).unionByName(ties.limit(n - below))

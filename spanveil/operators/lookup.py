@@ -2,82 +2,47 @@
 
 Lists apply to the plain segments that the rules left, so rule and list
 entities never overlap. A term is one word or several; it matches whole words in
-any letter case, with any whitespace between them, the longest term first.
-
-The work has two parts: find which terms a text holds, then cut the text at
-them. A short list is checked inside the row. A longer one is joined with the
-distinct word groups of each text, as a broadcast when its measured size
-allows, else as a shuffle join. That join is salted by row, because otherwise a
-common word would gather in one task.
+any letter case, with any white space between them, the longest term first.
+
+The words of a segment are looked up by position: a hash of first words tells
+which lengths a term can have there, a second one holds the terms. So a segment
+costs as much as it has words, whatever the list. The list travels to the tasks
+in parts of at most PART_BYTES, whose size is known before; a list of more than
+STAGE_PARTS parts takes more stages, which hand on the places found so far. No
+text is exchanged and nothing is joined, so the same expressions run on a
+stream (up to STAGE_PARTS parts).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanveil.functions.arrays import bind
 from spanveil.functions.text import quoted
-from spanveil.operators.detect import MARK, add_redaction, holds_reserved, segment, with_segments
+from spanveil.operators.detect import add_redaction, with_segments
 from spanveil.operators.rules import DEFAULT_RULES, Rule, select_rules
+from spanveil.sources.shared import fresh_path
 
 # A word is a run of these; hyphens and apostrophes separate words.
 WORD_CLASS = r"\p{L}\p{M}\p{N}_"
-BETWEEN = r"\s+"
-
-INLINE_TERMS = 5_000
-INLINE_BYTES = 1 << 20
-BROADCAST_BYTES = 64 << 20
-SALTS = 32
-
-_FOUND_DDL = "ARRAY<STRUCT<term: STRING, label: STRING>>"
-
 
-def _words(text: str) -> str:
-    return f"regexp_extract_all({text}, {quoted(f'[{WORD_CLASS}]+')}, 0)"
+PART_BYTES = 32 << 20
+STAGE_PARTS = 4
 
+_SEGMENTS_DDL = "array<struct<piece: string, label: string>>"
+_PLACES_DDL = "array<struct<segment: int, start: int, end: int, label: string>>"
 
-def _plain_terms(segments: str, longest: int) -> str:
-    """SQL text: distinct groups of one to ``longest`` adjacent words, per plain segment."""
-    groups = _words("s.piece")
-    if longest > 1:
-        # Groups across punctuation are candidates too; the cut does not match them.
-        of_n = "transform(sequence(1, size(words) - n + 1), i -> array_join(slice(words, i, n), ' '))"
-        longer = f"transform(sequence(2, {longest}), n -> if(size(words) >= n, {of_n}, CAST(array() AS ARRAY<STRING>)))"
-        groups = bind(groups, "words", f"concat(words, flatten({longer}))")
-    return f"array_distinct(flatten(transform(filter({segments}, s -> s.label IS NULL), s -> {groups})))"
 
-
-def _cut_at_terms(segments: str, found: str) -> str:
-    """SQL text: the plain segments split at the found terms.
-
-    The pattern is built per row from the terms that may occur, longest first.
-    Words hold no character with a meaning in a pattern.
-    """
-    longest_first = f"array_sort({found}, (a, b) -> length(b.term) - length(a.term))"
-    alternatives = f"array_join(transform({longest_first}, f -> replace(f.term, ' ', {quoted(BETWEEN)})), '|')"
-    pattern = (
-        f"concat({quoted(f'(?<![{WORD_CLASS}])(')}, {alternatives}, {quoted(f')(?![{WORD_CLASS}])')})"
-    )
-    same = f"f -> f.term = regexp_replace(part, {quoted(BETWEEN)}, ' ')"
-    label = f"if(i % 2 = 1, element_at(filter({found}, {same}), 1).label, NULL)"
-    parts = f"split(regexp_replace(s.piece, pattern, {quoted(f'{MARK}$1{MARK}')}), {quoted(MARK)}, -1)"
-    cut = f"transform({parts}, (part, i) -> {segment('part', label)})"
-    keep = f"s.label IS NOT NULL OR {holds_reserved('s.piece')}"
-    every = f"flatten(transform({segments}, s -> if({keep}, array(s), {cut})))"
-    return f"if(size({found}) = 0, {segments}, {bind(pattern, 'pattern', every)})"
-
-
-def _keyed(dictionary: DataFrame, types: Sequence[str] | None) -> DataFrame:
-    """Terms in lower case with one label each, the first in label order.
-
-    ``bad`` holds a term that is not made of words and spaces, if there is one.
-    """
+def _terms(dictionary: DataFrame, types: Sequence[str] | None) -> DataFrame:
+    """``key`` (words joined by a space, lower case) with the first of its labels, and ``bad``, a term that is none."""
     wanted = dictionary if types is None else dictionary.filter(F.col("label").isin(list(types)))
-    words = f"array_join({_words('term')}, ' ')"
-    spaced = f"regexp_replace(trim(term), {quoted(BETWEEN)}, ' ')"
+    words = f"array_join(regexp_extract_all(term, {quoted(f'[{WORD_CLASS}]+')}, 0), ' ')"
+    # (?U) lets white space mean that of Unicode, as between the words of a text.
+    spaced = f"trim(regexp_replace(term, {quoted(r'(?U)\s+')}, ' '))"
     return (
         wanted.selectExpr("label", f"{words} AS words", f"if({spaced} <> {words} OR {words} = '', term, NULL) AS bad")
         .groupBy(F.expr("lower(words)").alias("key"))
@@ -85,99 +50,121 @@ def _keyed(dictionary: DataFrame, types: Sequence[str] | None) -> DataFrame:
     )
 
 
-def _refuse(bad: str | None) -> None:
-    if bad is not None:
-        raise ValueError(f"a dictionary term may hold words and spaces only: {bad!r}")
-
-
-def _found_inline(segments: str, terms: Sequence[tuple[str, str]], longest: int) -> str:
-    """SQL text: the listed terms with their labels; each list is one hash set."""
-    by_label: dict[str, list[str]] = {}
-    for key, label in terms:
-        by_label.setdefault(label, []).append(key)
-    if not by_label:
-        return f"CAST(array() AS {_FOUND_DDL})"
-    label_of = " ".join(
-        f"WHEN lower(t) IN ({', '.join(map(quoted, keys))}) THEN {quoted(label)}"
-        for label, keys in sorted(by_label.items())
-    )
-    candidates = _plain_terms(segments, longest)
-    pairs = f"transform({candidates}, t -> named_struct('term', t, 'label', CASE {label_of} END))"
-    return f"filter({pairs}, f -> f.label IS NOT NULL)"
-
-
-def _found_by_join(
-    cut: DataFrame, text_col: str, id_col: str, terms: DataFrame, longest: int, broadcast: bool
-) -> DataFrame:
-    """(_id, _found) for the texts that hold listed terms.
-
-    The state per id is the set of listed terms, so it is bounded by the list
-    also where many rows share an id.
-    """
-    words = cut.select(
-        F.col(id_col).alias("_id"),
-        F.pmod(F.xxhash64(id_col, text_col), F.lit(SALTS)).alias("salt"),
-        F.expr(f"explode({_plain_terms('_segments', longest)})").alias("term"),
-    ).withColumn("key", F.lower("term"))
-    if broadcast:
-        hits = words.join(F.broadcast(terms), "key")
-    else:
-        salted = terms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        hits = words.join(salted, ["key", "salt"])
-    return hits.groupBy("_id").agg(F.collect_set(F.struct("term", "label")).alias("_found"))
+def _parts(terms: DataFrame, part_bytes: int) -> Iterator[dict[str, str]]:
+    """The list in parts; the driver holds one part at a time."""
+    part: dict[str, str] = {}
+    room = part_bytes
+    for r in terms.orderBy("key").toLocalIterator():
+        size = len(r["key"].encode()) + len(r["label"].encode())
+        if part and size > room:
+            yield part
+            part, room = {}, part_bytes
+        part[r["key"]] = r["label"]
+        room -= size
+    if part:
+        yield part
+
+
+class _Finder:
+    """Places of a part's terms in plain pieces; made once per task."""
+
+    def __init__(self, terms: dict[str, str]) -> None:
+        self.terms = terms
+        self.words = regex.compile(f"[{WORD_CLASS}]+")
+        lengths: dict[str, set[int]] = {}
+        for key in terms:
+            first, *rest = key.split(" ")
+            lengths.setdefault(first, set()).add(1 + len(rest))
+        self.lengths = {first: sorted(sizes, reverse=True) for first, sizes in lengths.items()}
+
+    def places(self, piece: str) -> Iterator[tuple[int, int, str]]:
+        spans = [m.span() for m in self.words.finditer(piece)]
+        words = [piece[a:b].lower() for a, b in spans]
+        for i, word in enumerate(words):
+            for n in self.lengths.get(word, ()):
+                label = self.terms.get(" ".join(words[i : i + n])) if i + n <= len(words) else None
+                gaps = (piece[spans[j][1] : spans[j + 1][0]] for j in range(i, i + n - 1))
+                if label is not None and all(gap.isspace() for gap in gaps):
+                    yield spans[i][0], spans[i + n - 1][1], label
+
+
+def _find(shared):
+    @F.pandas_udf(_PLACES_DDL)
+    def find(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        finder = _Finder(shared.value)
+        for batch in rows:
+            found = []
+            for segments in batch:
+                here = [] if segments is not None else None
+                for k, s in enumerate(segments if segments is not None else ()):
+                    if s["label"] is None and s["piece"]:
+                        here += [{"segment": k, "start": a, "end": b, "label": x} for a, b, x in finder.places(s["piece"])]
+                found.append(here)
+            yield pd.Series(found, dtype=object)
+
+    return find
+
+
+def _cut():
+    @F.pandas_udf(_SEGMENTS_DDL)
+    def cut(rows: pd.Series, places: pd.Series) -> pd.Series:
+        """Segments cut at the places: from left to right, the longest where several begin."""
+        out = []
+        for segments, found in zip(rows, places):
+            if segments is None or found is None or not len(found):
+                out.append(None if segments is None else list(segments))
+                continue
+            by_segment: dict[int, list] = {}
+            for p in found:
+                by_segment.setdefault(p["segment"], []).append((p["start"], -p["end"], p["label"]))
+            done = []
+            for k, s in enumerate(segments):
+                at = 0
+                for start, end, label in sorted(by_segment.get(k, ())):
+                    if start >= at:
+                        done.append({"piece": s["piece"][at:start], "label": None})
+                        done.append({"piece": s["piece"][start:-end], "label": label})
+                        at = -end
+                done.append({"piece": s["piece"][at:], "label": None} if at else s)
+            out.append(done)
+        return pd.Series(out, dtype=object)
+
+    return cut
 
 
 def redact_with_lists(
     df: DataFrame,
     text_col: str,
     dictionary: DataFrame,
-    id_col: str | None = None,
     types: Sequence[str] | None = None,
     rules: Iterable[Rule] = DEFAULT_RULES,
-    inline_terms: int = INLINE_TERMS,
-    broadcast_bytes: int = BROADCAST_BYTES,
+    part_bytes: int = PART_BYTES,
 ) -> DataFrame:
     """Mask rule matches and listed terms; adds ``redacted_text`` and ``pii_entities``.
 
-    ``dictionary`` has the columns ``term`` and ``label``. ``id_col`` is needed
-    for lists too long for the inline check.
+    ``dictionary`` has the columns ``term`` and ``label``. Of several labels of a
+    term the first in order counts.
     """
-    terms = _keyed(dictionary, types)
-    chosen = select_rules(types, rules)
+    spark = df.sparkSession
+    terms = _terms(dictionary, types)
+    bad = terms.agg(F.max("bad")).first()[0]
+    if bad is not None:
+        raise ValueError(f"a dictionary term may hold words and spaces only: {bad!r}")
     columns = [c for c in df.columns if c not in ("redacted_text", "pii_entities")]
-
-    # One row more than the inline check takes shows whether the list is short.
-    head = terms.limit(max(inline_terms, 0) + 1).collect()
-    size = sum(len(r["key"].encode()) for r in head)
-    if len(head) <= inline_terms and size <= INLINE_BYTES:
-        _refuse(max((r["bad"] for r in head if r["bad"] is not None), default=None))
-        longest = max((len(r["key"].split(" ")) for r in head), default=1)
-        rows = [(r["key"], r["label"]) for r in head]
-        cut = with_segments(df, text_col, chosen)
-        found = cut.withColumn("_found", F.expr(_found_inline("_segments", rows, longest)))
-    else:
-        if id_col is None:
-            raise ValueError("a list this long needs a join: give id_col")
-        size, longest, bad = terms.selectExpr(
-            "coalesce(sum(octet_length(key) + octet_length(label)), 0)",
-            "coalesce(max(size(split(key, ' '))), 1)",
-            "max(bad)",
-        ).first()
-        _refuse(bad)
-        hits = _found_by_join(
-            with_segments(df, text_col, chosen),
-            text_col,
-            id_col,
-            terms.select("key", "label"),
-            longest,
-            size <= broadcast_bytes,
-        )
-        # The text itself crosses this join, its segments are made after it. A
-        # null id has to find its terms as well, hence the null-safe match.
-        joined = df.join(hits, df[id_col].eqNullSafe(hits["_id"]), "left").drop("_id")
-        found = with_segments(joined, text_col, chosen).withColumn(
-            "_found", F.expr(f"coalesce(_found, CAST(array() AS {_FOUND_DDL}))")
-        )
-    return add_redaction(
-        found.select(*columns, F.expr(_cut_at_terms("_segments", "_found")).alias("_segments"))
-    )
+    staged = with_segments(df, text_col, select_rules(types, rules)).select(*columns, "_segments")
+    found: list[str] = []
+    for i, part in enumerate(_parts(terms, part_bytes)):
+        if i and i % STAGE_PARTS == 0:
+            if df.isStreaming:
+                raise ValueError(f"a list for a stream may have {STAGE_PARTS} parts of {part_bytes} bytes")
+            together = F.flatten(F.array(*found)).alias("_places_0")
+            path = fresh_path(spark, "lists")
+            staged.select(*columns, "_segments", together).write.parquet(path)
+            staged, found = spark.read.parquet(path), ["_places_0"]
+        shared = spark.sparkContext.broadcast(part)
+        found.append(f"_places_{i + 1}")
+        staged = staged.withColumn(found[-1], _find(shared)("_segments"))
+    if found:
+        cut = _cut()("_segments", F.flatten(F.array(*found)))
+        staged = staged.select(*columns, cut.alias("_segments"))
+    return add_redaction(staged)

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanveil.functions.arrays import bind, running
 from spanveil.functions.text import name
 
 # Fixed value: keeps the ratios defined when there is nothing to count.
@@ -21,8 +22,10 @@ EPSILON = 1e-9
 
 def _keys(spans_col: str, ignore_labels: bool, output: str) -> Column:
     """Spans as strings; on strings Spark's array set functions use hash sets."""
-    parts = "s.start, s.end" if ignore_labels else "s.start, s.end, s.label"
-    return F.expr(f"transform({name(spans_col)}, s -> concat_ws(':', {parts}))").alias(output)
+    # A null has a mark of its own, and the label comes last: no two spans share a key.
+    place = "coalesce(CAST(s.start AS STRING), 'n'), ':', coalesce(CAST(s.end AS STRING), 'n')"
+    label = "" if ignore_labels else ", if(s.label IS NULL, '', concat(':', s.label))"
+    return F.expr(f"transform({name(spans_col)}, s -> concat({place}{label}))").alias(output)
 
 
 def score_rows(
@@ -67,15 +70,22 @@ def score_by_label(
         _keys(pred_col, ignore_labels, "_pred_keys"),
         _keys(gold_col, ignore_labels, "_gold_keys"),
     )
-    predicted = (
-        "transform(_pred, (s, i) -> named_struct('label', s.label, "
-        "'hit', array_contains(_gold_keys, get(_pred_keys, i)), 'gold', false))"
+    # Sorted by key, each key that both lists hold is led by a mark; a span is a
+    # hit if the last mark before it has its key. n log n for n spans of a row.
+    both = "transform(array_intersect(_pred_keys, _gold_keys), k -> named_struct('key', k, 'side', 0, 'label', CAST(NULL AS STRING)))"
+    side = lambda spans, keys, n: (
+        f"transform({spans}, (s, i) -> named_struct('key', get({keys}, i), 'side', {n}, 'label', s.label))"
     )
-    missed = (
-        "transform(_gold, (s, i) -> named_struct('label', s.label, "
-        "'hit', array_contains(_pred_keys, get(_gold_keys, i)), 'gold', true))"
+    tagged = f"array_sort(concat({both}, {side('_pred', '_pred_keys', 1)}, {side('_gold', '_gold_keys', 2)}))"
+    last = running("transform(tagged, (t, i) -> if(t.side = 0, i, -1))", "greatest(x, y)")
+    hits = bind(
+        last,
+        "last",
+        "transform(tagged, (t, i) -> named_struct('label', t.label, 'side', t.side, "
+        "'hit', coalesce(get(tagged, if(get(last, i) < 0, NULL, get(last, i))).key = t.key, false)))",
     )
-    marks = keyed.select(F.expr(f"explode(concat({predicted}, {missed}))").alias("m")).select("m.*")
+    rows = keyed.select(F.expr(tagged).alias("tagged")).select(F.expr(f"explode({hits})").alias("m"))
+    marks = rows.select("m.label", (F.col("m.side") == 2).alias("gold"), "m.hit").where(F.col("m.side") > 0)
     counts = marks.groupBy("label").agg(
         F.expr("count_if(NOT gold AND hit)").alias("tp"),
         F.expr("count_if(NOT gold AND NOT hit)").alias("fp"),
@@ -91,26 +101,35 @@ def rounded(scores: DataFrame, digits: int = 4) -> DataFrame:
     return scores.withColumns({c: F.round(c, digits) for c in ("precision", "recall", "f1")})
 
 
-def _stacked(pred: DataFrame, gold: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Both span tables with their repeats counted in ``p`` and ``g``, one row per key.
+def stacked(pred: DataFrame, gold: DataFrame) -> DataFrame:
+    """Both span tables as one, ``p`` 1 for a predicted span and ``g`` 1 for a gold one."""
+    return pred.selectExpr("*", "1 AS p", "0 AS g").unionByName(gold.selectExpr("*", "0 AS p", "1 AS g"))
+
+
+def stacked_rows(df: DataFrame, pred_col: str, gold_col: str, *keep: str) -> DataFrame:
+    """The spans of two array columns as `stacked` gives them, in one pass over ``df``."""
+    side = lambda c, p: f"transform({name(c)}, s -> named_struct('s', s, 'p', {p}, 'g', {1 - p}))"
+    # filter() keeps Spark from pushing a size test below the projection that computes the spans.
+    spans = f"filter(concat({side(pred_col, 1)}, {side(gold_col, 0)}), t -> t.s IS NOT NULL)"
+    rows = df.select(*keep, F.expr(f"explode({spans})").alias("_t"))
+    return rows.select(*keep, "_t.s.*", "_t.p", "_t.g")
+
+
+def _counted(spans: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Repeats of each key counted in ``p`` and ``g``.
 
     Repeats go on the map side and one exchange is enough; joining the tables
     would take three. The key holds the span, so a text with very many spans
     is spread over the tasks.
     """
-    sides = pred.selectExpr(*map(name, key), "1 AS p", "0 AS g").unionByName(
-        gold.selectExpr(*map(name, key), "0 AS p", "1 AS g")
-    )
-    return sides.groupBy(*key).agg(F.sum("p").alias("p"), F.sum("g").alias("g"))
+    return spans.groupBy(*key).agg(F.sum("p").alias("p"), F.sum("g").alias("g"))
 
 
-def score_long_form(
-    pred: DataFrame, gold: DataFrame, id_cols: Sequence[str], ignore_labels: bool = False
-) -> DataFrame:
-    """Corpus totals for spans stored one per row; same counts as ``score``."""
+def score_long_form(spans: DataFrame, id_cols: Sequence[str], ignore_labels: bool = False) -> DataFrame:
+    """Corpus totals for spans one per row, as `stacked` or `stacked_rows` give them; same counts as ``score``."""
     key = [*id_cols, "start", "end", *([] if ignore_labels else ["label"])]
     return with_ratios(
-        _stacked(pred, gold, key).agg(
+        _counted(spans, key).agg(
             F.expr("count_if(p > 0 AND g > 0)").alias("tp"),
             F.expr("count_if(p > 0 AND g = 0)").alias("fp"),
             F.expr("count_if(p = 0 AND g > 0)").alias("fn"),
@@ -118,15 +137,13 @@ def score_long_form(
     )
 
 
-def score_long_form_by_label(
-    pred: DataFrame, gold: DataFrame, id_cols: Sequence[str], ignore_labels: bool = False
-) -> DataFrame:
-    """Scores per label for spans stored one per row; same counts as ``score_by_label``.
+def score_long_form_by_label(spans: DataFrame, id_cols: Sequence[str], ignore_labels: bool = False) -> DataFrame:
+    """Scores per label for spans one per row, as `stacked` gives them; same counts as ``score_by_label``.
 
     With labels ignored, the labels found at one place have to see each other:
     a window over the place, which holds at most one row per label.
     """
-    spans = _stacked(pred, gold, [*id_cols, "start", "end", "label"])
+    spans = _counted(spans, [*id_cols, "start", "end", "label"])
     p_here, g_here = F.col("p"), F.col("g")
     if ignore_labels:
         place = Window.partitionBy(*id_cols, "start", "end")

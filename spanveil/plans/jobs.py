@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spanveil.operators.answers import Predict, redact_with
 from spanveil.operators.detect import redact
 from spanveil.operators.limits import head_n
 from spanveil.operators.lookup import redact_with_lists
-from spanveil.operators.rules import DEFAULT_RULES, Rule
+from spanveil.operators.rules import DEFAULT_RULES, DEFAULT_TYPES, Rule
 from spanveil.operators.score import score, score_by_label
 from spanveil.operators.training_text import MAX_LENGTH, WHITESPACE_TOKENIZER, Tokenizer, sft_labels
 from spanveil.sources.corpus import corpus_output, head_per_split, read_corpus
@@ -18,25 +20,50 @@ from spanveil.sources.results import read_results, write_results
 from spanveil.sources.text_files import read_text_files
 from spanveil.sources.type_list import choose_types
 
+_log = logging.getLogger(__name__)
+
 
 def redact_any(
     df: DataFrame,
     text_col: str,
-    types: Sequence[str],
+    types: Sequence[str] | None = None,
     rules: Iterable[Rule] = DEFAULT_RULES,
     dictionary: DataFrame | None = None,
-    id_col: str | None = None,
     make_predict: Callable[[], Predict] | None = None,
     answers: str = "json",
 ) -> DataFrame:
-    """Rules by default, with word lists when given, or a caller's model instead."""
+    """Rules by default, with word lists when given, or a caller's model instead.
+
+    Without ``types``, all rules and all listed labels apply, and a model is
+    asked for the default types.
+    """
+    rules = tuple(rules)
     if make_predict is not None:
-        return redact_with(df, text_col, make_predict, types, answers)
+        return redact_with(df, text_col, make_predict, DEFAULT_TYPES if types is None else types, answers)
+    if types is not None:
+        known = {r.label for r in rules}
+        if dictionary is not None:
+            known |= {r[0] for r in dictionary.select("label").where(F.col("label").isin(list(types))).distinct().collect()}
+        if missing := [t for t in types if t not in known]:
+            _log.warning("no rule and no list finds these types: %s", ", ".join(missing))
     if dictionary is not None:
-        return redact_with_lists(df, text_col, dictionary, id_col, types, rules)
+        return redact_with_lists(df, text_col, dictionary, types, rules)
     return redact(df, text_col, types, rules)
 
 
+def _asked_types(spark: SparkSession, types: Sequence[str] | None, types_file: str | None) -> list[str] | None:
+    """None when the caller names no types: then nothing is left out."""
+    return None if types is None and types_file is None else choose_types(spark, types, types_file)
+
+
+def _written(result: DataFrame, path: str | None, fmt: str) -> DataFrame:
+    """The result itself, or a read of what was written: no second run of a detection or a model."""
+    if path is None:
+        return result
+    write_results(result, path, fmt)
+    return result.sparkSession.read.schema(result.schema).format(fmt).load(path)
+
+
 def redact_corpus(
     spark: SparkSession,
     input_path: str,
@@ -48,16 +75,14 @@ def redact_corpus(
     output_format: str = "json",
     **detection,
 ) -> DataFrame:
-    """Redact the ``source_text`` of a corpus; eleven columns, written when a path is given.
+    """Redact the ``source_text`` of a corpus; eleven columns.
 
-    ``limit`` comes before detection, and rows past it are not read.
+    With ``output_path`` they are written, and what comes back is what was
+    written. ``limit`` comes before detection, and rows past it are not read.
     """
     corpus = head_n(read_corpus(spark, input_path, input_format), "id", limit)
-    chosen = choose_types(spark, types, types_file)
-    result = corpus_output(redact_any(corpus, "source_text", chosen, id_col="id", **detection))
-    if output_path is not None:
-        write_results(result, output_path, output_format)
-    return result
+    chosen = _asked_types(spark, types, types_file)
+    return _written(corpus_output(redact_any(corpus, "source_text", chosen, **detection)), output_path, output_format)
 
 
 def redact_files(
@@ -71,13 +96,9 @@ def redact_files(
 ) -> DataFrame:
     """Redact whole text files, one row per file: original text, masked text, entities."""
     files = read_text_files(spark, input_path)
-    chosen = choose_types(spark, types, types_file)
-    result = redact_any(files, "original_text", chosen, id_col="path", **detection).select(
-        "original_text", "redacted_text", "pii_entities"
-    )
-    if output_path is not None:
-        write_results(result, output_path, output_format)
-    return result
+    chosen = _asked_types(spark, types, types_file)
+    result = redact_any(files, "original_text", chosen, **detection).select("original_text", "redacted_text", "pii_entities")
+    return _written(result, output_path, output_format)
 
 
 def score_results(

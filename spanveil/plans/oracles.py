@@ -15,7 +15,7 @@ from spanveil.operators.answers import CHAT_PROMPT, JSON_PROMPT
 from spanveil.operators.lookup import WORD_CLASS
 from spanveil.operators.score import EPSILON
 from spanveil.operators.training_text import IGNORED, MAX_LENGTH, TRAINING_PREFIX
-from spanveil.plans.queries import HEAD, HEAD_TRAIN, HEAD_VALIDATION, SCORE_DIGITS, TYPE_SUBSET
+from spanveil.plans.queries import HEAD, HEAD_TRAIN, HEAD_VALIDATION, ORDER_PARTS, SCORE_DIGITS, TYPE_SUBSET
 
 CARD = "[0-9]{16,}"
 WORD = f"[{WORD_CLASS}]+"
@@ -133,10 +133,10 @@ def masked_query(rules, table="documents", id_col="doc_id", text_col="text") ->
     )
 
 
-def long_query(rules) -> str:
+def long_query(rules, id_col="doc_id") -> str:
     return with_(
         spans_of(rules),
-        select='SELECT id AS doc_id, CAST(k - 1 AS INTEGER) AS pos, label, value, "start", "end" FROM spans',
+        select=f'SELECT {"id AS doc_id" if id_col == "doc_id" else "CAST(id AS VARCHAR) AS id"}, CAST(k - 1 AS INTEGER) AS pos, label, value, "start", "end" FROM spans',
     )
 
 
@@ -259,7 +259,7 @@ ANSWERED = (
     spans_of(DEFAULT_RULES),
     masked_from("spans"),
     """answered AS (
-  SELECT m.id, m.original, m.redacted_text, m.n_entities, d.lang, d.lang NOT IN ('fr', 'de') AS usable
+  SELECT m.id, m.original, m.redacted_text, m.n_entities, d.lang, d.lang NOT IN ('fr', 'de') AND d.doc_id % 7 NOT IN (1, 2, 3) AS usable
   FROM masked m JOIN documents d ON d.doc_id = m.id),
 answer_values AS (
   SELECT s.id, s.k AS pos, s.label, s.value, strpos(a.original, s.value) - 1 AS st
@@ -298,6 +298,35 @@ LISTED_LONG = with_(
        label, value, "start", "end" FROM listed""",
 )
 
+PHRASES = (
+    *LISTED[:1],
+    f"""firsts AS (
+  SELECT DISTINCT lower(ws[1]) AS a, lower(ws[2]) AS b
+  FROM (SELECT regexp_extract_all(text, '{WORD}') AS ws FROM benchmark) WHERE len(ws) >= 2),
+phrases AS (SELECT a, b FROM firsts WHERE b NOT IN (SELECT a FROM firsts))""",
+    LISTED[1][LISTED[1].index("plain AS (") : LISTED[1].index("placed AS (")].rstrip().rstrip(","),
+    """placed AS (
+  SELECT id, word, ofs + sum(length(gap) + length(word)) OVER w AS stop, lead(gap) OVER w AS gap_after,
+         lead(word) OVER w AS word_after
+  FROM word_rows WINDOW w AS (PARTITION BY id, ofs ORDER BY j)),
+listed AS (
+  SELECT id, label, value, "start", "end" FROM spans
+  UNION ALL
+  SELECT id, 'LASTNAME2', word || gap_after || word_after, CAST(stop - length(word) AS INTEGER),
+         CAST(stop + length(gap_after) + length(word_after) AS INTEGER)
+  FROM placed JOIN phrases ON a = lower(word) AND b = lower(word_after)
+  WHERE regexp_full_match(gap_after, '\\s+'))""",
+)
+
+# Offsets from the parts' own lengths.
+_TEXTS = ", ".join(f"{text(before)} AS b{i}, CAST({value} AS VARCHAR) AS v{i}" for i, (before, value, _) in enumerate(ORDER_PARTS))
+_BEFORE = [" + ".join(f"length(b{j}) + length(v{j})" for j in range(i)) or "0" for i in range(len(ORDER_PARTS))]
+TABLE_TEXT = f"WITH t AS (SELECT o_orderkey, {_TEXTS} FROM orders)\n" + "\nUNION ALL\n".join(
+    f"""SELECT o_orderkey, {i} AS pos, '{label}' AS label, v{i} AS value, CAST({_BEFORE[i]} + length(b{i}) AS INTEGER) AS "start",
+  CAST({_BEFORE[i]} + length(b{i}) + length(v{i}) AS INTEGER) AS "end" FROM t"""
+    for i, (_, _, label) in enumerate(ORDER_PARTS)
+)
+
 CORPUS = """corpus AS (
   SELECT CAST(m.id AS VARCHAR) AS id, d.lang AS language,
          CASE WHEN m.id % 10 = 0 THEN 'validation' ELSE 'train' END AS "set",
@@ -329,6 +358,31 @@ _STRIP = text(WHITESPACE)
 ORACLES: dict[str, str] = {
     "redact_documents": masked_query(DEFAULT_RULES),
     "stream_redact": masked_query(DEFAULT_RULES),
+    "stream_redact_dictionary": with_(
+        *LISTED,
+        masked_from("listed"),
+        select="SELECT id AS doc_id, redacted_text, n_entities FROM masked",
+    ),
+    "stream_redact_stub": with_(
+        CARDS, select="SELECT id AS doc_id, masked AS redacted_text, false AS failed FROM cards"
+    ),
+    "dictionary_phrases": with_(
+        *PHRASES,
+        select="""SELECT id AS doc_id, CAST(row_number() OVER (PARTITION BY id ORDER BY "start") - 1 AS INTEGER) AS pos,
+       label, value, "start", "end" FROM listed""",
+    ),
+    "redact_table_text": TABLE_TEXT,
+    "redact_corpus_job": long_query(CUSTOM_RULES, "id"),
+    "redact_corpus_types_file": long_query(select_rules(("EMAIL", "IP")), "id"),
+    "score_results_job": with_(
+        spans_of(DEFAULT_RULES),
+        spans_of(CUSTOM_RULES, name="own"),
+        'gold AS (SELECT id, label, "start", "end" FROM spans)',
+        'pred AS (SELECT id, label, "start", "end" FROM own)',
+        counts_per_doc(False),
+        "total AS (SELECT CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM per_doc)",
+        select=f"SELECT tp, fp, fn, {ratios()} FROM total",
+    ),
     "entities_long": long_query(DEFAULT_RULES),
     "redact_conversations": with_(
         "turns AS (SELECT conv_id, turn, text, row_number() OVER () AS rid FROM conversations)",

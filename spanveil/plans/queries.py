@@ -36,8 +36,11 @@ from spanveil.operators.score import (
     score_long_form,
     score_long_form_by_label,
     score_rows,
+    stacked_rows,
 )
+from spanveil.functions.text import quoted
 from spanveil.operators.training_text import sft_examples, sft_labels
+from spanveil.plans.jobs import redact_corpus, score_results
 from spanveil.sources.corpus import (
     corpus_output,
     head_per_split,
@@ -64,8 +67,17 @@ SCORE_DIGITS = 6
 RATIOS = ("precision", "recall", "f1")
 
 
+# Session setting: tasks to deal small tables out to; unset, the scan decides.
+SPREAD = "spanveil.spread"
+
+
+def _table(spark: SparkSession, sf: str, table: str) -> DataFrame:
+    spread = spark.conf.get(SPREAD, None)
+    return read_table(spark, f"{sf}/{table}.parquet", int(spread) if spread else None)
+
+
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return read_table(spark, f"{sf}/documents.parquet", "doc_id").select("doc_id", "text", "lang")
+    return _table(spark, sf, "documents").select("doc_id", "text", "lang")
 
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
@@ -112,12 +124,12 @@ def entities_long(spark, sf):
 
 
 def redact_conversations(spark, sf):
-    turns = read_table(spark, f"{sf}/conversations.parquet", "conv_id").select("conv_id", "turn", "text")
+    turns = _table(spark, sf, "conversations").select("conv_id", "turn", "text")
     return _masked(redact(turns), "conv_id", "turn")
 
 
 def redact_pages(spark, sf):
-    pages = read_table(spark, f"{sf}/pages.parquet", "page_id").select("page_id", "html")
+    pages = _table(spark, sf, "pages").select("page_id", "html")
     return _masked(redact(pages, "html"), "page_id")
 
 
@@ -145,7 +157,7 @@ def word_list(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _with_lists(spark, sf, **how):
-    return redact_with_lists(documents(spark, sf), "text", word_list(spark, sf), "doc_id", **how)
+    return redact_with_lists(documents(spark, sf), "text", word_list(spark, sf), **how)
 
 
 def redact_dictionary(spark, sf):
@@ -157,13 +169,59 @@ def dictionary_entities(spark, sf):
 
 
 def dictionary_broadcast_join(spark, sf):
-    return span_rows(_with_lists(spark, sf, inline_terms=-1), "pii_entities", "doc_id")
+    """The list in a few parts that one stage broadcasts."""
+    return span_rows(_with_lists(spark, sf, part_bytes=3000), "pii_entities", "doc_id")
 
 
 def dictionary_shuffle_join(spark, sf):
-    return span_rows(
-        _with_lists(spark, sf, inline_terms=-1, broadcast_bytes=-1), "pii_entities", "doc_id"
-    )
+    """The list in many parts, over several stages; the name is from when such a list was joined."""
+    return span_rows(_with_lists(spark, sf, part_bytes=700), "pii_entities", "doc_id")
+
+
+def phrase_list(spark: SparkSession, sf: str) -> DataFrame:
+    """Two-word terms: the first two words of each ``benchmark`` item, but none that could overlap another."""
+    words = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{M}\p{N}_]+"), F.lit(0))
+    firsts = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.transform(F.slice(words, 1, 2), F.lower).alias("w"))
+    pairs = firsts.where(F.size("w") == 2).select(F.col("w")[0].alias("a"), F.col("w")[1].alias("b")).distinct()
+    apart = pairs.join(pairs.select(F.col("a").alias("b")).distinct(), "b", "left_anti")
+    return apart.select(F.concat_ws("  ", "a", "b").alias("term"), F.lit("LASTNAME2").alias("label"))
+
+
+def dictionary_phrases(spark, sf):
+    found = redact_with_lists(documents(spark, sf), "text", phrase_list(spark, sf))
+    return span_rows(found, "pii_entities", "doc_id")
+
+
+# A text of the columns of ``orders`` with one entity of each rule's label: what
+# stands before the value, the value as SQL, the label.
+_PADDED = "lpad(CAST({} AS STRING), {}, '0')".format
+ORDER_PARTS = (
+    ("mail ", "concat('u', o_custkey, '@ex', o_orderkey % 10, '.com')", "EMAIL"),
+    ("; place ", f"concat({_PADDED('o_orderkey % 90', 2)}, '.', {_PADDED('o_orderkey % 1000', 3)}, ', ', "
+     f"{_PADDED('o_custkey % 90', 2)}, '.', {_PADDED('o_custkey % 1000', 3)})", "GEOCOORD"),
+    ("; from ", "concat('10.0.', o_orderkey % 256, '.', o_custkey % 256)", "IP"),
+    ("; call ", f"concat('555-', {_PADDED('o_orderkey % 1000', 3)}, '-', {_PADDED('o_custkey % 10000', 4)})", "TEL"),
+    ("; ssn ", f"concat({_PADDED('o_orderkey % 1000', 3)}, '-', {_PADDED('o_custkey % 100', 2)}, '-', {_PADDED('o_orderkey % 10000', 4)})",
+     "SOCIALNUMBER"),
+    ("; on ", "substring(CAST(o_orderdate AS STRING), 1, 10)", "DATE"),
+    ("; at ", f"concat({_PADDED('o_orderkey % 24', 2)}, ':', {_PADDED('o_custkey % 60', 2)})", "TIME"),
+    ("; dear ", "'Dr.'", "TITLE"),
+    ("; dob: ", "substring(CAST(o_orderdate AS STRING), 1, 10)", "DOB"),
+    ("; token = ", "concat('tk', o_custkey, 'x', o_orderkey)", "PASS"),
+    ("; passport: ", f"concat('P', {_PADDED('o_orderkey % 10000000', 7)})", "PASSPORT"),
+    ("; id card: ", f"concat('ID-', {_PADDED('o_custkey % 1000000', 6)})", "IDCARD"),
+    ("; driving license: ", f"concat('D', {_PADDED('o_orderkey % 100000', 5)})", "DRIVERLICENSE"),
+    ("; user: ", "concat('cust', o_custkey)", "USERNAME"),
+    ("; zip: ", _PADDED("o_orderkey % 100000", 5), "POSTCODE"),
+    ("; sex: ", "CASE WHEN o_orderkey % 2 = 0 THEN 'female' ELSE 'male' END", "SEX"),
+)
+
+
+def redact_table_text(spark, sf):
+    """Each default rule at least once per row: texts put together from ``orders``."""
+    parts = ", ".join(f"{quoted(before)}, {value}" for before, value, _ in ORDER_PARTS)
+    texts = _table(spark, sf, "orders").select("o_orderkey", F.expr(f"concat({parts}, '.')").alias("text"))
+    return span_rows(redact(texts), "pii_entities", "o_orderkey")
 
 
 def mask_cards(texts: list[str]) -> list[tuple[str, list[str]]]:
@@ -209,7 +267,11 @@ def redact_with_chat_stub(spark, sf):
 
 
 def raw_answers(spark: SparkSession, sf: str) -> DataFrame:
-    """A JSON answer per document: cut short for French, without masked text for German."""
+    """A JSON answer per document: cut short for French, without masked text for German.
+
+    Of each seven documents, one has text behind the answer, one single quotes,
+    and one a number for the masked text.
+    """
     found = redact(documents(spark, sf))
     entities = F.transform("pii_entities", lambda s: F.struct(s["label"].alias("label"), s["value"].alias("value")))
     whole = F.to_json(F.struct(F.col("redacted_text"), entities.alias("pii_entities")))
@@ -217,6 +279,9 @@ def raw_answers(spark: SparkSession, sf: str) -> DataFrame:
     raw = (
         F.when(F.col("lang") == "fr", F.substring(whole, F.lit(2), F.length(whole)))
         .when(F.col("lang") == "de", partial)
+        .when(F.col("doc_id") % 7 == 1, F.concat(whole, F.lit(" done")))
+        .when(F.col("doc_id") % 7 == 2, F.lit("{'redacted_text': 'x', 'pii_entities': []}"))
+        .when(F.col("doc_id") % 7 == 3, F.lit('{"redacted_text": 7, "pii_entities": []}'))
         .otherwise(whole)
     )
     return found.select("doc_id", "text", raw.alias("raw"))
@@ -324,16 +389,12 @@ def score_report(spark, sf):
 
 
 def score_long(spark, sf):
-    both = predictions(spark, sf)
-    return _rounded_ratios(
-        score_long_form(span_rows(both, "pred", "id"), span_rows(both, "gold", "id"), ["id"])
-    )
+    return _rounded_ratios(score_long_form(stacked_rows(predictions(spark, sf), "pred", "gold", "id"), ["id"]))
 
 
 def _long_by_label(spark, sf, ignore_labels):
-    both = predictions(spark, sf)
-    pred, gold = span_rows(both, "pred", "id"), span_rows(both, "gold", "id")
-    return _rounded_ratios(score_long_form_by_label(pred, gold, ["id"], ignore_labels))
+    spans = stacked_rows(predictions(spark, sf), "pred", "gold", "id")
+    return _rounded_ratios(score_long_form_by_label(spans, ["id"], ignore_labels))
 
 
 def score_long_per_label(spark, sf):
@@ -379,6 +440,31 @@ def results_json_roundtrip(spark, sf):
     return span_rows(back, "pii_entities", "id", "redacted_text")
 
 
+def _corpus_job(spark, sf, **options):
+    """A saved corpus put through the job; the folder of the results and what the job returns."""
+    saved, results = fresh_path(spark, "corpus"), fresh_path(spark, "results")
+    corpus(spark, sf).write.parquet(saved)
+    return results, redact_corpus(spark, saved, results, **options)
+
+
+def redact_corpus_job(spark, sf):
+    """The whole job with own rules and no list of types: labels outside the default list count."""
+    return span_rows(_corpus_job(spark, sf, rules=CUSTOM_RULES)[1], "pii_entities", "id")
+
+
+def redact_corpus_types_file(spark, sf):
+    """The job with its types from a file with blank lines."""
+    path = fresh_path(spark, "types")
+    spark.range(1).select(F.lit("EMAIL\n\n  IP \n")).write.text(path)
+    return span_rows(_corpus_job(spark, sf, types_file=path)[1], "pii_entities", "id")
+
+
+def score_results_job(spark, sf):
+    """Scores of the job's saved results against the corpus' own spans."""
+    results, _ = _corpus_job(spark, sf, rules=CUSTOM_RULES)
+    return _rounded_ratios(score_results(spark, results)[0])
+
+
 def split_counts_query(spark, sf):
     return split_counts(corpus(spark, sf))
 
@@ -410,13 +496,25 @@ def sft_labels_query(spark, sf):
     )
 
 
-def stream_redact(spark, sf):
+def _streamed(spark, sf, **detection):
     """``documents`` as a stream of files, redacted into the shared folder and read back."""
     # A bracket makes the single file a pattern, as a stream reads folders or patterns.
     stream = read_text_stream(spark, f"{sf}/documents.parque[t]", "doc_id BIGINT, text STRING")
     out = fresh_path(spark, "stream")
-    redact_stream(stream, f"{out}/data", f"{out}/checkpoint", until_now=True).awaitTermination()
-    return _masked(spark.read.parquet(f"{out}/data"), "doc_id")
+    redact_stream(stream, f"{out}/data", f"{out}/checkpoint", until_now=True, **detection).awaitTermination()
+    return spark.read.parquet(f"{out}/data")
+
+
+def stream_redact(spark, sf):
+    return _masked(_streamed(spark, sf), "doc_id")
+
+
+def stream_redact_dictionary(spark, sf):
+    return _masked(_streamed(spark, sf, dictionary=word_list(spark, sf)), "doc_id")
+
+
+def stream_redact_stub(spark, sf):
+    return _streamed(spark, sf, make_predict=json_stub).select("doc_id", "redacted_text", "failed")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -463,4 +561,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sft_tokens": sft_tokens,
     "sft_labels": sft_labels_query,
     "stream_redact": stream_redact,
+    "stream_redact_dictionary": stream_redact_dictionary,
+    "stream_redact_stub": stream_redact_stub,
+    "dictionary_phrases": dictionary_phrases,
+    "redact_table_text": redact_table_text,
+    "redact_corpus_job": redact_corpus_job,
+    "redact_corpus_types_file": redact_corpus_types_file,
+    "score_results_job": score_results_job,
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -13,7 +15,8 @@ _local_folders: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``.
 
-    Where the setting is missing a local session gets a temporary folder. On a
+    Where the setting is missing a local session gets a temporary folder, which
+    goes when Python ends. On a
     cluster that is an error: executors could not see each other's files.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -25,6 +28,7 @@ def shared_folder(spark: SparkSession) -> str:
     app = context.applicationId
     if app not in _local_folders:
         _local_folders[app] = tempfile.mkdtemp(prefix="spanveil-")
+        atexit.register(shutil.rmtree, _local_folders[app], ignore_errors=True)
     return _local_folders[app]
 
 

@@ -3,23 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-# Below this size a table may sit in one row group and be read by one task.
-SMALL_TABLE_BYTES = 256 << 20
 
-
-def read_table(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
-    """A parquet table, spread over the cores when it is small.
+def read_table(spark: SparkSession, path: str, spread: int | None = None) -> DataFrame:
+    """A parquet table. ``spread`` deals its rows out to so many tasks, in turn.
 
     Text work is bound by the CPU, and a small file often has a single row
-    group, which one task has to read alone. Only tables below
-    SMALL_TABLE_BYTES are spread; larger ones keep the partitions of the scan.
+    group, which one task has to read alone. Tables of many row groups are best
+    left in the partitions of the scan.
     """
     table = spark.read.parquet(path)
-    if key is None:
-        return table
-    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
-    if size >= SMALL_TABLE_BYTES:
-        return table
-    return table.repartition(spark.sparkContext.defaultParallelism, key)
+    return table if spread is None else table.repartition(spread)

@@ -11,27 +11,23 @@ from pyspark.sql import functions as F
 from spanveil.functions.text import strip
 from spanveil.operators.rules import DEFAULT_TYPES
 
-MAX_TYPES = 10_000
-
 _log = logging.getLogger(__name__)
 
 
 def read_types(spark: SparkSession, path: str) -> list[str]:
     """Types from a file, one per line: stripped, blanks dropped, order and repeats kept.
 
-    A file that cannot be read gives the default list. More than MAX_TYPES
-    lines is an error, because the list is part of every prompt and plan.
+    A file that cannot be read gives the default list. The list is part of every
+    prompt and plan, so the driver holds all of it.
     """
     try:
         whole = spark.read.text(path, wholetext=True).select(
             F.explode(F.split("value", "\r\n|\r|\n")).alias("line")
         )
-        lines = [r[0] for r in whole.select(strip(F.col("line")).alias("t")).filter("t != ''").take(MAX_TYPES + 1)]
+        lines = [r[0] for r in whole.select(strip(F.col("line")).alias("t")).filter("t != ''").collect()]
     except Exception as problem:
         _log.warning("cannot read types from %s, using the default list: %s", path, problem)
         return list(DEFAULT_TYPES)
-    if len(lines) > MAX_TYPES:
-        raise ValueError(f"{path} has more than {MAX_TYPES} types")
     return lines
 
 

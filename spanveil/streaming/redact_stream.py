@@ -1,4 +1,4 @@
-"""Structured Streaming form of rule redaction.
+"""Structured Streaming form of redaction by rules, word lists or a model.
 
 Detection needs one row at a time, so the stream keeps no state and needs no
 watermark: append mode, the same expressions as in batch.
@@ -6,13 +6,12 @@ watermark: append mode, the same expressions as in batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from spanveil.operators.detect import redact
-from spanveil.operators.rules import DEFAULT_RULES, Rule
+from spanveil.plans.jobs import redact_any
 
 
 def read_text_stream(
@@ -34,17 +33,19 @@ def redact_stream(
     checkpoint_path: str,
     text_col: str = "text",
     types: Sequence[str] | None = None,
-    rules: Iterable[Rule] = DEFAULT_RULES,
     fmt: str = "parquet",
     until_now: bool = False,
+    **detection,
 ) -> StreamingQuery:
     """Start writing the redacted stream.
 
+    ``detection`` is what `redact_any` takes: rules, a dictionary, a model.
+
     The file sink and the checkpoint together give each input row once, also
     after a restart. ``until_now`` stops when the present files are done.
     """
     writer = (
-        redact(stream, text_col, types, rules)
+        redact_any(stream, text_col, types, **detection)
         .writeStream.outputMode("append")
         .format(fmt)
         .option("path", output_path)

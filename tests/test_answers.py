@@ -76,6 +76,32 @@ def test_each_failure_touches_its_own_row_only(spark):
     assert [len(r["pii_entities"]) for r in rows] == [1, 0, 0, 0, 1, 0]
 
 
+def test_answers_that_are_no_texts_fail_alone(spark):
+    def make():
+        return lambda prompts: [{"a": 1} if "odd" in p else json.dumps(STUB_ANSWER) for p in prompts]
+
+    rows = redact_with(frame(spark, ["odd", "Alice", None]).coalesce(1), "text", make).orderBy("id").collect()
+    assert [r["failed"] for r in rows] == [True, False, True]
+    assert [r["failure"] for r in rows] == ["no text but dict", None, "no text"]
+
+
+def test_a_dead_model_is_left_alone(spark, tmp_path):
+    calls = tmp_path / "calls"
+
+    def make():
+        def predict(prompts):
+            with calls.open("a") as file:
+                file.write("x")
+            raise OSError("down")
+
+        return predict
+
+    rows = redact_with(frame(spark, [f"t{i}" for i in range(100)]).coalesce(1), "text", make).collect()
+    assert all(r["failed"] and r["redacted_text"] == f"t{i}" for i, r in enumerate(rows))
+    assert rows[0]["failure"] == "OSError: down" and "in a row" in rows[99]["failure"]
+    assert len(calls.read_text()) == 9
+
+
 def test_answers_of_wrong_count_are_asked_again_one_by_one(spark):
     def make():
         return lambda prompts: [json.dumps(STUB_ANSWER)]
@@ -95,6 +121,13 @@ def test_answers_of_wrong_count_are_asked_again_one_by_one(spark):
         ('{"redacted_text": "x", "pii_entities": [null]}', False),
         ('{"redacted_text": "x", "pii_entities": "none"}', False),
         ("[]", False),
+        ('{"redacted_text": "x", "pii_entities": []} done', False),
+        ('{"redacted_text": "x", "pii_entities": []}]', False),
+        ('{"redacted_text": "x", "pii_entities": []}, "y": 1', False),
+        ("{'redacted_text': 'x', 'pii_entities': []}", False),
+        ('{"redacted_text": 7, "pii_entities": []}', False),
+        ('{"redacted_text": "x", "pii_entities": [{"label": "A", "value": 5}]}', False),
+        (' {"redacted_text": "x", "pii_entities": [], "more": [1]}\n', True),
         ("", False),
         ("no json", False),
         (None, False),

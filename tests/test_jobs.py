@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from brute import tuples
 from spanveil.operators.limits import head_n
-from spanveil.operators.rules import DEFAULT_TYPES
+from spanveil.operators.rules import DEFAULT_TYPES, Rule
 from spanveil.plans.jobs import redact_corpus, redact_files, score_results
 from spanveil.plans.queries import corpus as derived_corpus
 from spanveil.sources import shared
@@ -31,6 +31,26 @@ def test_head_n(spark, n):
     assert got == (sorted(ids) if not n else [] if n < 0 else sorted(ids)[:n])
 
 
+def test_head_n_with_rows_without_an_id(spark):
+    df = spark.createDataFrame([(i, str(i)) for i in (3, 1, 2, None, None)], "id INT, t STRING").repartition(3)
+    for n, want in ((2, [1, 2]), (3, [1, 2, 3]), (4, [1, 2, 3, None]), (5, [1, 2, 3, None, None]), (9, [1, 2, 3, None, None])):
+        got = [r["id"] for r in head_n(df, "id", n).collect()]
+        assert sorted(got, key=lambda x: (x is None, x)) == want
+    texts = df.selectExpr("CAST(id AS STRING) AS id")
+    assert sorted(r["id"] for r in head_n(texts, "id", 2).collect()) == ["1", "2"]
+
+
+def test_own_labels_survive_without_types(spark, saved_corpus, caplog):
+    own = [Rule("COMPANY", "Th[a-z]+")]
+    found = redact_corpus(spark, saved_corpus, rules=own)
+    assert {s["label"] for r in found.collect() for s in r["pii_entities"]} == {"COMPANY"}
+    words = spark.createDataFrame([("the", "ARTICLE")], "term STRING, label STRING")
+    listed = redact_corpus(spark, saved_corpus, rules=[], dictionary=words)
+    assert {s["label"] for r in listed.collect() for s in r["pii_entities"]} == {"ARTICLE"}
+    redact_corpus(spark, saved_corpus, types=["IP", "CITY"])
+    assert "CITY" in caplog.text and "IP," not in caplog.text
+
+
 def test_head_n_filter_reaches_the_scan(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     plan = head_n(docs, "doc_id", 3)._jdf.queryExecution().executedPlan().toString()
@@ -116,6 +136,12 @@ def test_splits(spark, saved_corpus, tmp_path):
     assert first["id"] == min(r["id"] for r in corpus.filter("set = 'train'").select("id").collect())
 
 
+def test_long_type_file(spark, tmp_path):
+    path = tmp_path / "types.txt"
+    path.write_text("\n".join(f"T{i}" for i in range(12_000)))
+    assert len(read_types(spark, str(path))) == 12_000
+
+
 def test_stream_equals_batch_and_resumes(spark, tmp_path):
     inbox, out, marks = (str(tmp_path / p) for p in ("in", "out", "marks"))
     first = spark.createDataFrame([(1, "a@b.de"), (2, "none")], "id INT, text STRING")

@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 
@@ -46,11 +47,11 @@ def expected(text, labels):
     return spans
 
 
-@pytest.mark.parametrize("how", [{}, {"inline_terms": -1}, {"inline_terms": -1, "broadcast_bytes": -1}])
+@pytest.mark.parametrize("how", [{}, {"part_bytes": 30}, {"part_bytes": 1}])
 def test_lists_all_ways(spark, how):
     dictionary = spark.createDataFrame(TERMS, "term STRING, label STRING")
     df = spark.createDataFrame(list(enumerate(TEXTS)), "id INT, text STRING")
-    rows = redact_with_lists(df, "text", dictionary, "id", **how).orderBy("id").collect()
+    rows = redact_with_lists(df, "text", dictionary, **how).orderBy("id").collect()
     labels = {}
     for term, label in sorted(TERMS, key=lambda t: t[1], reverse=True):
         labels[" ".join(term.lower().split())] = label
@@ -62,7 +63,7 @@ def test_lists_all_ways(spark, how):
 def test_rows_that_share_an_id_or_have_none(spark):
     dictionary = spark.createDataFrame(TERMS, "term STRING, label STRING")
     df = spark.createDataFrame([(1, "Paris"), (1, "alice"), (None, "York")], "id INT, text STRING")
-    rows = redact_with_lists(df, "text", dictionary, "id", inline_terms=-1, broadcast_bytes=-1).collect()
+    rows = redact_with_lists(df, "text", dictionary, part_bytes=20).collect()
     assert sorted((r["text"], r["redacted_text"]) for r in rows) == [
         ("Paris", "[CITY]"), ("York", "[LASTNAME1]"), ("alice", "[GIVENNAME1]")
     ]
@@ -78,5 +79,28 @@ def test_types_and_bad_terms(spark):
     punctuated = spark.createDataFrame([("St. John", "CITY")], "term STRING, label STRING")
     with pytest.raises(ValueError):
         redact_with_lists(df, "text", punctuated)
-    with pytest.raises(ValueError):
-        redact_with_lists(df, "text", dictionary, inline_terms=-1)
+
+
+def test_any_white_space_between_words(spark):
+    df = spark.createDataFrame([(1, "in New\u00a0York, New\u2003 York")], "id INT, text STRING")
+    dictionary = spark.createDataFrame([("New\u00a0York", "CITY")], "term STRING, label STRING")
+    assert redact_with_lists(df, "text", dictionary).first()["redacted_text"] == "in [CITY], [CITY]"
+
+
+def test_many_terms_and_a_long_text(spark):
+    terms = [(f"name{i}", "LASTNAME1") for i in range(4_900)] + [(" ".join(f"w{i}" for i in range(60)), "TITLE")]
+    dictionary = spark.createDataFrame(terms, "term STRING, label STRING")
+    words = [f"name{i % 9_800}" for i in range(20_000)]
+    df = spark.createDataFrame([(1, " ".join(words))], "id INT, text STRING")
+    redact_with_lists(df.limit(0), "text", dictionary).collect()
+    started = time.monotonic()
+    row = redact_with_lists(df, "text", dictionary).first()
+    assert time.monotonic() - started < 8
+    assert len(row["pii_entities"]) == sum(i % 9_800 < 4_900 for i in range(20_000))
+
+
+def test_no_text_is_exchanged(spark, sf):
+    dictionary = spark.createDataFrame(TERMS, "term STRING, label STRING")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    plan = redact_with_lists(docs, "text", dictionary, part_bytes=40)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -11,6 +12,8 @@ from spanveil.operators.score import (
     score_long_form,
     score_long_form_by_label,
     score_rows,
+    stacked,
+    stacked_rows,
 )
 
 S = lambda label, start, end: (label, "v", start, end)
@@ -58,14 +61,30 @@ def test_random_spans_all_forms(spark, ignore):
         for label, counts in per_label.items():
             labels[label] = tuple(a + b for a, b in zip(labels.get(label, (0, 0, 0)), counts))
     pred, gold = span_rows(df, "pred", "id"), span_rows(df, "gold", "id")
-    for table in (score(df, "pred", "gold", ignore), score_long_form(pred, gold, ["id"], ignore)):
+    for table in (score(df, "pred", "gold", ignore), score_long_form(stacked(pred, gold).drop("pos"), ["id"], ignore)):
         row = table.first()
         assert (row["tp"], row["fp"], row["fn"]) == totals
         p, r = totals[0] / (totals[0] + totals[1] + 1e-9), totals[0] / (totals[0] + totals[2] + 1e-9)
         assert (row["precision"], row["recall"]) == (p, r)
         assert row["f1"] == 2 * p * r / (p + r + 1e-9)
     assert by_label(score_by_label(df, "pred", "gold", ignore)) == labels
-    assert by_label(score_long_form_by_label(pred, gold, ["id"], ignore)) == labels
+    assert by_label(score_long_form_by_label(stacked(pred, gold), ["id"], ignore)) == labels
+    assert by_label(score_long_form_by_label(stacked_rows(df, "pred", "gold", "id"), ["id"], ignore)) == labels
+
+
+def test_keys_of_null_offsets_do_not_collide(spark):
+    df = frame(spark, [([("A", "v", None, 5), (None, "v", 1, 2)], [("A", "v", 5, None), (None, "v", 1, 2), ("", "v", 1, 2)])])
+    row = score(df, "pred", "gold").first()
+    assert (row["tp"], row["fp"], row["fn"]) == (1, 1, 2)
+
+
+def test_many_spans_in_one_row(spark):
+    spans = [S("A", i, i + 1) for i in range(32_000)]
+    df = frame(spark, [(spans, spans[::2] + [S("B", i, i) for i in range(16_000)])])
+    by_label(score_by_label(df.limit(0), "pred", "gold"))
+    started = time.monotonic()
+    assert by_label(score_by_label(df, "pred", "gold")) == {"A": (16_000, 16_000, 0), "B": (0, 0, 16_000)}
+    assert time.monotonic() - started < 8
 
 
 def test_label_whose_gold_was_found_under_another_label_has_no_row(spark):
