@@ -24,12 +24,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanveil.llm.tables import saved, slices
+from spanveil.llm.tables import filtered, saved, slices
 from spanveil.llm.words import Splitter, letters_digits, lower_az
 
 WINDOW = 10
@@ -211,23 +210,6 @@ def contamination(
     )
 
 
-def _clean(shared):
-    @F.pandas_udf("boolean")
-    def clean(texts: pd.Series) -> pd.Series:
-        splitter, windows = _splitter(), shared.value
-        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True)], names=["_text"])
-        out = []
-        for piece in slices([batch], 0):
-            split = splitter.split(piece.column(0))
-            _, begin = windows.found(split.hashes, split.bounds)
-            found = np.zeros(piece.num_rows, dtype=bool)
-            found[np.searchsorted(split.bounds, begin, "right") - 1] = True
-            out.append(~found)
-        return pd.Series(np.concatenate(out) if out else np.zeros(0, dtype=bool))
-
-    return clean
-
-
 def keep_clean(
     docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW
 ) -> DataFrame:
@@ -236,5 +218,18 @@ def keep_clean(
     for part in _parts(items, item_id, item_text):
         shared = _searcher(rows, part, size)
 
-        docs = docs.where(_clean(shared)(F.col(text_col).cast("string")))
+
+        def make(shared=shared):
+            splitter, windows = _splitter(), shared.value
+
+            def clean(texts: pa.Array) -> np.ndarray:
+                split = splitter.split(texts)
+                _, begin = windows.found(split.hashes, split.bounds)
+                out = np.ones(len(texts), dtype=bool)
+                out[np.searchsorted(split.bounds, begin, "right") - 1] = False
+                return out
+
+            return clean
+
+        docs = filtered(docs, text_col, make)
     return docs

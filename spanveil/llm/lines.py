@@ -21,10 +21,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanveil.llm.tables import saved, slices
 from spanveil.llm.words import Runs, Splitter, covered, not_newline, window_minima
@@ -84,27 +84,35 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     may not be named ``n_lines`` or ``n_removed``; such are replaced.
     """
 
-    @F.pandas_udf("n_lines long, n_removed long, kept string")
-    def cut(texts: pd.Series, starts: pd.Series) -> pd.DataFrame:
-        splitter = Splitter(not_newline())
-        counts, removed, kept = [], [], []
-        for text, at in zip(texts, starts):
-            # One text at a time: a batch of texts may be large.
-            lines = splitter.split(pa.array([text or ""], pa.large_string()))
-            n = len(lines.hashes)
-            gone = covered(n, np.asarray(at, np.int64), np.asarray(at, np.int64) + run) if at is not None else np.zeros(n, dtype=bool)
-            counts.append(n)
-            removed.append(int(gone.sum()))
-            if removed[-1]:
-                raw = lines.data.tobytes()
-                text = b"\n".join(raw[b:e] for b, e, g in zip(lines.begins, lines.ends, gone) if not g).decode()
-            kept.append(text)
-        return pd.DataFrame({"n_lines": counts, "n_removed": removed, "kept": kept})
-
     starts = later_runs(docs, id_col, text_col, run).select(F.col("id").alias("_dedup_id"), F.col("starts").alias("_dedup_starts"))
     known = docs.where(F.col(id_col).isNotNull()).join(starts, F.col(id_col).cast("long") == F.col("_dedup_id"), "left").drop("_dedup_id")
     unknown = docs.where(F.col(id_col).isNull()).withColumn("_dedup_starts", F.lit(None).cast("array<int>"))
-    done = known.union(unknown).withColumn("_dedup", cut(F.col(text_col).cast("string"), "_dedup_starts"))
-    return done.withColumns(
-        {text_col: F.col("_dedup.kept"), "n_lines": F.col("_dedup.n_lines"), "n_removed": F.col("_dedup.n_removed")}
-    ).drop("_dedup", "_dedup_starts")
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    done = known.union(unknown).select(*kept, "_dedup_starts").withColumn(text_col, F.col(text_col).cast("string"))
+    fields = [T.StructField(text_col, T.StringType()) if f.name == text_col else f for f in docs.schema if f.name in kept]
+    counts = [T.StructField(c, T.LongType()) for c in ("n_lines", "n_removed")]
+    place, width = kept.index(text_col), len(kept)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        splitter = Splitter(not_newline())
+        for piece in slices(batches, place, fill=False):
+            lines = splitter.split(piece.column(place).fill_null(""))
+            removed, texts = np.zeros(piece.num_rows, dtype=np.int64), {}
+            for i, at in enumerate(piece.column(width).to_pylist()):
+                if at is None:
+                    continue
+                low, high = lines.bounds[i], lines.bounds[i + 1]
+                first = np.asarray(at, dtype=np.int64)
+                gone = covered(high - low, first, first + run)
+                removed[i] = gone.sum()
+                if removed[i]:
+                    begins, ends = lines.begins[low:high][~gone], lines.ends[low:high][~gone]
+                    texts[i] = b"\n".join(lines.data[b:e].tobytes() for b, e in zip(begins, ends)).decode()
+            columns = list(piece.columns[:width])
+            # Texts that lose nothing stay as they came, nulls included.
+            given = columns[place].cast(pa.string())
+            columns[place] = pa.array([texts.get(i, x) for i, x in enumerate(given.to_pylist())], pa.string()) if texts else given
+            columns += [pa.array(np.diff(lines.bounds), pa.int64()), pa.array(removed)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "n_lines", "n_removed"])
+
+    return done.mapInArrow(cut, T.StructType([*fields, *counts]))

@@ -26,12 +26,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanveil.llm.tables import slices
+from spanveil.llm.tables import filtered, slices
 from spanveil.llm.words import Runs, Splitter, not_space
 
 # Rows of each kind in the fit.
@@ -236,12 +235,8 @@ def score_quality(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_
 def keep_good(docs: DataFrame, scorer: Scorer, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose text is scored 0.5 or more. No exchange."""
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    def make():
         describer = Describer()
-        column = pa.array(texts, pa.string(), from_pandas=True)
-        batch = pa.RecordBatch.from_arrays([column], names=["_text"])
-        parts = [scorer.score(describer.of(piece.column(0))) for piece in slices([batch], 0)]
-        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+        return lambda texts: scorer.score(describer.of(texts)) >= 0.5
 
-    return docs.where(score(F.col(text_col).cast("string")) >= 0.5)
+    return filtered(docs, text_col, make)

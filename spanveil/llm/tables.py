@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from spanveil.sources.shared import fresh_path
 
 # Bytes of text that an Arrow function handles at a time.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,14 +38,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(
+    batches: Iterable[pa.RecordBatch], text: int, limit: int = SLICE_BYTES, fill: bool = True
+) -> Iterator[pa.RecordBatch]:
     """The rows of all batches in pieces of about ``limit`` bytes in column ``text``.
 
-    A piece has one row at least. Nulls in the text column become empty texts.
+    A piece has one row at least. With ``fill``, nulls in the text column become
+    empty texts.
     """
     for batch in batches:
         column = batch.column(text)
-        if column.null_count:
+        if column.null_count and fill:
             columns = list(batch.columns)
             columns[text] = column.fill_null("")
             batch = pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
@@ -52,7 +56,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: int, limit: int = SLICE_BYTE
         if not rows:
             continue
         start = 0
-        sizes = pa.compute.binary_length(batch.column(text)).to_numpy(zero_copy_only=False)
+        sizes = pa.compute.binary_length(batch.column(text).fill_null("")).to_numpy(zero_copy_only=False)
         total = 0
         for i in range(rows):
             size = int(sizes[i])
@@ -61,3 +65,25 @@ def slices(batches: Iterable[pa.RecordBatch], text: int, limit: int = SLICE_BYTE
                 start, total = i, 0
             total += size
         yield batch.slice(start)
+    # Workers are reused: hand back what Arrow keeps of the large batches.
+    pa.default_memory_pool().release_unused()
+
+
+def filtered(docs: DataFrame, text_col: str, make: Callable[[], Callable[[pa.Array], np.ndarray]]) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text (a string column) passes.
+
+    ``make`` is called once per task and returns a function from an array of
+    texts (nulls are empty) to an array of booleans. No exchange, and no row is
+    held beside the Arrow batch it came in.
+    """
+    columns = docs.columns
+    at = columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = make()
+        for piece in slices(batches, at, fill=False):
+            kept = piece.filter(pa.array(passes(piece.column(at).fill_null(""))))
+            if kept.num_rows:
+                yield kept
+
+    return docs.mapInArrow(run, docs.schema)
