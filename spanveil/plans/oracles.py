@@ -11,15 +11,31 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 from spanveil.functions.text import WHITESPACE
-from spanveil.operators.answers import CHAT_PROMPT, JSON_PROMPT
+from spanveil.operators.answers import JSON_PROMPT
 from spanveil.operators.lookup import WORD_CLASS
-from spanveil.operators.score import EPSILON
-from spanveil.operators.training_text import IGNORED, MAX_LENGTH, TRAINING_PREFIX
 from spanveil.plans.queries import HEAD, HEAD_TRAIN, HEAD_VALIDATION, ORDER_PARTS, SCORE_DIGITS, TYPE_SUBSET
 
 CARD = "[0-9]{16,}"
 WORD = f"[{WORD_CLASS}]+"
 
+# Fixed values, written apart from the operators that they check. Only the long
+# JSON prompt is taken from its module.
+CHAT_PROMPT = """<|system|>
+You redact PII from input and return redacted version only. Only use the following PII types: {types}. 
+<|user|>
+{text}
+<|assistant|>
+"""
+TRAINING_PREFIX = """<|system|>
+You are a data redaction assistant. You redact PII in the input below and return only the redacted text. Do not explain anything.
+<|user|>
+{source}
+<|assistant|>
+"""
+MAX_LENGTH = 512
+IGNORED = -100
+EPSILON = 1e-9
+
 
 @dataclass(frozen=True)
 class Pattern:
