@@ -390,6 +390,13 @@ ORACLES: dict[str, str] = {
     "redact_table_text": TABLE_TEXT,
     "redact_corpus_job": long_query(CUSTOM_RULES, "id"),
     "redact_corpus_types_file": long_query(select_rules(("EMAIL", "IP")), "id"),
+    "redact_files_job": with_(
+        """files AS (
+  SELECT lang, string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS text FROM documents WHERE text IS NOT NULL GROUP BY lang)""",
+        spans_of(DEFAULT_RULES, "files", "lang"),
+        masked_from("spans", "files", "lang"),
+        select="SELECT length(original) AS n_chars, md5(redacted_text) AS masked_md5, n_entities FROM masked",
+    ),
     "score_results_job": with_(
         spans_of(DEFAULT_RULES),
         spans_of(CUSTOM_RULES, name="own"),

@@ -40,7 +40,7 @@ from spanveil.operators.score import (
 )
 from spanveil.functions.text import quoted
 from spanveil.operators.training_text import sft_examples, sft_labels
-from spanveil.plans.jobs import redact_corpus, score_results
+from spanveil.plans.jobs import redact_corpus, redact_files, score_results
 from spanveil.sources.corpus import (
     corpus_output,
     head_per_split,
@@ -459,6 +459,19 @@ def redact_corpus_types_file(spark, sf):
     return span_rows(_corpus_job(spark, sf, types_file=path)[1], "pii_entities", "id")
 
 
+def redact_files_job(spark, sf):
+    """The job over whole files: one file of all texts per language, in order of id."""
+    path = fresh_path(spark, "files")
+    texts = documents(spark, sf).where("text IS NOT NULL").repartition("lang").sortWithinPartitions("lang", "doc_id")
+    texts.select("lang", "text").write.partitionBy("lang").text(path)
+    done = redact_files(spark, f"{path}/*/*.txt")
+    return done.select(
+        F.length("original_text").cast("bigint").alias("n_chars"),
+        F.md5("redacted_text").alias("masked_md5"),
+        F.size("pii_entities").cast("bigint").alias("n_entities"),
+    )
+
+
 def score_results_job(spark, sf):
     """Scores of the job's saved results against the corpus' own spans."""
     results, _ = _corpus_job(spark, sf, rules=CUSTOM_RULES)
@@ -568,4 +581,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "redact_corpus_job": redact_corpus_job,
     "redact_corpus_types_file": redact_corpus_types_file,
     "score_results_job": score_results_job,
+    "redact_files_job": redact_files_job,
 }
