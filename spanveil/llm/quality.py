@@ -54,8 +54,8 @@ def fold_of(id_col: str, parts: int) -> Column:
 
 def _byte_classes() -> dict[str, np.ndarray]:
     def table(chars: str | bytes) -> np.ndarray:
-        out = np.zeros(256, dtype=np.int64)
-        out[list(chars.encode() if isinstance(chars, str) else chars)] = 1
+        out = np.zeros(256, dtype=bool)
+        out[list(chars.encode() if isinstance(chars, str) else chars)] = True
         return out
 
     return {
@@ -82,8 +82,9 @@ class Describer:
         ends = np.cumsum(sizes)
         counts = {}
         for name, table in self.classes.items():
-            sums = np.concatenate([[0], np.cumsum(table[words.data])])
-            counts[name] = sums[ends] - sums[ends - sizes]
+            # One byte per byte of text, however long a text is.
+            inside = table[words.data]
+            counts[name] = np.array([np.count_nonzero(inside[e - n : e]) for e, n in zip(ends, sizes)], dtype=np.int64)
         size, n = np.maximum(sizes, 1), np.diff(words.bounds)
         some = np.maximum(n, 1)
         out = np.zeros((len(texts), len(FEATURES)))
