@@ -110,19 +110,25 @@ def repeated_places(docs: DataFrame, id_col: str, text_col: str, window: int) ->
     """``id``, ``suffixes`` (all windows around these are repeats), ``windows`` (first words of further repeats)."""
     rows = _known(docs, id_col, text_col)
     suffixes = _suffixes(rows, window)
-    nodes = (
+    # Minima are written before they are joined: a join right on top of an
+    # aggregate shares its partitions, and Spark could not split a large key.
+    nodes = saved(
         suffixes.groupBy("node").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min("path").alias("p"), F.max("path").alias("q"))
-        .where("least < most").select("node", "least", (F.col("p") == F.col("q")).alias("straight"))
+        .where("least < most").select("node", "least", (F.col("p") == F.col("q")).alias("straight")),
+        "nodes",
     )
     inner = saved(suffixes.join(nodes, "node"), "suffixes")
     branching = inner.where("NOT straight").select("node", "path", "id", "at")
-    paths = branching.groupBy("node", "path").agg(F.min("id").alias("least"))
+    paths = saved(branching.groupBy("node", "path").agg(F.min("id").alias("least")), "paths")
     walked = branching.join(paths, ["node", "path"])
     repeats = inner.where("straight AND id > least").select("id", "at").union(walked.where("id > least").select("id", "at"))
     opened = walked.where("id = least").groupBy("id").agg(F.collect_set("at").alias("opened"))
     texts = rows.join(opened, rows["_id"] == opened["id"]).select("_id", "_text", "opened")
-    deep = _windows(texts, window)
-    first = deep.groupBy("deep").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("deep", "least")
+    deep = saved(_windows(texts, window), "windows")
+    first = saved(
+        deep.groupBy("deep").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("deep", "least"),
+        "first-windows",
+    )
     later = deep.join(first, "deep").where("id > least").select("id", "first")
     both = repeats.select("id", F.col("at").alias("suffix"), F.lit(None).cast("int").alias("window")).union(
         later.select("id", F.lit(None).cast("int"), "first")
