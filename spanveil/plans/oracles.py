@@ -511,6 +511,10 @@ ORACLES: dict[str, str] = {
         select="""SELECT CAST(s.id AS VARCHAR) AS id, m.redacted_text, CAST(k - 1 AS INTEGER) AS pos, label, value, "start", "end"
        FROM spans s JOIN masked m ON m.id = s.id""",
     ),
+    "results_json_texts": with_(
+        *GOLD[:2],
+        select="SELECT CAST(id AS VARCHAR) AS id, original AS original_source_text, redacted_text, n_entities FROM masked",
+    ),
     "split_counts": with_(SPLITS, select='SELECT "set", count(*) AS "rows" FROM splits GROUP BY "set"'),
     "split_sample": with_(
         *GOLD[:2],

@@ -433,11 +433,19 @@ def split_write_read(spark, sf):
     return back.select("id", "set", "source_text", F.size("privacy_mask").cast("bigint").alias("n_gold"))
 
 
-def results_json_roundtrip(spark, sf):
+def _results_reread(spark, sf):
     path = fresh_path(spark, "results")
     write_results(corpus_output(redact(corpus(spark, sf), "source_text")), path)
-    back = read_results(spark, path)
-    return span_rows(back, "pii_entities", "id", "redacted_text")
+    return read_results(spark, path)
+
+
+def results_json_roundtrip(spark, sf):
+    return span_rows(_results_reread(spark, sf), "pii_entities", "id", "redacted_text")
+
+
+def results_json_texts(spark, sf):
+    """All texts after the round trip, those without entities too."""
+    return _masked(_results_reread(spark, sf), "id", "original_source_text")
 
 
 def _corpus_job(spark, sf, **options):
@@ -567,6 +575,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "corpus_output": corpus_output_query,
     "split_write_read": split_write_read,
     "results_json_roundtrip": results_json_roundtrip,
+    "results_json_texts": results_json_texts,
     "split_counts": split_counts_query,
     "split_sample": split_sample_query,
     "sft_head_per_split": sft_head_per_split,
