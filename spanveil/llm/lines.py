@@ -63,12 +63,15 @@ def later_runs(docs: DataFrame, id_col: str, text_col: str, run: int) -> DataFra
     """``id``, ``starts``: first lines of the runs of ``run`` lines that stood before."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     marks = _fingerprints(rows, run)
-    common = marks.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
+    # Aggregates are written before they are joined: a join right on top of one
+    # shares its partitions, and Spark could not split a very common line.
+    common = saved(marks.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark"), "line-marks")
     places = marks.join(common, "mark").select("id", F.explode("around").alias("at")).select("id", "at.run", "at.first")
     places = saved(places.distinct(), "line-runs")
-    first = (
+    first = saved(
         places.groupBy("run").agg(F.min(F.struct("id", "first")).alias("before"), F.count("*").alias("n"))
-        .where("n > 1").select("run", "before")
+        .where("n > 1").select("run", "before"),
+        "first-runs",
     )
     later = places.join(first, "run").where(F.struct("id", "first") > F.col("before"))
     return later.groupBy("id").agg(F.sort_array(F.collect_set("first")).alias("starts"))
