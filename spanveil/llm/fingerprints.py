@@ -8,7 +8,7 @@ element of its own), written as sorted 8-digit hex numbers without separators.
 - The start of a text is an anchor too, so a text with a content word has a
   signature.
 - In stretches of more than GAP words without a common word (other languages,
-  lists), words chosen by their hash are anchors.
+  lists), the word of least hash of each GAP words is an anchor.
 - Null and empty texts, and texts without words, have the empty fingerprint.
   Equal fingerprints are alike to 1.0, the empty one included; an empty and a
   filled one to 0.0.
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanveil.llm.tables import slices
-from spanveil.llm.words import Splitter, letters_digits, lower_az, mix
+from spanveil.llm.words import Splitter, letters_digits, lower_az, mix, window_minima
 
 # Common words of English, German, French and Spanish.
 ANCHORS = (
@@ -61,19 +61,17 @@ class Signatures:
             return [np.zeros(0, np.uint32)] * len(texts)
         common = self._common(hashes)
         row = np.repeat(np.arange(len(texts)), np.diff(bounds))
-        # Length of the stretch without common words around each word.
-        place = np.arange(n)
-        low = np.maximum.accumulate(np.where(common, place, -1))
-        low = np.maximum(low, bounds[row] - 1)
-        high = np.minimum.accumulate(np.where(common, place, n)[::-1])[::-1]
-        high = np.minimum(high, bounds[row + 1])
-        hashed = ~common & (high - low - 1 > GAP) & ((hashes & np.uint64(3)) == 0)
+        # Stretches without common words, from the places where they or the texts end.
+        stops = np.unique(np.concatenate([bounds, np.flatnonzero(common), np.flatnonzero(common) + 1]))
+        chosen = np.zeros(n, dtype=bool)
+        for k in np.flatnonzero(np.diff(stops) > GAP):
+            chosen[stops[k] + window_minima(hashes[stops[k] : stops[k + 1]], GAP)] = True
         content = np.flatnonzero(~common)
         filled = np.flatnonzero(np.diff(bounds))
-        # Anchors: the start of each text, then common words, then hashed words.
-        after = np.concatenate([bounds[filled], np.flatnonzero(common | hashed) + 1])
-        owner = np.concatenate([filled, row[common | hashed]])
-        spelt = np.concatenate([np.full(len(filled), 1, np.uint64), hashes[common | hashed]])
+        # Anchors: the start of each text, then common words and chosen words.
+        after = np.concatenate([bounds[filled], np.flatnonzero(common | chosen) + 1])
+        owner = np.concatenate([filled, row[common | chosen]])
+        spelt = np.concatenate([np.full(len(filled), 1, np.uint64), hashes[common | chosen]])
         end = np.searchsorted(content, bounds)[owner + 1]
         first = np.searchsorted(content, after)
         used = first < end
