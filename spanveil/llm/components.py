@@ -14,7 +14,7 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 
 def _star(pairs: DataFrame, keep: str) -> DataFrame:
     """Joins every kept neighbour of a node to the least of the node and all its neighbours."""
-    least = pairs.groupBy("a").agg(F.least("a", F.min("b")).alias("least"))
+    least = saved(pairs.groupBy("a").agg(F.least("a", F.min("b")).alias("least")), "least")
     hung = pairs.where(keep).join(least, "a").select(F.col("least").alias("a"), "b")
     return hung.where("a <> b")
 
@@ -28,16 +28,16 @@ def components(edges: DataFrame) -> DataFrame:
     least neighbour, until every component is one star; their number grows with
     the logarithm of the largest component's size. Each round is written to the
     shared folder, and only a count and a sum per round go to the driver. The
-    least neighbour is found by partial minima, and the join back to it splits a
-    node with very many edges.
+    least neighbour is found by partial minima and written, so that the join back
+    to it, on partitions of its own, can split a node with very many edges.
     """
     clean = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     now, mark = saved(clean, "stars"), None
     while True:
-        large = _star(_both_ways(now), "b > a").distinct()
+        large = saved(_star(_both_ways(now), "b > a").distinct(), "stars")
         # Smaller neighbours of b, and b itself, hang on the least of them.
         turned = large.select(F.col("b").alias("a"), F.col("a").alias("b"))
-        least = turned.groupBy("a").agg(F.min("b").alias("least"))
+        least = saved(turned.groupBy("a").agg(F.min("b").alias("least")), "least")
         small = turned.join(least, "a").select(F.col("least").alias("x"), F.explode(F.array("a", "b")).alias("y"))
         now = saved(small.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "stars")
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

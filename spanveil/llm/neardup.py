@@ -143,9 +143,10 @@ def near_duplicates(
     )
     dealt = members.select("rep", F.explode("bands").alias("band"))
     other = F.min(F.col("rep").bitwiseXOR(F.col("band")))
-    hubs = (
+    hubs = saved(
         dealt.groupBy("band").agg(F.min("rep").alias("hub"), other.alias("_other"), F.max("rep").alias("_last"))
-        .where("hub < _last").select("band", "hub", F.col("_other").bitwiseXOR(F.col("band")).alias("other"))
+        .where("hub < _last").select("band", "hub", F.col("_other").bitwiseXOR(F.col("band")).alias("other")),
+        "hubs",
     )
     near = dealt.join(hubs, "band").select("rep", F.explode(F.array("hub", "other")).alias("hub")).where("rep <> hub")
     edges = saved(near.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct(), "edges")
