@@ -1,6 +1,6 @@
 """Near-duplicate documents by one-permutation MinHash, confirmed on full sets.
 
-A document's set holds its distinct runs of ``SHINGLE`` words (A-Z lowered); a
+A document's set holds its distinct runs of ``shingle`` words (A-Z lowered); a
 text of fewer words is one run. One hash function deals a set to BINS bins, the
 least hash of each is kept, and empty bins borrow from filled ones in an order
 that depends on the bin alone (optimal densification). BANDS groups of ROWS bins
@@ -35,7 +35,7 @@ from spanveil.llm.components import components
 from spanveil.llm.tables import saved, slices
 from spanveil.llm.words import Runs, Splitter, lower_az, mix, not_space
 
-SHINGLE = 4
+SHINGLE = 5
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 LEAST = 80  # percent

@@ -57,7 +57,7 @@ def op6_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir))
+    return near_duplicates(documents(spark, sf_dir), shingle=4)
 
 
 def op8_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,9 +43,9 @@ def shingles(text, k=4):
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if w else frozenset()
 
 
-def near_groups(docs, least=80):
+def near_groups(docs, least=80, k=4):
     """id -> (set size, least id reachable), for unique ids."""
-    sets = {doc: shingles(text) for doc, text in docs}
+    sets = {doc: shingles(text, k) for doc, text in docs}
     parent = {doc: doc for doc in sets}
 
     def root(x):

@@ -15,7 +15,7 @@ def result(df):
 
 
 def test_edges(spark, edges, nothing):
-    rows = near_duplicates(edges)
+    rows = near_duplicates(edges, shingle=4)
     want = plain.near_groups([(r.doc_id, r.text) for r in edges.collect() if r.doc_id is not None])
     got = result(rows)
     assert got.pop(None) == (9, None) and got == want and rows.count() == edges.count()
@@ -23,7 +23,7 @@ def test_edges(spark, edges, nothing):
     assert near_duplicates(nothing).count() == 0
     kept = keep_one(edges)
     assert kept.columns == edges.columns and kept.count() == edges.count() - 1
-    twice = near_duplicates(edges.union(edges.where("doc_id = 1")))
+    twice = near_duplicates(edges.union(edges.where("doc_id = 1")), shingle=4)
     assert result(twice)[1] == (16, 1) and twice.count() == edges.count() + 1
 
 
@@ -40,7 +40,8 @@ def test_chains_groups_and_short_texts(spark):
         docs.append((2000 + i, " ".join(words)))
     docs += [(3000 + i, t) for i, t in enumerate(["a b", "A B", "a b c", "a b c d e f g h i j", "a b c d e f g h i j k", "b c d e f g h i j k"])]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
-    assert result(near_duplicates(frame)) == plain.near_groups(docs)
+    for k in (4, 5):
+        assert result(near_duplicates(frame, shingle=k)) == plain.near_groups(docs, k=k)
 
 
 def test_components(spark):

@@ -28,7 +28,7 @@ def plain_run(spark, sf):
             rows[r.doc_id] = r.text
     cut = plain.cut_lines(list(rows.items()))
     rows = {i: text for i, (n, gone, text) in cut.items() if gone == 0 or gone < n}
-    groups = plain.near_groups(list(rows.items()))
+    groups = plain.near_groups(list(rows.items()), k=5)
     rows = {i: text for i, text in rows.items() if groups[i][1] == i}
     leaks = plain.leaks(list(rows.items()), [(r.item_id, r.text) for r in benchmark(spark, sf).collect()])
     rows = {i: text for i, text in rows.items() if not leaks[i][1]}
