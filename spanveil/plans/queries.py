@@ -51,7 +51,7 @@ from spanveil.sources.corpus import (
 )
 from spanveil.sources.results import read_results, write_results
 from spanveil.sources.shared import fresh_path
-from spanveil.sources.tables import read_table
+from spanveil.sources.tables import read_table, spread
 from spanveil.streaming.redact_stream import read_text_stream, redact_stream
 
 TYPE_SUBSET = ("EMAIL", "TEL")
@@ -67,13 +67,8 @@ SCORE_DIGITS = 6
 RATIOS = ("precision", "recall", "f1")
 
 
-# Session setting: tasks to deal small tables out to; unset, the scan decides.
-SPREAD = "spanveil.spread"
-
-
 def _table(spark: SparkSession, sf: str, table: str) -> DataFrame:
-    spread = spark.conf.get(SPREAD, None)
-    return read_table(spark, f"{sf}/{table}.parquet", int(spread) if spread else None)
+    return read_table(spark, f"{sf}/{table}.parquet", spread(spark))
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,6 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Session setting: tasks to deal small tables out to; unset, the scan decides.
+SPREAD = "spanveil.spread"
+
+
+def spread(spark: SparkSession) -> int | None:
+    value = spark.conf.get(SPREAD, None)
+    return int(value) if value else None
+
+
 def read_table(spark: SparkSession, path: str, spread: int | None = None) -> DataFrame:
     """A parquet table. ``spread`` deals its rows out to so many tasks, in turn.
 
