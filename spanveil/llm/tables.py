@@ -10,13 +10,14 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 
 from spanveil.sources.shared import fresh_path
+from spanveil.sources.tables import read_table, spread
 
 # Bytes of text that an Arrow function handles at a time.
 SLICE_BYTES = 1 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return read_table(spark, f"{sf_dir}/documents.parquet", spread(spark))
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
