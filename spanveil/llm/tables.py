@@ -13,7 +13,7 @@ from spanveil.sources.shared import fresh_path
 from spanveil.sources.tables import read_table, spread
 
 # Bytes of text that an Arrow function handles at a time.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

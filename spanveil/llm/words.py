@@ -16,7 +16,7 @@ import pyarrow as pa
 BYTE_BASE = 0x9E3779B97F4A7C15
 RUN_BASE = 0xD1342543DE82EF95
 # Texts are cut into pieces of about so many bytes, between words.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 def not_space() -> np.ndarray:
