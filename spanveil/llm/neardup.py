@@ -12,13 +12,17 @@ From sets to links:
 1. Documents with equal sets are one class from here on.
 2. Each bucket gives star-shaped edges: from its members to its least id, and to
    one further member that a bucket-dependent order picks. So a bucket of n
-   classes gives less than 2n candidate pairs, and members that do not resemble
-   one hub meet others in other buckets.
+   classes gives less than 2n candidate pairs, which join most of what is alike.
 3. The edge to the least hub of each class is confirmed on the full sets first.
    Edges whose ends are connected by then cannot change a component; all others
    are confirmed in a second pass.
+4. Buckets that hold more than one component by then give all pairs across
+   components that were not tested yet. Bit maps of both sets bound what they can
+   share from above; pairs that may still reach the least share are confirmed.
 
-No bucket is cut, capped or gathered in one task.
+So every two classes that share a bucket are connected or were compared, and no
+bucket is cut, capped or gathered in one task. The pairs of step 4 grow with the
+square of a group whose members are alike by slightly less than the least share.
 """
 
 from __future__ import annotations
@@ -39,6 +43,7 @@ SHINGLE = 5
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 LEAST = 80  # percent
+MAP = 16  # longs of a set's bit map
 
 
 class Sketcher:
@@ -101,15 +106,24 @@ def _sketches(rows: DataFrame, shingle: int) -> DataFrame:
 
 
 def _full_sets(rows: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """``id``, ``members`` of the documents whose ids are in ``ids``."""
+    """``id``, ``members``, ``m0``, ``m1``, ... (bit map) of the documents whose ids are in ``ids``."""
+    places = [f"m{k}" for k in range(MAP)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher = Sketcher(shingle)
         for piece in slices(batches, 1):
-            sets = [s.view(np.int64) for s in sketcher.sets(piece.column(1))]
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "members"])
+            sets = sketcher.sets(piece.column(1))
+            bits = np.zeros((len(sets), MAP * 64), dtype=np.uint8)
+            for i, s in enumerate(sets):
+                bits[i, (s % np.uint64(MAP * 64)).astype(np.int64)] = 1
+            maps = np.packbits(bits, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [piece.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), *(pa.array(maps[:, k].copy()) for k in range(MAP))],
+                names=["id", "members", *places],
+            )
 
-    return rows.join(ids.hint("shuffle_hash"), rows["_id"] == ids["id"], "left_semi").mapInArrow(run, "id long, members array<long>")
+    kept = rows.join(ids.hint("shuffle_hash"), rows["_id"] == ids["id"], "left_semi")
+    return kept.mapInArrow(run, "id long, members array<long>" + "".join(f", {m} long" for m in places))
 
 
 def _confirmed(edges: DataFrame, sets: DataFrame, least: int) -> DataFrame:
@@ -120,6 +134,34 @@ def _confirmed(edges: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     return edges.join(right, "b").join(left, "a").where(100 * both >= least * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
 
 
+def _across(placed: DataFrame, tested: DataFrame, least: int) -> DataFrame:
+    """Pairs of different components in one bucket that were not tested and may share ``least`` percent.
+
+    ``placed``: ``rep``, ``n``, ``component``, ``bands`` and the bit map of each class.
+    """
+    maps = [f"m{k}" for k in range(MAP)]
+    parts = placed.select("component", F.explode("bands").alias("band")).groupBy("band", "component").agg(F.count("*").alias("k"))
+    mixed = saved(
+        parts.groupBy("band").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("k"))
+        .where("k > 1").select("band", "main"),
+        "mixed-buckets",
+    )
+    dealt = placed.select("rep", "n", "component", *maps, F.explode("bands").alias("band")).join(mixed, "band")
+    dealt = saved(dealt, "mixed-members")
+    side = lambda x: dealt.select("band", "main", *(F.col(c).alias(f"{x}_{c}") for c in ("rep", "n", "component", *maps)))
+    # One end is outside the component that has most of the bucket.
+    one, two = side("x"), side("y").where("y_component <> main").drop("main")
+    only = lambda x, y: sum((F.bit_count(F.col(f"{x}_{m}").bitwiseAND(F.bitwise_not(F.col(f"{y}_{m}")))) for m in maps), F.lit(0))
+    most = F.least(F.col("x_n") - only("x", "y"), F.col("y_n") - only("y", "x"))
+    pairs = one.join(two, "band").where(
+        (F.col("x_component") != F.col("y_component"))
+        & ((F.col("x_component") == F.col("main")) | (F.col("x_rep") < F.col("y_rep")))
+        & ((100 + least) * most >= least * (F.col("x_n") + F.col("y_n")))
+    )
+    pairs = pairs.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
+    return saved(pairs.join(tested, ["a", "b"], "left_anti"), "edges")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: int = LEAST
 ) -> DataFrame:
@@ -161,7 +203,16 @@ def near_duplicates(
         .where("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b")
     )
     more = saved(_confirmed(saved(open_edges, "edges"), sets, least), "links")
-    found = components(links.union(more))
+    links = links.union(more)
+    found = components(links)
+    placed = saved(
+        sets.withColumn("n", F.size("members")).drop("members").withColumnRenamed("id", "rep").join(members, "rep")
+        .join(label("rep"), "rep", "left").withColumn("component", F.coalesce("of_rep", "rep")).drop("of_rep"),
+        "placed",
+    )
+    last = saved(_confirmed(_across(placed, edges, least), sets, least), "links")
+    if not last.isEmpty():
+        found = components(links.union(last))
     whole = (
         classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
         .where("rep < last OR component IS NOT NULL")

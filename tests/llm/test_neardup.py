@@ -69,3 +69,22 @@ def test_query(spark, sf):
     rows = op7_minhash(spark, sf)
     assert result(rows) == want and any(x != y[1] for x, y in want.items())
     assert all(r.kept == (r.doc_id == r.component_id) for r in rows.collect())
+
+
+def test_links_inside_a_template_group(spark):
+    rnd = random.Random(11)
+    base = [f"t{j}" for j in range(200)]
+    docs, fresh = [], 0
+    for i in range(150):  # pairs alike at 0.80 to 0.85, in a group that is otherwise alike at 0.78
+        both = [f"p{i}_{j}" for j in range(3 + i % 7)]
+        for _ in range(2):
+            own = [f"o{fresh}_{j}" for j in range(28 - len(both))]
+            docs.append((fresh, " ".join([*base, *both, *own])))
+            fresh += 1
+    ids = list(range(len(docs)))
+    rnd.shuffle(ids)
+    docs = [(ids[i], text) for i, text in docs]
+    want = plain.near_groups(docs, k=1)
+    assert len({x[1] for x in want.values()}) == 150
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert result(near_duplicates(frame, shingle=1)) == want
