@@ -13,6 +13,9 @@ deleted; longer repeated runs go whole, since each of their parts does.
    is found by partial minima, so no group is gathered, however common a line is.
 4. Deletion. All later runs go.
 
+With ``words``, shorter runs, down to one line, go as well where they hold so many
+words; each length is matched in the same way.
+
 Only hashes and positions cross the network until the deletion; texts do once.
 """
 
@@ -27,29 +30,42 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanveil.llm.tables import saved, slices
-from spanveil.llm.words import Runs, Splitter, covered, not_newline, window_minima
+from spanveil.llm.words import Runs, Splitter, covered, not_newline, not_space, window_minima
 
 RUN = 3
 
 
-def _fingerprints(rows: DataFrame, run: int) -> DataFrame:
-    """``mark`` (fingerprint), ``id``, and ``around``: hash and first line of each run that holds it."""
+def _fingerprints(rows: DataFrame, run: int, words: int = 0) -> DataFrame:
+    """``mark`` (fingerprint), ``id``, and ``around``: hash and first line of each run that holds it.
+
+    Runs of less than ``words`` words are left out.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter, runs = Splitter(not_newline()), Runs()
+        counter = Splitter(not_space()) if words else None
         for piece in slices(batches, 1):
             lines = splitter.split(piece.column(1))
+            if counter:
+                begins = counter.split(piece.column(1)).begins
+                sizes = np.searchsorted(begins, lines.ends) - np.searchsorted(begins, lines.begins)
             marks, ids, around = [], [], []
             for i, doc in enumerate(piece.column(0).to_pylist()):
                 hashes = lines.hashes[lines.bounds[i] : lines.bounds[i + 1]]
                 if len(hashes) < run:
                     continue
                 grams = runs.grams(hashes, run).view(np.int64)
+                wide = np.ones(len(grams), dtype=bool)
+                if counter:
+                    sums = np.concatenate([[0], np.cumsum(sizes[lines.bounds[i] : lines.bounds[i + 1]])])
+                    wide = sums[run:] - sums[:-run] >= words
                 for place in window_minima(hashes, run):
                     low, high = max(0, place - run + 1), min(place, len(grams) - 1)
-                    marks.append(hashes[place])
-                    ids.append(doc)
-                    around.append([{"run": int(grams[j]), "first": j} for j in range(low, high + 1)])
+                    held = [{"run": int(grams[j]), "first": j} for j in range(low, high + 1) if wide[j]]
+                    if held:
+                        marks.append(hashes[place])
+                        ids.append(doc)
+                        around.append(held)
             kind = pa.list_(pa.struct([("run", pa.int64()), ("first", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.array(marks, dtype=np.uint64).view(np.int64)), pa.array(ids, pa.int64()), pa.array(around, kind)],
@@ -59,10 +75,10 @@ def _fingerprints(rows: DataFrame, run: int) -> DataFrame:
     return rows.mapInArrow(work, "mark long, id long, around array<struct<run: long, first: int>>")
 
 
-def later_runs(docs: DataFrame, id_col: str, text_col: str, run: int) -> DataFrame:
-    """``id``, ``starts``: first lines of the runs of ``run`` lines that stood before."""
+def later_runs(docs: DataFrame, id_col: str, text_col: str, run: int, words: int = 0) -> DataFrame:
+    """``id``, ``starts``: first lines of the runs of ``run`` lines, of ``words`` words or more, that stood before."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    marks = _fingerprints(rows, run)
+    marks = _fingerprints(rows, run, words)
     # Aggregates are written before they are joined: a join right on top of one
     # shares its partitions, and Spark could not split a very common line.
     common = saved(marks.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark"), "line-marks")
@@ -77,17 +93,32 @@ def later_runs(docs: DataFrame, id_col: str, text_col: str, run: int) -> DataFra
     return later.groupBy("id").agg(F.sort_array(F.collect_set("first")).alias("starts"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
+def _later_lines(docs: DataFrame, id_col: str, text_col: str, run: int, words: int) -> DataFrame:
+    """``id``, ``starts``: the lines of runs that stood before and have ``run`` lines, or fewer that hold ``words`` words."""
+    each = None
+    for k in range(1, run + 1):
+        found = later_runs(docs, id_col, text_col, k, 0 if k == run else words)
+        lines = found.select("id", F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (k - 1)))).alias("lines"))  # noqa: B023
+        each = lines if each is None else each.union(lines)
+    return each.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("starts"))
+
+
+def dedup_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, words: int | None = None
+) -> DataFrame:
     """The rows of ``docs`` with ``text_col`` less its later repeated runs, plus ``n_lines``, ``n_removed``.
 
     A text that loses lines is made of its kept lines, joined by newlines; all
     others stay as they are, nulls included. Texts of fewer lines lose none. Rows
     without an id neither lose lines nor make others lose any. Rows of one id are
-    one document, and what any of them repeats goes from each. Columns of ``docs``
+    one document, and what any of them repeats goes from each. With ``words``, later
+    runs of fewer lines go too if they hold that many words. Columns of ``docs``
     may not be named ``n_lines`` or ``n_removed``; such are replaced.
     """
 
-    starts = later_runs(docs, id_col, text_col, run).select(F.col("id").alias("_dedup_id"), F.col("starts").alias("_dedup_starts"))
+    later = later_runs(docs, id_col, text_col, run) if words is None else _later_lines(docs, id_col, text_col, run, words)
+    long = run if words is None else 1
+    starts = later.select(F.col("id").alias("_dedup_id"), F.col("starts").alias("_dedup_starts"))
     known = docs.where(F.col(id_col).isNotNull()).join(starts, F.col(id_col).cast("long") == F.col("_dedup_id"), "left").drop("_dedup_id")
     unknown = docs.where(F.col(id_col).isNull()).withColumn("_dedup_starts", F.lit(None).cast("array<int>"))
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
@@ -106,7 +137,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     continue
                 low, high = lines.bounds[i], lines.bounds[i + 1]
                 first = np.asarray(at, dtype=np.int64)
-                gone = covered(high - low, first, first + run)
+                gone = covered(high - low, first, first + long)
                 removed[i] = gone.sum()
                 if removed[i]:
                     begins, ends = lines.begins[low:high][~gone], lines.ends[low:high][~gone]

@@ -31,3 +31,23 @@ def test_random_runs(spark, run):
     docs.append((1000, "a\n" * 50))
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
     assert result(dedup_lines(frame, run=run)) == plain.cut_lines(docs, run)
+
+
+def test_short_runs_of_many_words(spark):
+    passage = " ".join(f"w{j}" for j in range(50))
+    half, rest = " ".join(f"h{j}" for j in range(25)), " ".join(f"r{j}" for j in range(25))
+    docs = [
+        (1, passage),
+        (2, passage),  # a copy of one line
+        (3, f"own\n{passage}\nmore"),
+        (4, f"{half}\n{rest}"),
+        (5, f"{half}\n{rest}\nend"),  # two lines of 50 words together
+        (6, f"{half}\nother"),  # 25 words
+        (7, "a\nb\nc"),
+        (8, "a\nb\nc\nd"),
+    ]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {i: (gone, text) for i, (n, gone, text) in result(dedup_lines(frame, words=50)).items()}
+    cut = {2: (1, ""), 3: (1, "own\nmore"), 5: (2, "end"), 8: (3, "d")}
+    assert got == {i: cut.get(i, (0, text)) for i, text in docs}
+    assert result(dedup_lines(frame)) == plain.cut_lines(docs)
