@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanveil.llm.audit import filter_audit
 from spanveil.llm.fingerprints import neighbours
 from spanveil.llm.leaks import contamination
 from spanveil.llm.lines import dedup_lines
@@ -78,6 +79,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 # Windows are compared as word lists joined by a blank, which no word holds.
 OP9_SQL = r"""
 WITH d AS (
@@ -162,6 +167,48 @@ SELECT doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(coalesce(len(ks), 0) AS B
 FROM d LEFT JOIN gone USING (doc_id)
 """
 
+# One row per document with its failures; all orders by joining prefixes and letters.
+OP13_SQL = r"""
+WITH RECURSIVE marks AS (
+  SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id
+), d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), doc AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    (CASE WHEN len(w) < 200 THEN 'A' ELSE '' END)
+    || (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END)
+    || (CASE WHEN 100 * len(regexp_extract_all(text, '[A-Z]')) > 3 * length(text) THEN 'C' ELSE '' END)
+    || (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END)
+    || (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END) AS fails
+  FROM d LEFT JOIN marks USING (doc_id)
+), cell AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM doc GROUP BY ALL
+), letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l
+), prefix AS (
+  SELECT '' AS p UNION ALL SELECT p || l FROM prefix JOIN letter ON NOT contains(p, l)
+), steps AS (
+  SELECT p AS filter_order, s AS step, p[s] AS l, p[1:s - 1] AS earlier
+  FROM (SELECT p, unnest(range(1, 6)) AS s FROM prefix WHERE len(p) = 5)
+), judged AS (
+  SELECT part, filter_order, step, l, n, good, toxic, fails, contains(fails, l) AS hit,
+    earlier <> '' AND fails <> '' AND len(list_intersect(string_split(earlier, ''), string_split(fails, ''))) > 0 AS gone
+  FROM (SELECT part, fails, n, good, toxic FROM cell), steps
+), counted AS (
+  SELECT part, filter_order, CAST(step AS INTEGER) AS step, l,
+    CAST(sum(CASE WHEN NOT gone AND NOT hit THEN n ELSE 0 END) AS BIGINT) AS kept,
+    CAST(sum(CASE WHEN NOT gone AND hit THEN n ELSE 0 END) AS BIGINT) AS removed,
+    CAST(sum(CASE WHEN gone AND hit THEN n ELSE 0 END) AS BIGINT) AS redundant,
+    CAST(sum(CASE WHEN fails = l THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+    CAST(sum(CASE WHEN NOT gone AND hit THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+    CAST(sum(CASE WHEN NOT gone AND hit THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+  FROM judged GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, l) AS BIGINT) AS shapley
+FROM counted
+"""
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_quality": op2_quality,
@@ -173,6 +220,7 @@ QUERIES = {
     "op8_suffix_trees": op8_suffix_trees,
     "op9_decontamination": op9_decontamination,
     "op10_line_dedup": op10_line_dedup,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 # Queries that DuckDB can express over the same tables.
@@ -181,4 +229,5 @@ ORACLES: dict[str, str] = {
     "op8_suffix_trees": OP8_SQL,
     "op9_decontamination": OP9_SQL,
     "op10_line_dedup": OP10_SQL,
+    "op13_filter_audit": OP13_SQL,
 }
