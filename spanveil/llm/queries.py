@@ -11,9 +11,10 @@ from spanveil.llm.fingerprints import neighbours
 from spanveil.llm.leaks import contamination
 from spanveil.llm.lines import dedup_lines
 from spanveil.llm.neardup import near_duplicates
+from spanveil.llm.negatives import hard_negatives
 from spanveil.llm.quality import fold_of, score_quality, train
 from spanveil.llm.substrings import dedup_substrings
-from spanveil.llm.tables import benchmark, documents, labels
+from spanveil.llm.tables import benchmark, documents, embeddings, labels
 from spanveil.llm import brown, toxicity
 from spanveil.llm.tokens import count_tokens, round_trip
 
@@ -79,6 +80,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.expr("if(vec_id % 7 = 0, (cast(label AS long) + 1) % 10, label)")
+    return hard_negatives(embeddings(spark, sf_dir), "vec_id % 50 = 0", label=label)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -167,6 +173,30 @@ SELECT doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(coalesce(len(ks), 0) AS B
 FROM d LEFT JOIN gone USING (doc_id)
 """
 
+# All pairs of an anchor and a row are scored.
+OP12_SQL = r"""
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+), positive AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM (
+  SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+    row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+  FROM positive JOIN scored USING (anchor_id)
+  WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+) WHERE rank <= 3
+"""
+
 # One row per document with its failures; all orders by joining prefixes and letters.
 OP13_SQL = r"""
 WITH RECURSIVE marks AS (
@@ -220,6 +250,7 @@ QUERIES = {
     "op8_suffix_trees": op8_suffix_trees,
     "op9_decontamination": op9_decontamination,
     "op10_line_dedup": op10_line_dedup,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_filter_audit": op13_filter_audit,
 }
 
@@ -229,5 +260,6 @@ ORACLES: dict[str, str] = {
     "op8_suffix_trees": OP8_SQL,
     "op9_decontamination": OP9_SQL,
     "op10_line_dedup": OP10_SQL,
+    "op12_hard_negatives": OP12_SQL,
     "op13_filter_audit": OP13_SQL,
 }

@@ -28,6 +28,14 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, f"{sf_dir}/pages.parquet", spread(spark))
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """The rows of ``df``, written once to the shared folder and read back.
 
