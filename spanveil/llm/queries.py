@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanveil.llm.audit import filter_audit
+from spanveil.llm.extract import extract_text
 from spanveil.llm.fingerprints import neighbours
 from spanveil.llm.leaks import contamination
 from spanveil.llm.lines import dedup_lines
@@ -14,7 +15,7 @@ from spanveil.llm.neardup import near_duplicates
 from spanveil.llm.negatives import hard_negatives
 from spanveil.llm.quality import fold_of, score_quality, train
 from spanveil.llm.substrings import dedup_substrings
-from spanveil.llm.tables import benchmark, documents, embeddings, labels
+from spanveil.llm.tables import benchmark, documents, embeddings, labels, pages
 from spanveil.llm import brown, toxicity
 from spanveil.llm.tokens import count_tokens, round_trip
 
@@ -80,6 +81,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(pages(spark, sf_dir))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.expr("if(vec_id % 7 = 0, (cast(label AS long) + 1) % 10, label)")
     return hard_negatives(embeddings(spark, sf_dir), "vec_id % 50 = 0", label=label)
@@ -173,6 +178,20 @@ SELECT doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(coalesce(len(ks), 0) AS B
 FROM d LEFT JOIN gone USING (doc_id)
 """
 
+# For the markup of the given pages: what stands in their article element; blocks part by any tag but b.
+OP11_SQL = r"""
+WITH p AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1),
+    '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS t FROM pages
+), d AS (
+  SELECT page_id, url, regexp_replace(replace(replace(replace(replace(t, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '),
+    '&amp;?', '&', 'g') AS t FROM p
+), w AS (
+  SELECT page_id, url, trim(regexp_replace(t, '[\s\x0B\x1C-\x1F\x{85}\p{Z}]+', ' ', 'g'), ' ') AS text FROM d
+)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM w
+"""
+
 # All pairs of an anchor and a row are scored.
 OP12_SQL = r"""
 WITH r AS (
@@ -250,6 +269,7 @@ QUERIES = {
     "op8_suffix_trees": op8_suffix_trees,
     "op9_decontamination": op9_decontamination,
     "op10_line_dedup": op10_line_dedup,
+    "op11_html_extraction": op11_html_extraction,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_filter_audit": op13_filter_audit,
 }
@@ -260,6 +280,7 @@ ORACLES: dict[str, str] = {
     "op8_suffix_trees": OP8_SQL,
     "op9_decontamination": OP9_SQL,
     "op10_line_dedup": OP10_SQL,
+    "op11_html_extraction": OP11_SQL,
     "op12_hard_negatives": OP12_SQL,
     "op13_filter_audit": OP13_SQL,
 }
