@@ -21,7 +21,7 @@ passes over the documents, with the same rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -139,7 +139,9 @@ def _parts(items: DataFrame, id_col: str, text_col: str) -> list[list[tuple[str,
 def _searcher(docs: DataFrame, part: list[tuple[str, str]], size: int):
     """A broadcast of one part's windows, by the rarity of its words in ``docs`` (column ``_text``)."""
     vocabulary = np.unique(_splitter().split(pa.array([t for _, t in part], pa.large_string())).hashes)
-    return docs.sparkSession.sparkContext.broadcast(Windows.of(part, _rarity(docs, vocabulary), size))
+    windows = Windows.of(part, _rarity(docs, vocabulary), size)
+    # Plain arrays: what is broadcast is pickled by reference, and workers need not have this package.
+    return docs.sparkSession.sparkContext.broadcast(tuple(getattr(windows, f.name) for f in fields(Windows)))
 
 
 def contamination(
@@ -162,7 +164,7 @@ def contamination(
         first = "hits" not in before.columns
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            splitter, windows = _splitter(), shared.value
+            splitter, windows = _splitter(), Windows(*shared.value)
             for piece in slices(batches, 1):
                 split = splitter.split(piece.column(1))
                 window, begin = windows.found(split.hashes, split.bounds)
@@ -220,7 +222,7 @@ def keep_clean(
 
 
         def make(shared=shared):
-            splitter, windows = _splitter(), shared.value
+            splitter, windows = _splitter(), Windows(*shared.value)
 
             def clean(texts: pa.Array) -> np.ndarray:
                 split = splitter.split(texts)
