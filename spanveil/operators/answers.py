@@ -22,8 +22,9 @@ Predict = Callable[[list[str]], Sequence[str | None]]
 
 # Prompts per call of the caller's function.
 BATCH_SIZE = 256
-# Failed single calls in a row after which a model counts as dead for a batch.
-GIVE_UP = 8
+
+# The reason of a prompt that was passed over.
+NOT_ASKED = "not asked"
 
 ANSWER_DDL = "redacted_text STRING, pii_entities ARRAY<STRUCT<label: STRING, value: STRING>>"
 
@@ -173,44 +174,57 @@ def _texts_only(answers: Sequence[str | None]) -> list[tuple[str | None, str | N
     return [(a, None) if isinstance(a, str) else (None, f"no text but {type(a).__name__}") for a in answers]
 
 
-def _answer_batch(predict: Predict, prompts: list[str]) -> list[tuple[str | None, str | None]]:
+def _answer_batch(
+    predict: Predict, prompts: list[str], give_up: int | None = None
+) -> list[tuple[str | None, str | None]]:
     """Answers of one batch with the reason where there is none.
 
-    A batch that fails is asked again text by text. A model that fails GIVE_UP
-    times in a row there is not asked for the rest of the batch.
+    A batch that fails is asked again in halves, down to single texts, so a bad
+    text costs a few calls and takes no other one with it. With ``give_up``, so
+    many single texts failing in a row end the batch; what is left has the
+    reason NOT_ASKED, and has to be asked in a further pass.
     """
-    try:
-        answers = list(predict(prompts))
-        if len(answers) == len(prompts):
-            return _texts_only(answers)
-        why = f"{len(answers)} answers to {len(prompts)} prompts"
-    except Exception as problem:
-        why = _reason(problem)
-    single: list[tuple[str | None, str | None]] = []
+    found: list[tuple[str | None, str | None]] = []
+    waiting = [(0, len(prompts))]
     failures = 0
-    for prompt in prompts if len(prompts) > 1 else ():
+    while waiting:
+        first, last = waiting.pop()
         try:
-            single += _texts_only(list(predict([prompt]))[:1] or [None])
-            failures = 0
+            answers = list(predict(prompts[first:last]))
+            if last - first == 1:
+                answers = answers[:1] or [None]
+            if len(answers) == last - first:
+                found += _texts_only(answers)
+                failures = 0
+                continue
+            why = f"{len(answers)} answers to {last - first} prompts"
         except Exception as problem:
-            single.append((None, _reason(problem)))
-            failures += 1
-        if failures == GIVE_UP:
-            why = f"not asked after {GIVE_UP} failures in a row"
+            why = _reason(problem)
+        if last - first > 1:
+            middle = (first + last) // 2
+            waiting += [(middle, last), (first, middle)]
+            continue
+        found.append((None, why))
+        failures += 1
+        if failures == give_up:
             break
-    return single + [(None, why)] * (len(prompts) - len(single))
+    return found + [(None, NOT_ASKED)] * (len(prompts) - len(found))
 
 
 def _reason(problem: Exception) -> str:
     return f"{type(problem).__name__}: {problem}"[:200]
 
 
-def ask(prompts: Column, make_predict: Callable[[], Predict], batch_size: int = BATCH_SIZE) -> Column:
+def ask(
+    prompts: Column, make_predict: Callable[[], Predict], batch_size: int = BATCH_SIZE, give_up: int | None = None
+) -> Column:
     """``answer`` and ``failure`` of the caller's function, which is made once per task.
 
     An answer that is no text counts as none, and ``failure`` says why there is
     none. Spark hands over ``spark.sql.execution.arrow.maxRecordsPerBatch`` rows
-    at a time; the function gets them in lists of at most ``batch_size``.
+    at a time; the function gets them in lists of at most ``batch_size``. Each
+    prompt is asked, on its own if need be, unless ``give_up`` says how many
+    failures in a row end a list.
     """
 
     @F.pandas_udf("answer string, failure string")
@@ -221,7 +235,7 @@ def ask(prompts: Column, make_predict: Callable[[], Predict], batch_size: int =
             prompts_here = [p for p, a in zip(batch, asked) if a]
             got: list[tuple[str | None, str | None]] = []
             for first in range(0, len(prompts_here), batch_size):
-                got += _answer_batch(predict, prompts_here[first : first + batch_size])
+                got += _answer_batch(predict, prompts_here[first : first + batch_size], give_up)
             given = iter(got)
             rows = [next(given) if a else (None, "no text") for a in asked]
             yield pd.DataFrame(rows, columns=["answer", "failure"], dtype=object)
@@ -249,11 +263,22 @@ def redact_with(
     Rows without a usable answer keep their text, and ``failure`` gives the reason.
     Write the result before using it twice if the model is not deterministic.
     """
-    if answers not in ("json", "chat"):
-        raise ValueError(f"answers must be 'json' or 'chat', not {answers!r}")
-    make_prompt = json_prompt if answers == "json" else chat_prompt
+    make_prompt = prompt_maker(answers)
     asked = df.withColumn("_asked", ask(make_prompt(F.col(text_col), types), make_predict, batch_size))
     asked = asked.withColumns({"_raw": F.col("_asked.answer"), "_why": F.col("_asked.failure")}).drop("_asked")
+    return read_answers(asked, text_col, types, answers, placeholder, only_types)
+
+
+def prompt_maker(answers: str) -> Callable[[Column, Sequence[str]], Column]:
+    if answers not in ("json", "chat"):
+        raise ValueError(f"answers must be 'json' or 'chat', not {answers!r}")
+    return json_prompt if answers == "json" else chat_prompt
+
+
+def read_answers(
+    asked: DataFrame, text_col: str, types: Sequence[str], answers: str, placeholder: str, only_types: bool
+) -> DataFrame:
+    """Result columns and ``failure`` from ``_raw``, an answer, and ``_why``, the reason where there is none."""
     if answers == "json":
         result = read_json_answers(asked, text_col, "_raw").drop("_raw")
     else:

@@ -71,11 +71,14 @@ _GAP = "[ ]{0,3}"
 _SIGN = f"{_GAP}[:=#]{_GAP}"
 _SIGNS = (":", "=", "#")
 
-_CODE = "[A-Z0-9][A-Z0-9-]{4,}+[A-Za-z0-9]*+"
+# Letters of any script, so that no head or tail of a value is left.
+_LETTER, _ALNUM = r"\p{L}\p{M}", r"\p{L}\p{M}\p{N}"
+# A code holds a digit, or is in capitals; it goes on to the end of its letters, digits and hyphens.
+_CODE = rf"[{_LETTER}-]*+\p{{N}}[{_ALNUM}-]*+|[A-Z][A-Z-]{{4,}}+[{_ALNUM}-]*+"
 
 DEFAULT_RULES = (
-    Rule("EMAIL", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}[A-Za-z0-9-]*+",
-         needs=(("@",),), starts=("A-Za-z0-9._%+-",)),
+    Rule("EMAIL", rf"(?:\G|(?<![{_ALNUM}._%+-]))[{_ALNUM}._%+-]++@[{_ALNUM}.-]+\.[{_LETTER}]{{2,}}[{_ALNUM}-]*+",
+         needs=(("@",),), starts=(f"{_ALNUM}._%+-",)),
     Rule("GEOCOORD", rf"[-+]?{_DIGITS}++\.[0-9]{{3,}}+,[ ]?[-+]?[0-9]++\.[0-9]{{3,}}+", starts=("0-9+-",)),
     Rule("IP", rf"{_DIGITS}++(?:\.[0-9]++){{3,}}+", starts=("0-9",)),
     Rule("TEL", rf"(?:\+[0-9]{{1,3}}[ .-])?{_DIGITS}{{3,}}+[ .-][0-9]{{3}}[ .-][0-9]{{4,}}+"
@@ -88,20 +91,21 @@ DEFAULT_RULES = (
     Rule("TITLE", r"(?:Mrs|Mr|Ms|Dr|Prof)\.", starts=("MDP",)),
     Rule("DOB", _DATE, cue=f"(?i:date of birth|birth date|dob|born){_SIGN}",
          needs=(_SIGNS, ("birth", "dob", "born")), starts=("DdBb", "AaIiOo")),
-    Rule("PASS", "[A-Za-z0-9!#$%&*+./?@^_~-]{4,}+",
+    # A secret may hold any sign: it is the run of all that is no white space, but for commas, semicolons and quotes at its end.
+    Rule("PASS", r"[^\x09-\x0D\x20\x85\p{Z}]{3,}[^\x09-\x0D\x20\x85\p{Z},;\"']",
          cue=f"(?i:password|passcode|passwd|pwd|secret|token|api[_-]?key){_SIGN}[\"']?",
          needs=(_SIGNS, ("passw", "passcode", "pwd", "secret", "token", "apikey", "api_key", "api-key")),
          starts=("PpSsTtAa", "AaWwEeOoPp")),
-    Rule("PASSPORT", "[A-Z0-9]{6,}+[A-Za-z0-9]*+", cue=f"(?i:passport)(?i:[ ]number|[ ]no\\.?)?{_SIGN}",
+    Rule("PASSPORT", _CODE, cue=f"(?i:passport)(?i:[ ]number|[ ]no\\.?)?{_SIGN}",
          needs=(_SIGNS, ("passport",)), starts=("Pp", "Aa")),
     Rule("IDCARD", _CODE, cue=f"(?i:identity card|id card|national id){_SIGN}",
          needs=(_SIGNS, ("identity card", "id card", "national id")), starts=("IiNn", "DdAa")),
     Rule("DRIVERLICENSE", _CODE,
          cue=f"(?i:driver'?s? licen[cs]e|driving licen[cs]e){_SIGN}",
          needs=(_SIGNS, ("licence", "license")), starts=("Dd", "Rr")),
-    Rule("USERNAME", "[A-Za-z0-9][A-Za-z0-9._@-]++", cue=f"(?i:user ?name|user|login|handle){_SIGN}",
+    Rule("USERNAME", rf"[\p{{L}}\p{{N}}][{_ALNUM}._@+-]++", cue=f"(?i:user ?name|user|login|handle){_SIGN}",
          needs=(_SIGNS, ("user", "login", "handle")), starts=("UuLlHh", "SsOoAa")),
-    Rule("POSTCODE", "[A-Za-z0-9]{3,}+(?:[ -][A-Za-z0-9]{3,4}(?![A-Za-z0-9_]))?",
+    Rule("POSTCODE", rf"[{_ALNUM}]{{3,}}+(?:-[{_ALNUM}-]++| [A-Za-z0-9]{{3,4}}(?![A-Za-z0-9_]))?",
          cue=f"(?i:zip code|zip|post ?code|postal code){_SIGN}", needs=(_SIGNS, ("zip", "post")), starts=("ZzPp", "IiOo")),
     Rule("SEX", "(?i:female|male|non-binary|diverse)(?![A-Za-z0-9_])", cue=f"(?i:sex|gender){_SIGN}",
          needs=(_SIGNS, ("sex", "gender")), starts=("SsGg", "Ee")),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from spanveil.functions.arrays import bind, running
 from spanveil.functions.text import name
+from spanveil.sources.shared import written
 
 # Fixed value: keeps the ratios defined when there is nothing to count.
 EPSILON = 1e-9
@@ -64,36 +65,75 @@ def score_by_label(
     A hit counts for the label of the predicted span, a miss for the label of
     the gold span. The counts are summed per label before the exchange.
     """
-    keyed = df.select(
+    keyed = _keyed(df, pred_col, gold_col, ignore_labels)
+    rows = keyed.select(F.expr(_tagged()).alias("tagged")).select(F.expr(f"explode({_hits('tagged')})").alias("m"))
+    marks = rows.select("m.label", (F.col("m.side") == 2).alias("gold"), "m.hit").where(F.col("m.side") > 0)
+    counts = marks.groupBy("label").agg(
+        F.expr("count_if(NOT gold AND hit)").alias("tp"),
+        F.expr("count_if(NOT gold AND NOT hit)").alias("fp"),
+        F.expr("count_if(gold AND NOT hit)").alias("fn"),
+    )
+    # A label whose gold spans were all found and that was never predicted
+    # (possible when labels are ignored) has no counts and no row.
+    return with_ratios(counts.filter("tp + fp + fn > 0"))
+
+
+def _keyed(df: DataFrame, pred_col: str, gold_col: str, ignore_labels: bool) -> DataFrame:
+    return df.select(
         F.col(pred_col).alias("_pred"),
         F.col(gold_col).alias("_gold"),
         _keys(pred_col, ignore_labels, "_pred_keys"),
         _keys(gold_col, ignore_labels, "_gold_keys"),
     )
-    # Sorted by key, each key that both lists hold is led by a mark; a span is a
-    # hit if the last mark before it has its key. n log n for n spans of a row.
+
+
+def _tagged() -> str:
+    """Spans of both lists in order of key, each key that both hold led by a mark of side 0."""
     both = "transform(array_intersect(_pred_keys, _gold_keys), k -> named_struct('key', k, 'side', 0, 'label', CAST(NULL AS STRING)))"
     side = lambda spans, keys, n: (
         f"transform({spans}, (s, i) -> named_struct('key', get({keys}, i), 'side', {n}, 'label', s.label))"
     )
-    tagged = f"array_sort(concat({both}, {side('_pred', '_pred_keys', 1)}, {side('_gold', '_gold_keys', 2)}))"
-    last = running("transform(tagged, (t, i) -> if(t.side = 0, i, -1))", "greatest(x, y)")
-    hits = bind(
+    return f"array_sort(concat({both}, {side('_pred', '_pred_keys', 1)}, {side('_gold', '_gold_keys', 2)}))"
+
+
+def _hits(tagged: str) -> str:
+    """``label, side, hit``: a span is a hit if the last mark before it has its key. n log n for n spans of a row."""
+    last = running(f"transform({tagged}, (t, i) -> if(t.side = 0, i, -1))", "greatest(x, y)")
+    return bind(
         last,
         "last",
-        "transform(tagged, (t, i) -> named_struct('label', t.label, 'side', t.side, "
-        "'hit', coalesce(get(tagged, if(get(last, i) < 0, NULL, get(last, i))).key = t.key, false)))",
+        f"transform({tagged}, (t, i) -> named_struct('label', t.label, 'side', t.side, "
+        f"'hit', coalesce(get({tagged}, if(get(last, i) < 0, NULL, get(last, i))).key = t.key, false)))",
     )
-    rows = keyed.select(F.expr(tagged).alias("tagged")).select(F.expr(f"explode({hits})").alias("m"))
-    marks = rows.select("m.label", (F.col("m.side") == 2).alias("gold"), "m.hit").where(F.col("m.side") > 0)
-    counts = marks.groupBy("label").agg(
-        F.expr("count_if(NOT gold AND hit)").alias("tp"),
-        F.expr("count_if(NOT gold AND NOT hit)").alias("fp"),
-        F.expr("count_if(gold AND NOT hit)").alias("fn"),
+
+
+def score_with_labels(
+    df: DataFrame, pred_col: str, gold_col: str, ignore_labels: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """What `score` and `score_by_label` give, from one read of ``df``.
+
+    Each row sends its own counts along with those of its spans into the same
+    partial sums; what is written, and read for both tables, is a row per label.
+    """
+    count = lambda c: f"CAST(size({c}) AS BIGINT)"
+    row = (
+        "named_struct('total', true, 'label', CAST(NULL AS STRING), "
+        f"'tp', {count('array_intersect(_pred_keys, _gold_keys)')}, 'fp', {count('array_except(_pred_keys, _gold_keys)')}, "
+        f"'fn', {count('array_except(_gold_keys, _pred_keys)')})"
     )
-    # A label whose gold spans were all found and that was never predicted
-    # (possible when labels are ignored) has no counts and no row.
-    return with_ratios(counts.filter("tp + fp + fn > 0"))
+    flag = lambda condition: f"if({condition}, 1L, 0L)"
+    span = (
+        f"named_struct('total', false, 'label', m.label, 'tp', {flag('m.side = 1 AND m.hit')}, "
+        f"'fp', {flag('m.side = 1 AND NOT m.hit')}, 'fn', {flag('m.side = 2 AND NOT m.hit')})"
+    )
+    marks = f"transform(filter({_hits('tagged')}, m -> m.side > 0), m -> {span})"
+    tagged = _keyed(df, pred_col, gold_col, ignore_labels).selectExpr("_pred_keys", "_gold_keys", f"{_tagged()} AS tagged")
+    # A row without one of its lists has no counts, as in the two tables by themselves.
+    rows = tagged.selectExpr(f"explode(concat(array({row}), coalesce({marks}, array()))) AS m").select("m.*")
+    names = ("tp", "fp", "fn")
+    sums = written(rows.groupBy("total", "label").agg(*[F.sum(c).alias(c) for c in names]), "scores")
+    totals = sums.where("total").agg(*[F.expr(f"coalesce(sum({c}), 0)").alias(c) for c in names])
+    return with_ratios(totals), with_ratios(sums.where("NOT total AND tp + fp + fn > 0").drop("total"))
 
 
 def rounded(scores: DataFrame, digits: int = 4) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,11 +33,14 @@ def training_text(source: Column, target: Column) -> Column:
 class Tokenizer:
     """Ids of the first ``limit`` tokens of a text column, and how many there are.
 
-    ``count`` may be cheaper than counting the ids.
+    ``count`` may be cheaper than counting the ids. ``both``, where it is given,
+    takes a text and a prompt column and has ``ids`` of the one and ``count`` of
+    the other in one struct.
     """
 
     ids: Callable[[str, int], Column]
     count: Callable[[str, int], Column]
+    both: Callable[[str, str, int], Column] | None = None
 
 
 def _words(text_col: str, limit: int) -> str:
@@ -57,18 +60,30 @@ WHITESPACE_TOKENIZER = Tokenizer(
 
 
 def python_tokenizer(make_encode: Callable[[], Callable[[list[str]], Sequence[Sequence[int]]]]) -> Tokenizer:
-    """A tokenizer from a Python encoder, made once per task and called per Arrow batch."""
+    """A tokenizer from a Python encoder, made once per task and called once per Arrow batch, prompts behind texts."""
 
     def ids(text_col: str, limit: int) -> Column:
-        @F.pandas_udf("array<int>")
-        def encode_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf("array<int>")
+        def encode_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             encode = make_encode()
-            for batch in batches:
-                yield pd.Series([list(i)[:limit] for i in encode(batch.tolist())], index=batch.index)
+            for texts in batches:
+                yield pa.array([list(i)[:limit] for i in encode(texts.to_pylist())], pa.list_(pa.int32()))
 
         return encode_batches(F.col(text_col))
 
-    return Tokenizer(ids=ids, count=lambda text, limit: F.size(ids(text, limit)))
+    def both(text_col: str, prompt_col: str, limit: int) -> Column:
+        @F.arrow_udf("ids array<int>, count int")
+        def encode_pairs(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+            encode = make_encode()
+            for texts, prompts in batches:
+                encoded = encode(texts.to_pylist() + prompts.to_pylist())
+                found = pa.array([list(i)[:limit] for i in encoded[: len(texts)]], pa.list_(pa.int32()))
+                counts = pa.array([min(len(i), limit) for i in encoded[len(texts) :]], pa.int32())
+                yield pa.StructArray.from_arrays([found, counts], names=["ids", "count"])
+
+        return encode_pairs(F.col(text_col), F.col(prompt_col))
+
+    return Tokenizer(ids=ids, count=lambda text, limit: F.size(ids(text, limit)), both=both)
 
 
 def sft_examples(df: DataFrame, source_col: str = "source_text", target_col: str = "target_text") -> DataFrame:
@@ -97,11 +112,15 @@ def sft_labels(
     the end token, real end tokens are ignored as well.
     """
     examples = sft_examples(df, source_col, target_col)
-    encoded = examples.select(
-        *keep,
-        tokenizer.ids("text", max_length).alias("_ids"),
-        tokenizer.count("prompt", max_length).alias("_prefix"),
-    )
+    if tokenizer.both is not None:
+        pairs = examples.select(*keep, tokenizer.both("text", "prompt", max_length).alias("_pair"))
+        encoded = pairs.select(*keep, F.col("_pair.ids").alias("_ids"), F.col("_pair.count").alias("_prefix"))
+    else:
+        encoded = examples.select(
+            *keep,
+            tokenizer.ids("text", max_length).alias("_ids"),
+            tokenizer.count("prompt", max_length).alias("_prefix"),
+        )
     missing = f"{max_length} - size(_ids)"
     padded = encoded.select(
         *keep,

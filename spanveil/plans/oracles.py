@@ -11,15 +11,13 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 from spanveil.functions.text import WHITESPACE
-from spanveil.operators.answers import JSON_PROMPT
 from spanveil.operators.lookup import WORD_CLASS
-from spanveil.plans.queries import HEAD, HEAD_TRAIN, HEAD_VALIDATION, ORDER_PARTS, SCORE_DIGITS, TYPE_SUBSET
+from spanveil.plans.queries import HEAD, HEAD_TRAIN, HEAD_VALIDATION, ORDER_PARTS, ROWS_PER_FILE, SCORE_DIGITS, TYPE_SUBSET
 
 CARD = "[0-9]{16,}"
 WORD = f"[{WORD_CLASS}]+"
 
-# Fixed values, written apart from the operators that they check. Only the long
-# JSON prompt is taken from its module.
+# Fixed values, written apart from the operators that they check.
 CHAT_PROMPT = """<|system|>
 You redact PII from input and return redacted version only. Only use the following PII types: {types}. 
 <|user|>
@@ -32,6 +30,53 @@ You are a data redaction assistant. You redact PII in the input below and return
 {source}
 <|assistant|>
 """
+JSON_PROMPT = '''
+        You are a data redaction assistant.
+
+        Your task is to identify all Personally Identifiable Information (PII) in the following text and redact them.
+
+        Redact each PII by replacing it with [label] (in uppercase, in square brackets).
+        Only use the following PII types: {types}
+
+        For each PII entity found, return:
+        - "label": the PII type (from the list above)
+        - "value": the original text span
+        - "start": the character index where the PII starts in the original text
+        - "end": the character index where the PII ends (exclusive)
+        Example:
+        
+Example:
+Input: "John Smith's phone number is (555) 123-4567 and his email is john.smith@example.com."
+Output:
+{
+"redacted_text": "[NAME]'s phone number is [PHONE] and his email is [EMAIL].",
+"pii_entities": [
+    {
+    "label": "NAME",
+    "value": "John Smith",
+    "start": 0,
+    "end": 10
+    },
+    {
+    "label": "PHONE",
+    "value": "(555) 123-4567",
+    "start": 30,
+    "end": 45
+    },
+    {
+    "label": "EMAIL",
+    "value": "john.smith@example.com",
+    "start": 63,
+    "end": 86
+    }
+]
+}
+
+        Respond in **valid JSON**. Do not include any other explanation.
+        Input:
+         """{text}"""
+         Output:
+        '''
 MAX_LENGTH = 512
 IGNORED = -100
 EPSILON = 1e-9
@@ -59,8 +104,9 @@ _DAY = (
     f"|[0-9]+(?:st|nd|rd|th)? {_MONTHS},? [0-9]{{4,}}|{_MONTHS} [0-9]+(?:st|nd|rd|th)?(?:,? [0-9]{{4,}})?"
 )
 _IS = " {0,3}[:=#] {0,3}"
+_NUMBERED = r"[\p{L}\p{M}-]*\p{N}[\p{L}\p{M}\p{N}-]*|[A-Z][A-Z-]{4,}[\p{L}\p{M}\p{N}-]*"
 DEFAULT_RULES = (
-    Pattern("EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}[A-Za-z0-9-]*"),
+    Pattern("EMAIL", r"[\p{L}\p{M}\p{N}._%+-]+@[\p{L}\p{M}\p{N}.-]+\.[\p{L}\p{M}]{2,}[\p{L}\p{M}\p{N}-]*"),
     Pattern("GEOCOORD", r"[-+]?[0-9]+\.[0-9]{3,}, ?[-+]?[0-9]+\.[0-9]{3,}"),
     Pattern("IP", r"[0-9]+(?:\.[0-9]+){3,}"),
     Pattern("TEL", r"(?:\+[0-9]{1,3}[ .-])?[0-9]{3,}[ .-][0-9]{3}[ .-][0-9]{4,}|\+[0-9]{4,}[ .-][0-9]{3}[ .-][0-9]{4,}"
@@ -70,12 +116,12 @@ DEFAULT_RULES = (
     Pattern("TIME", "[0-9]+:[0-9]{2,}(?::[0-9]+)*(?: ?[AaPp][Mm])?"),
     Pattern("TITLE", r"(?:Mrs|Mr|Ms|Dr|Prof)\."),
     Pattern("DOB", _DAY, f"(?i:date of birth|birth date|dob|born){_IS}"),
-    Pattern("PASS", "[A-Za-z0-9!#$%&*+./?@^_~-]{4,}", f"(?i:password|passcode|passwd|pwd|secret|token|api[_-]?key){_IS}[\"']?"),
-    Pattern("PASSPORT", "[A-Z0-9]{6,}[A-Za-z0-9]*", rf"(?i:passport)(?i: number| no\.?)?{_IS}"),
-    Pattern("IDCARD", "[A-Z0-9][A-Z0-9-]{4,}[A-Za-z0-9]*", f"(?i:identity card|id card|national id){_IS}"),
-    Pattern("DRIVERLICENSE", "[A-Z0-9][A-Z0-9-]{4,}[A-Za-z0-9]*", f"(?i:driver'?s? licen[cs]e|driving licen[cs]e){_IS}"),
-    Pattern("USERNAME", "[A-Za-z0-9][A-Za-z0-9._@-]+", f"(?i:user ?name|user|login|handle){_IS}"),
-    Pattern("POSTCODE", r"[A-Za-z0-9]{3,}(?:[ -][A-Za-z0-9]{3,4}\b)?", f"(?i:zip code|zip|post ?code|postal code){_IS}"),
+    Pattern("PASS", r"[^\x09-\x0D\x20\x{85}\p{Z}]{3,}[^\x09-\x0D\x20\x{85}\p{Z},;\"']", f"(?i:password|passcode|passwd|pwd|secret|token|api[_-]?key){_IS}[\"']?"),
+    Pattern("PASSPORT", _NUMBERED, rf"(?i:passport)(?i: number| no\.?)?{_IS}"),
+    Pattern("IDCARD", _NUMBERED, f"(?i:identity card|id card|national id){_IS}"),
+    Pattern("DRIVERLICENSE", _NUMBERED, f"(?i:driver'?s? licen[cs]e|driving licen[cs]e){_IS}"),
+    Pattern("USERNAME", r"[\p{L}\p{N}][\p{L}\p{M}\p{N}._@+-]+", f"(?i:user ?name|user|login|handle){_IS}"),
+    Pattern("POSTCODE", r"[\p{L}\p{M}\p{N}]{3,}(?:-[\p{L}\p{M}\p{N}-]+| [A-Za-z0-9]{3,4}\b)?", f"(?i:zip code|zip|post ?code|postal code){_IS}"),
     Pattern("SEX", r"(?i:female|male|non-binary|diverse)\b", f"(?i:sex|gender){_IS}"),
 )
 CUSTOM_RULES = (Pattern("CREDITCARD", "[0-9]{16,}"), Pattern("HEXKEY", "[0-9a-f]{40,}"), *DEFAULT_RULES)
@@ -83,7 +129,7 @@ CUSTOM_RULES = (Pattern("CREDITCARD", "[0-9]{16,}"), Pattern("HEXKEY", "[0-9a-f]
 DEFAULT_TYPES = (
     "TIME, USERNAME, IDCARD, SOCIALNUMBER, EMAIL, PASSPORT, DRIVERLICENSE, DOB, LASTNAME1, IP, GIVENNAME1, SEX, TEL, "
     "CITY, POSTCODE, STREET, STATE, BUILDING, TITLE, COUNTRY, DATE, PASS, SECADDRESS, LASTNAME2, GIVENNAME2, GEOCOORD, LASTNAME3"
-).split(", ")
+)
 
 
 def select_rules(types: Iterable[str]) -> tuple[Pattern, ...]:
@@ -221,20 +267,21 @@ def overall(ignore: bool, select: str) -> str:
     )
 
 
-def per_label(ignore: bool) -> str:
+def label_totals(ignore: bool) -> str:
+    """CTEs up to ``label_total(label, tp, fp, fn)``."""
     same = 'a.id = b.id AND a."start" = b."start" AND a."end" = b."end"' + ("" if ignore else " AND a.label = b.label")
-    return with_(
-        *SCORED,
-        f"""marks AS (
+    return f"""marks AS (
   SELECT label, CASE WHEN hit THEN 1 ELSE 0 END AS tp, CASE WHEN hit THEN 0 ELSE 1 END AS fp, 0 AS fn
   FROM (SELECT label, EXISTS (SELECT 1 FROM gold b WHERE {same}) AS hit FROM pred a)
   UNION ALL
   SELECT label, 0, 0, 1 FROM gold a WHERE NOT EXISTS (SELECT 1 FROM pred b WHERE {same})),
-total AS (
+label_total AS (
   SELECT label, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn
-  FROM marks GROUP BY label)""",
-        select=f"SELECT label, tp, fp, fn, {ratios()} FROM total",
-    )
+  FROM marks GROUP BY label)"""
+
+
+def per_label(ignore: bool) -> str:
+    return with_(*SCORED, label_totals(ignore), select=f"SELECT label, tp, fp, fn, {ratios()} FROM label_total")
 
 
 # Values to locate: as found, with a space after two characters, reversed.
@@ -308,6 +355,13 @@ listed AS (
   SELECT id, n.label, word, CAST(stop - length(word) AS INTEGER), CAST(stop AS INTEGER)
   FROM placed JOIN names n ON n.term = lower(word))""",
 )
+NAMES = LISTED[1][: LISTED[1].index("plain AS (")].rstrip().rstrip(",")
+# Names of documents as well as of items.
+WIDELY_LISTED = (
+    LISTED[0],
+    LISTED[1].replace("FROM benchmark)", "FROM (SELECT text FROM benchmark UNION ALL SELECT text FROM documents))"),
+    *LISTED[2:],
+)
 LISTED_LONG = with_(
     *LISTED,
     select="""SELECT id AS doc_id, CAST(row_number() OVER (PARTITION BY id ORDER BY "start") - 1 AS INTEGER) AS pos,
@@ -353,11 +407,45 @@ SPLITS = """splits AS (
          CASE WHEN doc_id % 10 = 0 THEN 'validation' ELSE 'train' END AS "set" FROM documents)"""
 
 
-def filled(template: str, column: str, types: str = ", ".join(DEFAULT_TYPES)) -> str:
+def filled(template: str, column: str, types: str = DEFAULT_TYPES) -> str:
     before, after = template.replace("{types}", types).replace("{source}", "{text}").split("{text}")
     return f"{text(before)} || {column} || {text(after)}"
 
 
+
+
+def merged_from(names: str, order: tuple[str, ...], table="documents", id_col="doc_id") -> tuple[str, ...]:
+    """CTEs up to ``merged(id, label, value, start, end)``: each character goes to its best span; ``names(term, label)``."""
+    numbers = {name: i for i, name in enumerate(order)}
+    return (
+        spans_of(DEFAULT_RULES, table, id_col),
+        names,
+        CARDS.replace("doc_id AS id", f"{id_col} AS id").replace("FROM documents", f"FROM {table}"),
+        first_places("card_values"),
+        f"""word_lists AS (
+  SELECT {id_col} AS id, regexp_split_to_array(text, '{WORD}') AS gaps, regexp_extract_all(text, '{WORD}') AS words FROM {table}),
+word_places AS (
+  SELECT id, words[j] AS word, sum(length(gaps[j]) + length(words[j])) OVER (PARTITION BY id ORDER BY j) AS stop
+  FROM word_lists, unnest(range(1, len(words) + 1)) t(j)),
+candidates AS (
+  SELECT id, {numbers['rules']} AS d, label, "start", "end" FROM spans
+  UNION SELECT id, {numbers['model']}, label, "start", "end" FROM recovered
+  UNION SELECT id, {numbers['lists']}, n.label, stop - length(word), stop FROM word_places JOIN names n ON n.term = lower(word)),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, "start" - "end", "start", label) AS best FROM candidates),
+characters AS (
+  SELECT id, c, min(best) AS best FROM (SELECT id, best, unnest(range("start", "end")) AS c FROM numbered) GROUP BY id, c),
+stretches AS (
+  SELECT id, best, CAST(min(c) AS INTEGER) AS "start", CAST(max(c) + 1 AS INTEGER) AS "end"
+  FROM (SELECT *, c - row_number() OVER (PARTITION BY id, best ORDER BY c) AS island FROM characters) GROUP BY id, best, island),
+merged AS (
+  SELECT id, label, value, s."start", s."end" FROM (
+    SELECT s.*, n.label, n."end" - n."start" AS size, substring(t.text, s."start" + 1, s."end" - s."start") AS value
+    FROM stretches s JOIN numbered n USING (id, best) JOIN {table} t ON t.{id_col} = s.id) s
+  WHERE s."end" - s."start" = size OR regexp_matches(value, '[\\p{{L}}\\p{{N}}]'))""",
+    )
+
+
 TOKENS = (
     *GOLD[:2],
     CORPUS,
@@ -371,6 +459,21 @@ coded AS (
 _PAD = f"CASE WHEN len(ids) < {MAX_LENGTH} THEN repeat(' {{}}', {MAX_LENGTH} - len(ids)) ELSE '' END"
 _STRIP = text(WHITESPACE)
 
+
+
+def files(rows: int) -> str:
+    """Texts of a language and a range of ids as one file each."""
+    return f"""files AS (
+  SELECT lang, CAST(floor(doc_id / {rows}) AS BIGINT) AS part, lang || '/' || CAST(floor(doc_id / {rows}) AS BIGINT) AS file,
+         string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS text
+  FROM documents WHERE text IS NOT NULL GROUP BY ALL)"""
+
+
+FILE_PHRASES = tuple(
+    part.replace("d.doc_id", "d.file").replace("FROM documents", "FROM files").replace("JOIN documents", "JOIN files")
+    for part in (spans_of(DEFAULT_RULES, "files", "file"), *PHRASES[1:])
+)
+
 ORACLES: dict[str, str] = {
     "redact_documents": masked_query(DEFAULT_RULES),
     "stream_redact": masked_query(DEFAULT_RULES),
@@ -391,12 +494,16 @@ ORACLES: dict[str, str] = {
     "redact_corpus_job": long_query(CUSTOM_RULES, "id"),
     "redact_corpus_types_file": long_query(select_rules(("EMAIL", "IP")), "id"),
     "redact_files_job": with_(
-        """files AS (
-  SELECT lang, string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS text FROM documents WHERE text IS NOT NULL GROUP BY lang)""",
-        spans_of(DEFAULT_RULES, "files", "lang"),
-        masked_from("spans", "files", "lang"),
+        files(ROWS_PER_FILE),
+        spans_of(DEFAULT_RULES, "files", "file"),
+        masked_from("spans", "files", "file"),
         select="SELECT length(original) AS n_chars, md5(redacted_text) AS masked_md5, n_entities FROM masked",
     ),
+    "redact_large_files_job": with_(
+        files(20 * ROWS_PER_FILE),
+        *FILE_PHRASES,
+        select='SELECT lang, part, label, value, CAST("start" AS BIGINT) AS "start", CAST("end" AS BIGINT) AS "end" FROM listed JOIN files ON file = id',
+    ),
     "score_results_job": with_(
         spans_of(DEFAULT_RULES),
         spans_of(CUSTOM_RULES, name="own"),
@@ -430,6 +537,16 @@ ORACLES: dict[str, str] = {
     "dictionary_entities": LISTED_LONG,
     "dictionary_broadcast_join": LISTED_LONG,
     "dictionary_shuffle_join": LISTED_LONG,
+    "dictionary_positions": with_(
+        *WIDELY_LISTED,
+        masked_from("listed"),
+        select="SELECT id AS doc_id, redacted_text, n_entities FROM masked",
+    ),
+    "stream_redact_long_list": with_(
+        *LISTED,
+        masked_from("listed"),
+        select="SELECT id AS doc_id, redacted_text, n_entities FROM masked",
+    ),
     "redact_with_stub": with_(
         CARDS,
         first_places("card_values"),
@@ -438,6 +555,29 @@ ORACLES: dict[str, str] = {
     "redact_with_stub_text": with_(
         CARDS, select="SELECT id AS doc_id, masked AS redacted_text, false AS failed FROM cards"
     ),
+    "merged_redaction": with_(
+        *merged_from(NAMES, ("lists", "rules", "model")),
+        select="""SELECT id AS doc_id, CAST(row_number() OVER (PARTITION BY id ORDER BY "start") - 1 AS INTEGER) AS pos,
+       label, value, "start", "end" FROM merged""",
+    ),
+    "merged_table_text": with_(
+        """texts AS (
+  SELECT o_orderkey, 'to maker @ex; card ' || lpad(CAST(o_orderkey AS VARCHAR), 16, '4') || '@mail.com; user: maker'
+    || o_custkey || '-1234567890123456.' AS text FROM orders)""",
+        *merged_from(
+            "names AS (SELECT * FROM (VALUES ('maker', 'LASTNAME1'), ('mail', 'CITY'), ('com', 'STATE')) n(term, label))",
+            ("model", "rules", "lists"),
+            "texts",
+            "o_orderkey",
+        ),
+        masked_from("merged", "texts", "o_orderkey", name="done"),
+        select="SELECT id AS o_orderkey, redacted_text, n_entities FROM done",
+    ),
+    "durable_answers": with_(
+        CARDS,
+        select="""SELECT id AS doc_id, masked AS redacted_text, text IS NULL AS failed, CASE WHEN text IS NULL THEN 'no text' END AS failure
+FROM cards""",
+    ),
     "redact_with_chat_stub": with_(
         CARDS,
         f"pairs AS (SELECT id, text AS o, trim(masked, {_STRIP}) AS r FROM cards)",
@@ -487,6 +627,14 @@ ORACLES: dict[str, str] = {
     ),
     "score_overall": overall(False, f"SELECT tp, fp, fn, {ratios()} FROM total"),
     "score_overall_ignore_labels": overall(True, f"SELECT tp, fp, fn, {ratios()} FROM total"),
+    "score_both_tables": with_(
+        *SCORED,
+        counts_per_doc(False),
+        "total AS (SELECT CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM per_doc)",
+        label_totals(False),
+        select=f"""SELECT label, tp, fp, fn, {ratios()}
+FROM (SELECT 'all labels' AS label, tp, fp, fn FROM total UNION ALL SELECT label, tp, fp, fn FROM label_total)""",
+    ),
     "score_long_form": overall(False, f"SELECT tp, fp, fn, {ratios()} FROM total"),
     "score_report": overall(False, f"SELECT {ratios(4)} FROM total"),
     "score_per_label": per_label(False),

@@ -36,11 +36,12 @@ from spanveil.operators.score import (
     score_long_form,
     score_long_form_by_label,
     score_rows,
+    score_with_labels,
     stacked_rows,
 )
 from spanveil.functions.text import quoted
 from spanveil.operators.training_text import sft_examples, sft_labels
-from spanveil.plans.jobs import redact_corpus, redact_files, score_results
+from spanveil.plans.jobs import redact_any, redact_corpus, redact_files, redact_large_files, score_results
 from spanveil.sources.corpus import (
     corpus_output,
     head_per_split,
@@ -52,7 +53,7 @@ from spanveil.sources.corpus import (
 from spanveil.sources.results import read_results, write_results
 from spanveil.sources.shared import fresh_path
 from spanveil.sources.tables import read_table, spread
-from spanveil.streaming.redact_stream import read_text_stream, redact_stream
+from spanveil.streaming.redact_stream import read_redacted, read_text_stream, redact_stream
 
 TYPE_SUBSET = ("EMAIL", "TEL")
 CUSTOM_RULES = (
@@ -63,6 +64,7 @@ CUSTOM_RULES = (
 HEAD = 100
 HEAD_TRAIN, HEAD_VALIDATION = 300, 40
 SCORE_DIGITS = 6
+ROWS_PER_FILE = 200
 
 RATIOS = ("precision", "recall", "f1")
 
@@ -164,15 +166,25 @@ def dictionary_entities(spark, sf):
 
 
 def dictionary_broadcast_join(spark, sf):
-    """The list in a few parts that one stage broadcasts."""
-    return span_rows(_with_lists(spark, sf, part_bytes=3000), "pii_entities", "doc_id")
+    """The list as arrays that travel to the tasks."""
+    return span_rows(_with_lists(spark, sf, part_bytes=1 << 20), "pii_entities", "doc_id")
 
 
 def dictionary_shuffle_join(spark, sf):
-    """The list in many parts, over several stages; the name is from when such a list was joined."""
+    """The list taken as a long one: places are joined with it."""
     return span_rows(_with_lists(spark, sf, part_bytes=700), "pii_entities", "doc_id")
 
 
+def dictionary_positions(spark, sf):
+    """A list of every word of six letters or more that begins with a capital, of all documents and items, joined by places."""
+    words = F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{M}\p{N}_]+"), F.lit(0))).alias("w")
+    every = documents(spark, sf).select(words).union(_table(spark, sf, "benchmark").select(words))
+    capital = every.filter(F.rlike("w", F.lit("^[A-Z][a-z]{5,}$"))).select(F.lower("w").alias("term")).distinct()
+    label = F.when(F.length("term") >= 9, "LASTNAME1").otherwise("GIVENNAME1").alias("label")
+    done = redact_with_lists(documents(spark, sf), "text", capital.select("term", label), part_bytes=0)
+    return _masked(done, "doc_id")
+
+
 def phrase_list(spark: SparkSession, sf: str) -> DataFrame:
     """Two-word terms: the first two words of each ``benchmark`` item, but none that could overlap another."""
     words = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{M}\p{N}_]+"), F.lit(0))
@@ -192,6 +204,8 @@ def dictionary_phrases(spark, sf):
 _PADDED = "lpad(CAST({} AS STRING), {}, '0')".format
 ORDER_PARTS = (
     ("mail ", "concat('u', o_custkey, '@ex', o_orderkey % 10, '.com')", "EMAIL"),
+    ("; post ", "concat('jürgen', o_custkey, '@exämple', o_orderkey % 10, '.de')", "EMAIL"),
+    ("; or ", "concat('Ж.müller+', o_custkey, '@пример.рф')", "EMAIL"),
     ("; place ", f"concat({_PADDED('o_orderkey % 90', 2)}, '.', {_PADDED('o_orderkey % 1000', 3)}, ', ', "
      f"{_PADDED('o_custkey % 90', 2)}, '.', {_PADDED('o_custkey % 1000', 3)})", "GEOCOORD"),
     ("; from ", "concat('10.0.', o_orderkey % 256, '.', o_custkey % 256)", "IP"),
@@ -261,6 +275,51 @@ def redact_with_chat_stub(spark, sf):
     return span_rows(result, "pii_entities", "doc_id")
 
 
+def moody_stub():
+    """The JSON stub, but it fails on a list with a prompt whose length seven divides, unless that stands alone."""
+    predict = json_stub()
+
+    def moody(prompts):
+        if len(prompts) > 1 and any(len(p) % 7 == 0 for p in prompts):
+            raise RuntimeError("not today")
+        return predict(prompts)
+
+    return moody
+
+
+def dead_stub():
+    def predict(prompts):
+        raise OSError("down")
+
+    return predict
+
+
+def durable_answers(spark, sf):
+    """Answers of a moody model are kept; a second run with a dead one finds them all."""
+    table = fresh_path(spark, "answers")
+    docs = documents(spark, sf)
+    redact_any(docs, "text", make_predict=moody_stub, answer_table=table)
+    done = redact_any(docs, "text", make_predict=dead_stub, answer_table=table)
+    return done.select("doc_id", "redacted_text", "failed", "failure")
+
+
+def merged_redaction(spark, sf):
+    """Lists before rules before a model, each over whole texts: listed words cut rule spans, rules cut card numbers."""
+    done = redact_any(
+        documents(spark, sf), "text", dictionary=word_list(spark, sf), make_predict=json_stub, order=("lists", "rules", "model")
+    )
+    return span_rows(done, "pii_entities", "doc_id")
+
+
+def merged_table_text(spark, sf):
+    """The same over texts put together from ``orders``, where values hold listed words and cards; the model wins."""
+    cards = "concat('; card ', lpad(CAST(o_orderkey AS STRING), 16, '4'), '@mail.com; user: maker', o_custkey, '-', '1234567890123456', '.')"
+    texts = _table(spark, sf, "orders").select("o_orderkey", F.expr(f"concat('to maker @ex', {cards})").alias("text"))
+    words = spark.createDataFrame([("maker", "LASTNAME1"), ("mail", "CITY"), ("com", "STATE")], "term STRING, label STRING")
+    done = redact_any(texts, "text", dictionary=words, make_predict=json_stub, order=("model", "rules", "lists"))
+    return _masked(done, "o_orderkey")
+
+
 def raw_answers(spark: SparkSession, sf: str) -> DataFrame:
     """A JSON answer per document: cut short for French, without masked text for German.
 
@@ -383,6 +442,13 @@ def score_report(spark, sf):
     return rounded(score(predictions(spark, sf), "pred", "gold")).select(*RATIOS)
 
 
+def score_both_tables(spark, sf):
+    """Totals and scores per label from one read."""
+    totals, labels = score_with_labels(predictions(spark, sf), "pred", "gold")
+    whole = totals.select(F.lit("all labels").alias("label"), "*")
+    return _rounded_ratios(whole.unionByName(labels))
+
+
 def score_long(spark, sf):
     return _rounded_ratios(score_long_form(stacked_rows(predictions(spark, sf), "pred", "gold", "id"), ["id"]))
 
@@ -462,12 +528,19 @@ def redact_corpus_types_file(spark, sf):
     return span_rows(_corpus_job(spark, sf, types_file=path)[1], "pii_entities", "id")
 
 
-def redact_files_job(spark, sf):
-    """The job over whole files: one file of all texts per language, in order of id."""
+def _text_files(spark: SparkSession, sf: str, rows_per_file: int) -> str:
+    """A folder of text files: the texts (those that are not null) of a language and a range of ids, in order of id."""
     path = fresh_path(spark, "files")
-    texts = documents(spark, sf).where("text IS NOT NULL").repartition("lang").sortWithinPartitions("lang", "doc_id")
-    texts.select("lang", "text").write.partitionBy("lang").text(path)
-    done = redact_files(spark, f"{path}/*/*.txt")
+    part = F.floor(F.col("doc_id") / F.lit(rows_per_file)).alias("part")
+    texts = documents(spark, sf).where("text IS NOT NULL").select("lang", part, "doc_id", "text")
+    ordered = texts.repartition("lang", "part").sortWithinPartitions("lang", "part", "doc_id")
+    ordered.select("lang", "part", "text").write.partitionBy("lang", "part").text(path)
+    return f"{path}/*/*/*.txt"
+
+
+def redact_files_job(spark, sf):
+    """The job over whole files."""
+    done = redact_files(spark, _text_files(spark, sf, ROWS_PER_FILE))
     return done.select(
         F.length("original_text").cast("bigint").alias("n_chars"),
         F.md5("redacted_text").alias("masked_md5"),
@@ -475,6 +548,15 @@ def redact_files_job(spark, sf):
     )
 
 
+def redact_large_files_job(spark, sf):
+    """Larger files in pieces, with offsets in the file; listed words may reach across line ends."""
+    words = phrase_list(spark, sf)
+    done = redact_large_files(spark, _text_files(spark, sf, 20 * ROWS_PER_FILE), piece_bytes=1 << 14, dictionary=words)
+    where = [F.regexp_extract("path", f"/{c}=([^/]*)/", 1).alias(c) for c in ("lang", "part")]
+    rows = done.select(*where, F.explode("pii_entities").alias("e"))
+    return rows.select("lang", F.col("part").cast("bigint").alias("part"), "e.label", "e.value", "e.start", "e.end")
+
+
 def score_results_job(spark, sf):
     """Scores of the job's saved results against the corpus' own spans."""
     results, _ = _corpus_job(spark, sf, rules=CUSTOM_RULES)
@@ -518,7 +600,7 @@ def _streamed(spark, sf, **detection):
     stream = read_text_stream(spark, f"{sf}/documents.parque[t]", "doc_id BIGINT, text STRING")
     out = fresh_path(spark, "stream")
     redact_stream(stream, f"{out}/data", f"{out}/checkpoint", until_now=True, **detection).awaitTermination()
-    return spark.read.parquet(f"{out}/data")
+    return read_redacted(spark, f"{out}/data")
 
 
 def stream_redact(spark, sf):
@@ -529,6 +611,11 @@ def stream_redact_dictionary(spark, sf):
     return _masked(_streamed(spark, sf, dictionary=word_list(spark, sf)), "doc_id")
 
 
+def stream_redact_long_list(spark, sf):
+    """The list taken as a long one, joined batch by batch."""
+    return _masked(_streamed(spark, sf, dictionary=word_list(spark, sf), part_bytes=0), "doc_id")
+
+
 def stream_redact_stub(spark, sf):
     return _streamed(spark, sf, make_predict=json_stub).select("doc_id", "redacted_text", "failed")
 
@@ -564,6 +651,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "score_per_label": score_per_label,
     "score_per_label_ignore_labels": score_per_label_ignore_labels,
     "score_report": score_report,
+    "score_both_tables": score_both_tables,
     "score_long_form": score_long,
     "score_long_per_label": score_long_per_label,
     "score_long_per_label_ignore_labels": score_long_per_label_ignore_labels,
@@ -580,10 +668,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_redact": stream_redact,
     "stream_redact_dictionary": stream_redact_dictionary,
     "stream_redact_stub": stream_redact_stub,
+    "stream_redact_long_list": stream_redact_long_list,
+    "dictionary_positions": dictionary_positions,
+    "durable_answers": durable_answers,
+    "merged_redaction": merged_redaction,
+    "merged_table_text": merged_table_text,
     "dictionary_phrases": dictionary_phrases,
     "redact_table_text": redact_table_text,
     "redact_corpus_job": redact_corpus_job,
     "redact_corpus_types_file": redact_corpus_types_file,
     "score_results_job": score_results_job,
     "redact_files_job": redact_files_job,
+    "redact_large_files_job": redact_large_files_job,
 }

@@ -18,6 +18,7 @@ from spanveil.operators.answers import (
 # The stubs below run in Python workers, which do not know this folder.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# The case of FIXTURES, section 2, whose offsets are wrong on purpose.
 STUB_ANSWER = {
     "redacted_text": "[GIVENNAME1] went to [CITY].",
     "pii_entities": [
@@ -85,21 +86,27 @@ def test_answers_that_are_no_texts_fail_alone(spark):
     assert [r["failure"] for r in rows] == ["no text but dict", None, "no text"]
 
 
-def test_a_dead_model_is_left_alone(spark, tmp_path):
+def test_each_text_is_asked_for_however_many_fail(spark, tmp_path):
+    """Ten bad texts in a row take no good one with them; a dead model is asked for each."""
     calls = tmp_path / "calls"
 
     def make():
         def predict(prompts):
             with calls.open("a") as file:
                 file.write("x")
-            raise OSError("down")
+            if any("bad" in p for p in prompts):
+                raise OSError("down")
+            return [json.dumps(STUB_ANSWER)] * len(prompts)
 
         return predict
 
-    rows = redact_with(frame(spark, [f"t{i}" for i in range(100)]).coalesce(1), "text", make).collect()
-    assert all(r["failed"] and r["redacted_text"] == f"t{i}" for i, r in enumerate(rows))
-    assert rows[0]["failure"] == "OSError: down" and "in a row" in rows[99]["failure"]
-    assert len(calls.read_text()) == 9
+    texts = [f"{'bad' if 20 <= i < 30 else 'good'}{i}" for i in range(100)]
+    rows = redact_with(frame(spark, texts).coalesce(1), "text", make).collect()
+    assert [r["failed"] for r in rows] == [20 <= i < 30 for i in range(100)]
+    assert {r["failure"] for r in rows[20:30]} == {"OSError: down"}
+    assert len(calls.read_text()) < 50
+    rows = redact_with(frame(spark, [f"bad{i}" for i in range(64)]).coalesce(1), "text", make).collect()
+    assert all(r["failure"] == "OSError: down" and r["redacted_text"] == r["text"] for r in rows)
 
 
 def test_answers_of_wrong_count_are_asked_again_one_by_one(spark):

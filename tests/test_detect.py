@@ -84,6 +84,27 @@ WHOLE = [
     ("zip: 90210 something", "zip: [POSTCODE] something"),
     ("sex: malevolent", "sex: malevolent"),
     ("sex: male.", "sex: [SEX]."),
+    ("jürgen@ex.com", "[EMAIL]"),
+    ("müller.x@ex.com", "[EMAIL]"),
+    ("a@exämple.com", "[EMAIL]"),
+    ("пример@почта.рф!", "[EMAIL]!"),
+    ("e\u0301.x@ex.com", "[EMAIL]"),
+    ("password: geheim§12", "password: [PASS]"),
+    ("password: p@ss:word:tail", "password: [PASS]"),
+    ("password=\"(x{y}z)\", user=ab;", "password=\"[PASS]\", user=[USERNAME];"),
+    ("token: ab:cd:ef", "token: [PASS]"),
+    ("token: abc=def123", "token: [PASS]"),
+    ("token: abc\u00a0d", "token: abc\u00a0d"),
+    ("zip: 12345-678901", "zip: [POSTCODE]"),
+    ("zip: AB1 2CD", "zip: [POSTCODE]"),
+    ("passport: AB123456-789", "passport: [PASSPORT]"),
+    ("passport: ABCDEFG", "passport: [PASSPORT]"),
+    ("passport: please wait", "passport: please wait"),
+    ("id card: ab-123456", "id card: [IDCARD]"),
+    ("id card: ABCDEf-g", "id card: [IDCARD]"),
+    ("driving license: d12345", "driving license: [DRIVERLICENSE]"),
+    ("user: jürgen_x", "user: [USERNAME]"),
+    ("user: bobü", "user: [USERNAME]"),
     ("12:30abc@x.com", "[TIME][EMAIL]"),
 ]
 
@@ -93,7 +114,8 @@ def test_no_tail_of_a_longer_value_is_left(spark):
     assert [masked for masked, _ in got] == [want for _, want in WHOLE]
 
 
-@pytest.mark.parametrize("text", ["a" * 2_000_000, "1" * 2_000_000, "1." * 1_000_000, "1-" * 1_000_000, "a@" * 500_000, "A-" * 1_000_000])
+@pytest.mark.parametrize("text", ["a" * 2_000_000, "1" * 2_000_000, "1." * 1_000_000, "1-" * 1_000_000, "a@" * 500_000, "A-" * 1_000_000,
+                                  "ä" * 2_000_000 + "@", "token: " + "," * 2_000_000, "id card: " + "a-" * 1_000_000])
 def test_long_junk_takes_linear_time(spark, text):
     started = time.monotonic()
     redact(frame(spark, [text])).collect()

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brute import tuples
+from spanveil.operators import limits
 from spanveil.operators.limits import head_n
 from spanveil.operators.rules import DEFAULT_TYPES, Rule
 from spanveil.plans.jobs import redact_corpus, redact_files, score_results
@@ -54,7 +55,41 @@ def test_own_labels_survive_without_types(spark, saved_corpus, caplog):
 def test_head_n_filter_reaches_the_scan(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     plan = head_n(docs, "doc_id", 3)._jdf.queryExecution().executedPlan().toString()
-    assert "LessThan(doc_id,2)" in plan
+    assert "LessThanOrEqual(doc_id,2)" in plan and "Sort" not in plan and "Exchange" not in plan
+
+
+IDS = {
+    "long": [0, 1, 2, 2, 2, 3, 700, 701, -5, 2**63 - 1, -(2**63), 10**12, 10**12 + 1, -1, 10**12],
+    "smallint": [-32768, 32767, 0, 5, 5, 6, -7],
+    "string": ["", "a", "aa", "ab", "b", "Z", "ä", "äa", "日本", "日", "😀", "\uffff", "aa", "aab", "1", "10", "9"],
+    "date": ["1969-12-31", "1970-01-01", "2024-02-29", "2024-02-29", "0001-01-01", "9999-12-31"],
+    "timestamp": ["2024-01-01 00:00:00.000001", "2024-01-01 00:00:00", "1960-06-01 12:00:00", "2024-01-01 00:00:00"],
+}
+
+
+@pytest.mark.parametrize("kind", IDS)
+@pytest.mark.parametrize("parts", [1, 2, 4096])
+def test_selection_by_narrowing(spark, monkeypatch, kind, parts):
+    """Each n, with ranges cut so finely or coarsely that many rounds are needed."""
+    monkeypatch.setattr(limits, "BUCKETS", max(parts, 2))
+    monkeypatch.setattr(limits, "FEW", parts)
+    ids = IDS[kind]
+    df = spark.createDataFrame([(str(i),) for i in ids], "s STRING").selectExpr(f"CAST(s AS {kind}) AS `i.d`").repartition(3)
+    want = sorted(ids, key=(lambda x: x.encode()) if kind == "string" else None)
+    for n in (1, 2, len(ids) // 2, len(ids) - 1, len(ids), len(ids) + 1):
+        got = [r[0] for r in head_n(df, "i.d", n).select(F.col("`i.d`").cast("string")).collect()]
+        again = spark.createDataFrame([(str(i),) for i in want[:n]], "s STRING").selectExpr(f"CAST(CAST(s AS {kind}) AS string) AS s").collect()
+        assert sorted(got) == sorted(r[0] for r in again)
+
+
+def test_selection_over_many_ids(spark):
+    df = spark.range(0, 3_000_000, 3).selectExpr("id * 7 % 3000017 AS id", "CAST(id * 7 % 3000017 AS STRING) AS s")
+    numbers = sorted(3 * i * 7 % 3000017 for i in range(1_000_000))
+    for n in (1, 999, 500_000):
+        assert head_n(df, "id", n).agg(F.max("id"), F.count("*")).first() == (numbers[n - 1], n)
+        assert head_n(df, "s", n).agg(F.max("s"), F.count("*")).first() == (sorted(map(str, numbers))[n - 1], n)
+    with pytest.raises(TypeError, match="double"):
+        head_n(df.selectExpr("CAST(id AS DOUBLE) AS id"), "id", 3)
 
 
 def test_whole_files(spark, tmp_path):

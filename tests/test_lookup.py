@@ -1,11 +1,17 @@
+import random
 import re
 import time
 
 import pytest
+import regex
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from brute import detect, tuples
-from spanveil.operators.lookup import redact_with_lists
+from spanveil.functions.word_runs import WORD_CLASS, WordRuns, character_tables
+from spanveil.operators.lookup import list_bytes, redact_with_lists
 from spanveil.operators.rules import DEFAULT_RULES
+from spanveil.streaming.redact_stream import read_redacted, read_text_stream, redact_stream
 
 TERMS = [
     ("New York", "STATE"),
@@ -102,5 +108,106 @@ def test_many_terms_and_a_long_text(spark):
 def test_no_text_is_exchanged(spark, sf):
     dictionary = spark.createDataFrame(TERMS, "term STRING, label STRING")
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    plan = redact_with_lists(docs, "text", dictionary, part_bytes=40)._jdf.queryExecution().executedPlan().toString()
+    plan = redact_with_lists(docs, "text", dictionary)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_a_long_list_is_one_join_of_hashes(spark, sf):
+    dictionary = spark.createDataFrame(TERMS, "term STRING, label STRING")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    done = redact_with_lists(docs, "text", dictionary, part_bytes=0)
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    # Hashes meet first; what they find goes back to the rows.
+    assert len(joins) == 2 and "hash" in joins[1] and "_row" in joins[0], joins
+
+
+words_of_any_kind = st.text(st.sampled_from("abAB ßΣσςİi\u0307é_1-'.\u00a0\n\t"), max_size=40)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(words_of_any_kind, min_size=1, max_size=4))
+def test_words_and_runs(texts):
+    """Words, their places, what lies between them, and hashes, as a regular expression finds them."""
+    runs = WordRuns(*character_tables())
+    words = runs.words(texts)
+    want = [(k, *m.span()) for k, text in enumerate(texts) for m in regex.finditer(f"[{WORD_CLASS}]+", text)]
+    assert list(zip(words.text, words.start, words.end)) == want
+    for i, (a, b) in enumerate(zip(want, want[1:])):
+        assert words.joined[i] == (a[0] == b[0] and texts[a[0]][a[2] : b[1]].isspace())
+    for n, (first, last, hashes) in enumerate(runs.of_lengths(words, [1, 2, 3]), 1):
+        expected = [i for i in range(len(want) - n + 1) if all(words.joined[i : i + n - 1])]
+        assert list(first) == expected and list(last) == [i + n - 1 for i in expected]
+        keys = [" ".join(texts[want[i][0]][want[j][1] : want[j][2]].lower() for j in range(i, i + n)) for i in expected]
+        if keys:
+            assert list(runs.term_hashes(keys)) == list(hashes)
+
+
+def test_hashes_across_chunks(monkeypatch):
+    from spanveil.functions import word_runs
+
+    text = " ".join(f"word{i % 50}" for i in range(400)) + " " + "x" * 300
+    whole = WordRuns(*character_tables()).words([text, text])
+    monkeypatch.setattr(word_runs, "CHUNK", 64)
+    cut = WordRuns(*character_tables()).words([text, text])
+    assert (whole.hashes == cut.hashes).all() and (whole.hashes[:401] == whole.hashes[401:]).all()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_long_and_short_lists_agree(spark, seed):
+    """Random texts over few words, so that terms nest, overlap and repeat; a third of the rows are one text."""
+    rng = random.Random(seed)
+    vocabulary = ["ab", "AB", "c", "d_e", "É", "x1", "Σας"]
+    terms = {" ".join(rng.choices(vocabulary, k=rng.choice([1, 1, 2, 3]))).lower(): rng.choice("PQR") for _ in range(12)}
+    dictionary = spark.createDataFrame(list(terms.items()), "term STRING, label STRING")
+    texts = ["".join(w + rng.choice([" ", "  ", "\n", ", ", "-"]) for w in rng.choices(vocabulary, k=30)) for _ in range(40)]
+    texts += [texts[0]] * 20 + ["", None, "a@b.cd " + texts[1]]
+    df = spark.createDataFrame([(i % 7, t, "x") for i, t in enumerate(texts)], "id INT, text STRING, label STRING")
+    key = lambda r: (str(r["id"]), str(r["text"]))
+    short = sorted(redact_with_lists(df, "text", dictionary).collect(), key=key)
+    long = sorted(redact_with_lists(df, "text", dictionary, part_bytes=0).collect(), key=key)
+    assert short == long and sum(len(r["pii_entities"]) for r in short) > 100
+
+
+def test_a_long_list_and_a_hot_term(spark):
+    """Ten parts' worth of terms; one term stands in every row and many times in one."""
+    dictionary = spark.range(3000).selectExpr("concat('name', id) AS term", "'LASTNAME1' AS label")
+    df = spark.range(600).selectExpr("id", "concat('name7 and name', id, repeat(' name7', if(id = 5, 20000, 1))) AS text")
+    size = list_bytes(dictionary)
+    rows = redact_with_lists(df, "text", dictionary, part_bytes=size // 10).selectExpr("id", "size(pii_entities) AS n").collect()
+    assert {r["id"]: r["n"] for r in rows} == {i: 20_002 if i == 5 else 3 for i in range(600)}
+
+
+def test_a_stream_with_a_long_list_after_a_restart(spark, tmp_path):
+    """A batch that was written but not noted as done is written again, not twice."""
+    dictionary = spark.createDataFrame(TERMS, "term STRING, label STRING")
+    rows = [(i, f"{TEXTS[i % 5]} Paris {i}") for i in range(30)]
+    schema = "id INT, text STRING"
+    for k in range(3):
+        spark.createDataFrame(rows[10 * k : 10 * k + 10], schema).coalesce(1).write.parquet(f"{tmp_path}/in/part{k}")
+    paths = f"{tmp_path}/out", f"{tmp_path}/checkpoint"
+
+    def run(pattern):
+        stream = read_text_stream(spark, f"{tmp_path}/in/{pattern}", schema, files_per_batch=1)
+        how = {"dictionary": dictionary, "part_bytes": list_bytes(dictionary) // 10, "until_now": True}
+        redact_stream(stream, *paths, **how).awaitTermination()
+
+    run("part*")
+    found = read_redacted(spark, paths[0])
+    batch = redact_with_lists(spark.createDataFrame(rows, schema), "text", dictionary).orderBy("id").collect()
+    assert found.columns == ["id", "text", "redacted_text", "pii_entities"]
+    assert found.orderBy("id").collect() == batch
+    # As if the driver had died behind the last write.
+    for name in ("2", ".2.crc"):
+        (tmp_path / "checkpoint" / "commits" / name).unlink()
+    run("part*")
+    assert read_redacted(spark, paths[0]).orderBy("id").collect() == batch
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == [f"spanveil_batch={k}" for k in range(3)]
+
+
+def test_a_long_list_on_a_plain_stream_is_refused(spark, tmp_path):
+    spark.createDataFrame([(1, "Paris")], "id INT, text STRING").write.parquet(f"{tmp_path}/in")
+    dictionary = spark.createDataFrame(TERMS, "term STRING, label STRING")
+    stream = read_text_stream(spark, f"{tmp_path}/in", "id INT, text STRING")
+    with pytest.raises(ValueError, match="redact_stream"):
+        redact_with_lists(stream, "text", dictionary, part_bytes=0)

@@ -2,9 +2,11 @@ import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from brute import score as brute_score
 from spanveil.functions.spans import SPANS_DDL, span_rows
+from spanveil.operators import score as score_module
 from spanveil.operators.score import (
     rounded,
     score,
@@ -12,6 +14,7 @@ from spanveil.operators.score import (
     score_long_form,
     score_long_form_by_label,
     score_rows,
+    score_with_labels,
     stacked,
     stacked_rows,
 )
@@ -95,3 +98,28 @@ def test_label_whose_gold_was_found_under_another_label_has_no_row(spark):
 def test_report_digits(spark):
     row = rounded(score(frame(spark, [EXAMPLE]), "pred", "gold")).first()
     assert (row["precision"], row["recall"], row["f1"]) == (0.5, 0.5, 0.5)
+
+
+@pytest.mark.parametrize("ignore", [False, True])
+def test_both_tables_at_once(spark, ignore):
+    rng = random.Random(21)
+    spans = lambda: [S(rng.choice(["A", "B", "C", None]), s := rng.randrange(4), s + rng.randrange(3)) for _ in range(rng.randrange(6))]
+    rows = [(spans(), spans()) for _ in range(200)] + [(None, spans()), (spans(), None), (None, None), EXAMPLE]
+    for df in (frame(spark, rows), frame(spark, rows).limit(0)):
+        totals, labels = score_with_labels(df, "pred", "gold", ignore)
+        assert totals.collect() == score(df, "pred", "gold", ignore).collect()
+        key = lambda r: str(r["label"])
+        assert sorted(labels.collect(), key=key) == sorted(score_by_label(df, "pred", "gold", ignore).collect(), key=key)
+
+
+def test_both_tables_read_once(spark, tmp_path, monkeypatch):
+    frame(spark, [EXAMPLE]).write.parquet(str(tmp_path / "spans"))
+    plans = []
+    whole = score_module.written
+    monkeypatch.setattr(
+        score_module, "written",
+        lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or whole(df, name),
+    )
+    totals, labels = score_with_labels(spark.read.parquet(str(tmp_path / "spans")), "pred", "gold")
+    assert totals.count() == 1 and labels.agg(F.sum("tp")).first()[0] == 2
+    assert len(plans) == 1 and plans[0].count("FileScan") == 1 and plans[0].count("Exchange") == 1

@@ -68,3 +68,23 @@ def test_training_set_takes_the_head_of_both_splits(spark):
     got = [(r["id"], r["set"]) for r in training_set(df, 4, 100).collect()]
     ids = lambda s: [r[0] for r in rows if r[1] == s]
     assert sorted(got) == sorted([(i, "train") for i in ids("train")[:4]] + [(i, "validation") for i in ids("validation")])
+
+
+def test_an_encoder_is_called_once_per_batch(spark, tmp_path):
+    calls = tmp_path / "calls"
+
+    def counting():
+        def encode(texts):
+            with open(calls, "a") as file:
+                file.write(f"{len(texts)}\n")
+            return [list(t.encode()) for t in texts]
+
+        return encode
+
+    tokenizer = python_tokenizer(counting)
+    df = sft_labels(corpus(spark).coalesce(1), tokenizer=tokenizer)
+    assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    check(df.orderBy("id").collect(), lambda t: list(t.encode()), MAX_LENGTH, 0)
+    assert [int(n) for n in calls.read_text().split()] == [2 * len(SOURCES)]
+    row = corpus(spark).select(tokenizer.ids("source_text", 3).alias("i"), tokenizer.count("source_text", 3).alias("n")).first()
+    assert (row["i"], row["n"]) == ([99, 97, 108], 3)
