@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanveil.llm.bpe import STORE, Tokenizer
+from spanveil.llm.bpe import STORE, Tokenizer, newer_letters
 from spanveil.llm.tables import slices
 
 
@@ -58,11 +58,12 @@ def count_tokens(
     """
     spark = docs.sparkSession
     file = file_bytes(path)
-    shared = spark.sparkContext.broadcast((file, Tokenizer(file).whole_words()))
+    newer = newer_letters()
+    shared = spark.sparkContext.broadcast((file, newer, Tokenizer(file, newer).whole_words()))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, whole = shared.value
-        tokenizer = Tokenizer(raw)
+        raw, letters, whole = shared.value
+        tokenizer = Tokenizer(raw, letters)
         size = Kept(lambda word: len(tokenizer.encode_word(word)), dict.fromkeys(whole, 1))
         for piece in slices(batches, 2):
             counts = []
@@ -123,7 +124,7 @@ def _decoded(tokenizer: Tokenizer) -> Callable[[pa.ListArray], pa.Array]:
 
 
 def _tokens(spark: SparkSession, path: str):
-    return spark.sparkContext.broadcast(file_bytes(path))
+    return spark.sparkContext.broadcast((file_bytes(path), newer_letters()))
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -131,7 +132,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     shared = _tokens(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoded = _encoded(Tokenizer(shared.value))
+        encoded = _encoded(Tokenizer(*shared.value))
         for piece in slices(batches, 1):
             yield pa.RecordBatch.from_arrays([piece.column(0), encoded(piece.column(1))], names=["_id", "ids"])
 
@@ -145,7 +146,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     shared = _tokens(encoded.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoded = _decoded(Tokenizer(shared.value))
+        decoded = _decoded(Tokenizer(*shared.value))
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), decoded(batch.column(1))], names=["_id", "decoded"])
 
@@ -159,7 +160,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     shared = _tokens(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Tokenizer(shared.value)
+        tokenizer = Tokenizer(*shared.value)
         encoded, decoded = _encoded(tokenizer), _decoded(tokenizer)
         for piece in slices(batches, 1):
             ids = encoded(piece.column(1))

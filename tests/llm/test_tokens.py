@@ -1,9 +1,12 @@
 from __future__ import annotations
 
 import hashlib
+import sys
+import unicodedata
 
 import public_tokenizers
 import pytest
+import regex
 from tokenizers import Tokenizer as Library
 
 from spanveil.llm.bpe import Tokenizer, heap_ranks, scan_ranks
@@ -54,6 +57,51 @@ def test_odd_texts(library):
         assert ids == library.encode(text, add_special_tokens=False).ids, text
 
 
+def ids_of(tokenizer, text):
+    ids = []
+    for words, special in tokenizer.pieces(text):
+        for word in words:
+            ids.extend(tokenizer.encode_word(word))
+        if special is not None:
+            ids.append(special)
+    return ids
+
+
+def test_letters_of_newer_tables_are_signs(library):
+    """Every code point that the pattern module knows and the library does not, between letters."""
+    tokenizer = Tokenizer(file_bytes(PATH))
+    every = "".join(map(chr, range(sys.maxunicode + 1)))
+    newer = [m.group() for m in regex.finditer(r"[\p{L}\p{N}]", every) if unicodedata.category(m.group()) == "Cn"]
+    assert len(newer) > 10_000
+    for c in newer:
+        for text in (f"a{c}B", f"{c}{c} 1{c}2", f"é{c}.{c}x")[: 3 if ord(c) < 0x12000 else 1]:
+            assert ids_of(tokenizer, text) == library.encode(text, add_special_tokens=False).ids, hex(ord(c))
+
+
+def test_other_files_are_refused():
+    import json
+
+    spec = json.loads(file_bytes(PATH))
+    for change in (
+        lambda s: s["pre_tokenizer"]["pretokenizers"][0]["pattern"].update(Regex="\\w+"),
+        lambda s: s["normalizer"]["normalizers"][1]["pattern"].update(Regex="x"),
+        lambda s: s["normalizer"]["normalizers"].pop(),
+        lambda s: s["model"].update(type="WordPiece"),
+    ):
+        other = json.loads(json.dumps(spec))
+        change(other)
+        with pytest.raises(ValueError, match="supported"):
+            Tokenizer(json.dumps(other).encode())
+
+
+def test_rows_that_occur_again(spark, edges, library):
+    twice = edges.union(edges)
+    for done in (count_tokens(edges, PATH), round_trip(edges, PATH)):
+        again = count_tokens(twice, PATH) if "n_bytes" in done.columns else round_trip(twice, PATH)
+        rows = sorted(map(str, done.collect()))
+        assert sorted(map(str, again.collect())) == sorted(rows * 2)
+
+
 def test_rank_array_equals_heap():
     tokenizer = Tokenizer(file_bytes(PATH))
     for word in ("internationalization", "aaaaaaaaaaaaaaaab", "thethethethe", "x", "ab" * 40):
