@@ -16,13 +16,20 @@ From sets to links:
 3. The edge to the least hub of each class is confirmed on the full sets first.
    Edges whose ends are connected by then cannot change a component; all others
    are confirmed in a second pass.
-4. Buckets that hold more than one component by then give all pairs across
-   components that were not tested yet. Bit maps of both sets bound what they can
-   share from above; pairs that may still reach the least share are confirmed.
-
-So every two classes that share a bucket are connected or were compared, and no
-bucket is cut, capped or gathered in one task. The pairs of step 4 grow with the
-square of a group whose members are alike by slightly less than the least share.
+4. Buckets that hold more than one component by then are looked into. One of at
+   most PAIRED classes gives its pairs across components. Larger ones that share
+   classes make one group, and a group takes rounds:
+   its smallest set is the hub, with which all others are compared. Two sets that
+   are alike and not both alike to the hub share a shingle that the hub lacks,
+   since neither is smaller than the hub. So the group is divided by the shingles
+   that the hub lacks: one that at most PAIRED classes have gives their pairs, and
+   classes that commoner ones join make the groups of the next round.
+   Bit maps of both sets bound what a pair can share from above; pairs that may
+   still reach the least share are confirmed.
+
+So every two classes that share a bucket are connected or were compared, no
+bucket is cut, capped or gathered in one task, and no group gives all its pairs:
+what a template has in common goes with the hub.
 """
 
 from __future__ import annotations
@@ -44,6 +51,7 @@ BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 LEAST = 80  # percent
 MAP = 16  # longs of a set's bit map
+PAIRED = 32  # classes of a bucket, or with a shingle, that are paired
 
 
 class Sketcher:
@@ -134,32 +142,62 @@ def _confirmed(edges: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     return edges.join(right, "b").join(left, "a").where(100 * both >= least * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
 
 
-def _across(placed: DataFrame, tested: DataFrame, least: int) -> DataFrame:
-    """Pairs of different components in one bucket that were not tested and may share ``least`` percent.
+_MAPS = [f"m{k}" for k in range(MAP)]
+
+
+def _hopeful(pairs: DataFrame, placed: DataFrame, least: int) -> DataFrame:
+    """Of pairs ``a, b`` those of different components whose bit maps may share ``least`` percent."""
+    side = lambda x: placed.select(F.col("rep").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("n", "component", *_MAPS)))
+    both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
+    only = lambda x, y: sum((F.bit_count(F.col(f"{x}_{m}").bitwiseAND(F.bitwise_not(F.col(f"{y}_{m}")))) for m in _MAPS), F.lit(0))
+    most = F.least(F.col("a_n") - only("a", "b"), F.col("b_n") - only("b", "a"))
+    able = (F.col("a_component") != F.col("b_component")) & ((100 + least) * most >= least * (F.col("a_n") + F.col("b_n")))
+    return both.where(able).select("a", "b")
+
+
+def _paired(members: DataFrame, *key: str) -> DataFrame:
+    """Pairs ``a < b`` of the rows (``key, rep, component``) of one key, of different components."""
+    one = members.select(*key, F.col("rep").alias("a"), F.col("component").alias("of_a"))
+    two = members.select(*key, F.col("rep").alias("b"), F.col("component").alias("of_b"))
+    return one.join(two, list(key)).where("a < b AND of_a <> of_b").select("a", "b")
+
+
+def _across(placed: DataFrame, sets: DataFrame, tested: DataFrame, least: int) -> DataFrame:
+    """Pairs to compare so that no two classes of one bucket stay apart that share ``least`` percent.
 
     ``placed``: ``rep``, ``n``, ``component``, ``bands`` and the bit map of each class.
     """
-    maps = [f"m{k}" for k in range(MAP)]
-    parts = placed.select("component", F.explode("bands").alias("band")).groupBy("band", "component").agg(F.count("*").alias("k"))
+    dealt = placed.select("rep", "component", F.explode("bands").alias("band"))
     mixed = saved(
-        parts.groupBy("band").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("k"))
-        .where("k > 1").select("band", "main"),
+        dealt.groupBy("band").agg(F.count("*").alias("k"), F.min("rep").alias("first"), F.min("component").alias("p"), F.max("component").alias("q"))
+        .where("p <> q").select("band", "k", "first"),
         "mixed-buckets",
     )
-    dealt = placed.select("rep", "n", "component", *maps, F.explode("bands").alias("band")).join(mixed, "band")
-    dealt = saved(dealt, "mixed-members")
-    side = lambda x: dealt.select("band", "main", *(F.col(c).alias(f"{x}_{c}") for c in ("rep", "n", "component", *maps)))
-    # One end is outside the component that has most of the bucket.
-    one, two = side("x"), side("y").where("y_component <> main").drop("main")
-    only = lambda x, y: sum((F.bit_count(F.col(f"{x}_{m}").bitwiseAND(F.bitwise_not(F.col(f"{y}_{m}")))) for m in maps), F.lit(0))
-    most = F.least(F.col("x_n") - only("x", "y"), F.col("y_n") - only("y", "x"))
-    pairs = one.join(two, "band").where(
-        (F.col("x_component") != F.col("y_component"))
-        & ((F.col("x_component") == F.col("main")) | (F.col("x_rep") < F.col("y_rep")))
-        & ((100 + least) * most >= least * (F.col("x_n") + F.col("y_n")))
-    )
-    pairs = pairs.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
-    return saved(pairs.join(tested, ["a", "b"], "left_anti"), "edges")
+    inside = saved(dealt.join(mixed, "band"), "mixed-members")
+    pairs = _paired(inside.where(F.col("k") <= PAIRED), "band")
+    links = inside.where(F.col("k") > PAIRED).select(F.col("rep").alias("a"), F.col("first").alias("b"))
+    while not links.isEmpty():
+        links = links.distinct()
+        group = components(links).select(F.col("node").alias("rep"), F.col("component").alias("group"))
+        members = saved(group.distinct().join(placed.select("rep", "n", "component"), "rep"), "groups")
+        hubs = saved(members.groupBy("group").agg(F.min_by("rep", F.struct("n", "rep")).alias("hub")), "hubs")
+        known = members.join(hubs, "group").where("rep <> hub")
+        to_hub = known.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
+        own = known.join(sets.select(F.col("id").alias("rep"), F.col("members").alias("own")), "rep")
+        against = own.join(sets.select(F.col("id").alias("hub"), F.col("members").alias("hubs")), "hub")
+        left = F.explode(F.array_except("own", "hubs")).alias("shingle")
+        apart = saved(against.select("group", "rep", "component", left), "apart")
+        shared = saved(
+            apart.groupBy("group", "shingle")
+            .agg(F.count("*").alias("k"), F.min("rep").alias("first"), F.min("component").alias("p"), F.max("component").alias("q"))
+            .where("p <> q").select("group", "shingle", "k", "first"),
+            "apart-shingles",
+        )
+        met = saved(apart.join(shared, ["group", "shingle"]), "apart-members")
+        few = _paired(met.where(F.col("k") <= PAIRED), "group", "shingle")
+        pairs = saved(pairs.union(to_hub).union(few).distinct(), "pairs")
+        links = met.where(F.col("k") > PAIRED).select(F.col("rep").alias("a"), F.col("first").alias("b"))
+    return saved(_hopeful(pairs, placed, least).join(tested, ["a", "b"], "left_anti"), "edges")
 
 
 def near_duplicates(
@@ -210,7 +248,7 @@ def near_duplicates(
         .join(label("rep"), "rep", "left").withColumn("component", F.coalesce("of_rep", "rep")).drop("of_rep"),
         "placed",
     )
-    last = saved(_confirmed(_across(placed, edges, least), sets, least), "links")
+    last = saved(_confirmed(_across(placed, sets, edges, least), sets, least), "links")
     if not last.isEmpty():
         found = components(links.union(last))
     whole = (

@@ -3,7 +3,9 @@ from __future__ import annotations
 import random
 
 import plain
+import pytest
 
+from spanveil.llm import neardup
 from spanveil.llm.components import components
 from spanveil.llm.neardup import keep_one, near_duplicates
 from spanveil.llm.queries import op7_minhash
@@ -71,7 +73,9 @@ def test_query(spark, sf):
     assert all(r.kept == (r.doc_id == r.component_id) for r in rows.collect())
 
 
-def test_links_inside_a_template_group(spark):
+@pytest.mark.parametrize("paired", [2, 32])
+def test_links_inside_a_template_group(spark, monkeypatch, paired):
+    monkeypatch.setattr(neardup, "PAIRED", paired)
     rnd = random.Random(11)
     base = [f"t{j}" for j in range(200)]
     docs, fresh = [], 0
@@ -88,3 +92,23 @@ def test_links_inside_a_template_group(spark):
     assert len({x[1] for x in want.values()}) == 150
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     assert result(near_duplicates(frame, shingle=1)) == want
+
+
+def test_templates_within_templates(spark, monkeypatch):
+    """Groups that share a bucket, a template, a part of another and many shingles of no use; none gives all its pairs."""
+    monkeypatch.setattr(neardup, "PAIRED", 8)
+    made = []
+    paired = neardup._paired
+    monkeypatch.setattr(neardup, "_paired", lambda *a: made.append(paired(*a)) or made[-1])
+    rnd = random.Random(13)
+    docs = []
+    for i in range(240):
+        first, second = [f"t{j}" for j in range(120 if i % 2 else 60)], [f"s{i % 3}_{j}" for j in range(60 if i % 2 else 110)]
+        both = [f"p{i // 4}_{j}" for j in range(rnd.randrange(4, 30))]
+        own = [f"o{i}_{j}" for j in range(rnd.randrange(20, 45))]
+        docs.append((i, " ".join([*first, *second, *both, *own])))
+    want = plain.near_groups(docs, k=1)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert result(neardup.near_duplicates(frame, shingle=1)) == want
+    assert len({x[1] for x in want.values()}) > 100
+    assert sum(m.count() for m in made) < 240 * 239 / 2
