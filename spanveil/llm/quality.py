@@ -7,8 +7,9 @@ of good documents, the risk of a scorer g is
     p * E_pos[loss(g, +1)] + max(0, E_unl[loss(g, -1)] - p * E_pos[loss(g, -1)])
 
 whose second part is the unbiased risk on negatives, kept from going below zero.
-Where a step finds it below zero, it climbs out along that part alone. Bad
-documents' labels are used for the prior only.
+Where a step finds it below zero, it climbs out along that part alone. Labels of
+bad documents are not used at all: the prior, too, is estimated from positives
+and unlabelled rows (`class_prior`).
 
 A document is described by shares and ratios of its whole text: letter case,
 symbols, repeated words and word runs. Language and length of a text are left
@@ -16,13 +17,12 @@ out on purpose. Each feature is cut into bins at quantiles of the sample; the
 scorer is linear in the bins.
 
 Bounds: FIT_ROWS positives and FIT_ROWS unlabelled rows, chosen by hash of their
-ids, are fitted on the driver as numbers (not texts). Prior and scores are over
-all rows.
+ids, are fitted on the driver as numbers (not texts). Scores are over all rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +37,8 @@ from spanveil.llm.words import Runs, Splitter, not_space
 FIT_ROWS = 20_000
 # Steps of gradient descent, and its rate.
 STEPS, RATE, SHRINK = 600, 0.1, 2e-4
+# Chance that the prior's error is larger than allowed for.
+CHANCE = 0.1
 # Cut points of each feature: quantiles of the unlabelled sample's values below
 # and above the median, so that a feature that is mostly zero has cuts too.
 QUANTILES = (0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 0.85, 0.95)
@@ -138,39 +140,79 @@ def cut_points(values: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([np.quantile(x, QUANTILES) for x in tails if len(x)] or [np.zeros(0)]))
 
 
-def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Scorer:
-    """Minimises the non-negative risk by Adam. The loss is the sigmoid of -y * g, which is bounded."""
-    sample = unlabelled if len(unlabelled) else positive
+def _blank(sample: np.ndarray, start: float) -> Scorer:
     cuts = [cut_points(column) for column in sample.T]
     scorer = Scorer(cuts, np.zeros(1 + sum(len(c) + 1 for c in cuts)))
-    scorer.weights[0] = np.log(prior / (1 - prior))
-    if not len(positive) or not len(unlabelled):
-        return scorer
-    size = len(scorer.weights)
-    in_pos, in_unl = scorer.bins(positive), scorer.bins(unlabelled)
+    scorer.weights[0] = start
+    return scorer
+
+
+def _gradient(bins: np.ndarray, slope: np.ndarray, size: int) -> np.ndarray:
+    """Mean over rows of a slope in the margin, as one in the weights."""
+    per_row = slope / len(bins)
+    out = np.bincount(bins.ravel(), np.repeat(per_row, bins.shape[1]), size)
+    out[0] = per_row.sum()
+    return out
 
-    def gradient(bins: np.ndarray, slope: np.ndarray) -> np.ndarray:
-        per_row = slope / len(bins)
-        out = np.bincount(bins.ravel(), np.repeat(per_row, bins.shape[1]), size)
-        out[0] = per_row.sum()
-        return out
 
+def _descend(scorer: Scorer, slope_of: Callable[[np.ndarray], np.ndarray]) -> None:
+    """Adam, with the bins' weights shrunk."""
+    size = len(scorer.weights)
     first, second = np.zeros(size), np.zeros(size)
     for step in range(1, STEPS + 1):
         w = scorer.weights
-        g_pos, g_unl = w[0] + w[in_pos].sum(axis=1), w[0] + w[in_unl].sum(axis=1)
-        s_pos, s_unl = 1 / (1 + np.exp(-g_pos)), 1 / (1 + np.exp(-g_unl))
-        negative = s_unl.mean() - prior * s_pos.mean()
-        steep_pos = gradient(in_pos, s_pos * (1 - s_pos))
-        on_negative = gradient(in_unl, s_unl * (1 - s_unl)) - prior * steep_pos
-        slope = -on_negative if negative < 0 else on_negative - prior * steep_pos
-        slope = slope + SHRINK * np.concatenate([[0.0], w[1:]])
+        slope = slope_of(w) + SHRINK * np.concatenate([[0.0], w[1:]])
         first = 0.9 * first + 0.1 * slope
         second = 0.999 * second + 0.001 * slope**2
         scorer.weights = w - RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+
+
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among unlabelled rows, from the best bin of a classifier that tells the two apart.
+
+    Of rows scored at least t, the unlabelled share is at least the prior times
+    the positive share, whatever t; the ratio of the two shares is the prior where
+    no negative is scored so high. The classifier is fitted on one half of the
+    rows; the threshold is the one on the other half that makes the ratio plus
+    its chance error least. Without positives or unlabelled rows it is one half.
+    """
+    (pos, pos_held), (unl, unl_held) = ((x[::2], x[1::2]) for x in (positive, unlabelled))
+    if not len(pos_held) or not len(unl_held):
+        return 0.5
+    scorer = _blank(unl, 0.0)
+    in_pos, in_unl = scorer.bins(pos), scorer.bins(unl)
+
+    def logistic(w: np.ndarray) -> np.ndarray:
+        s_pos, s_unl = (1 / (1 + np.exp(-(w[0] + w[x].sum(axis=1)))) for x in (in_pos, in_unl))
+        return _gradient(in_pos, s_pos - 1, len(w)) + _gradient(in_unl, s_unl, len(w))
+
+    _descend(scorer, logistic)
+    of_pos, of_unl = np.sort(scorer.margin(pos_held)), np.sort(scorer.margin(unl_held))
+    share_pos = 1 - np.searchsorted(of_pos, of_pos) / len(of_pos)
+    share_unl = 1 - np.searchsorted(of_unl, of_pos) / len(of_unl)
+    error = sum(np.sqrt(np.log(4 / CHANCE) / (2 * len(x))) for x in (of_pos, of_unl))
+    best = int(np.argmin((share_unl + error) / share_pos))
+    return float(np.clip(share_unl[best] / share_pos[best], 0.02, 0.98))
+
+
+def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Scorer:
+    """Minimises the non-negative risk. The loss is the sigmoid of -y * g, which is bounded."""
+    scorer = _blank(unlabelled if len(unlabelled) else positive, np.log(prior / (1 - prior)))
+    if not len(positive) or not len(unlabelled):
+        return scorer
+    in_pos, in_unl = scorer.bins(positive), scorer.bins(unlabelled)
+    _descend(scorer, lambda w: risk_slope(w, in_pos, in_unl, prior))
     return scorer
 
 
+def risk_slope(w: np.ndarray, in_pos: np.ndarray, in_unl: np.ndarray, prior: float) -> np.ndarray:
+    """The slope of the risk in the weights, or the way out where its second part is negative."""
+    s_pos, s_unl = (1 / (1 + np.exp(-(w[0] + w[x].sum(axis=1)))) for x in (in_pos, in_unl))
+    steep_pos = _gradient(in_pos, s_pos * (1 - s_pos), len(w))
+    on_negative = _gradient(in_unl, s_unl * (1 - s_unl), len(w)) - prior * steep_pos
+    return -on_negative if s_unl.mean() - prior * s_pos.mean() < 0 else on_negative - prior * steep_pos
+
+
 def _features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         describer = Describer()
@@ -189,20 +231,14 @@ def train(
 ) -> Scorer:
     """Fits on rows whose fold is not ``held_out``.
 
-    ``labels`` has the id and ``quality`` (1 good, 0 bad, null unknown). Of
-    several labels of one id, one that says good counts. Without any labels the
-    prior is one half and every score is one half.
+    ``labels`` has the id and ``quality``; only those that say good (1) count,
+    whatever other labels an id has. Without any the prior is one half and every
+    score is one half.
     """
     trained = F.coalesce(fold_of("_id", folds) != held_out, F.lit(False))
-    known = (
-        labels.select(F.col(id_col).alias("_id"), F.col("quality").cast("int").alias("_good"))
-        .where(F.col("_good").isNotNull() & trained)
-        .groupBy("_id").agg(F.max("_good").alias("_good"))
-    )
-    good, every = known.agg(F.sum(F.col("_good").cast("long")), F.count("*")).first()
-    prior = min(max(((good or 0) + 1) / (every + 2), 0.02), 0.98)
+    good = labels.where(F.col("quality").cast("int") == 1).select(F.col(id_col).alias("_id")).where(trained).distinct()
     by_hash = F.xxhash64(F.col("_id"), F.lit("quality"))
-    positive = known.where("_good = 1").select("_id").orderBy(by_hash, "_id").limit(FIT_ROWS)
+    positive = good.orderBy(by_hash, "_id").limit(FIT_ROWS)
     ids = docs.select(F.col(id_col).alias("_id")).where(trained)
     unlabelled = ids.orderBy(by_hash, "_id").limit(FIT_ROWS)
     # At most 2 * FIT_ROWS ids, so the texts stay where they are.
@@ -211,7 +247,9 @@ def train(
     rows = _features(texts.join(F.broadcast(chosen), "_id"), "_kind", "_text").toPandas()
     features = np.array(rows["features"].tolist()).reshape(-1, len(FEATURES))
     kind = rows["_kind"].to_numpy()
-    return fit_pu(features[kind == 1], features[kind == 0], prior)
+    # In an order of their own, so that sums do not depend on that of the rows.
+    positives, others = (x[np.lexsort(x.T)] for x in (features[kind == 1], features[kind == 0]))
+    return fit_pu(positives, others, class_prior(positives, others))
 
 
 def score_quality(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

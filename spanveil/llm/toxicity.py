@@ -8,16 +8,17 @@
 2. Matching. The terms form a trie. A Levenshtein automaton for every term at
    once is run over it: its states are sets of (trie node, errors), made when
    they are first met. It accepts words within one edit of a term (two from
-   LONG letters on); a swap of neighbours is one edit. Terms below SHORT letters
-   have to be met exactly.
+   LONG letters on); a swap of neighbours is one edit. Words near a term that are
+   known from clean texts are innocent. Terms of three letters have to be met
+   exactly.
 3. Context. Each hit is scored in a window of WINDOW words on each side: quotation
    marks around it or a word of saying before it mark a quotation, which counts
    for QUOTED of an abuse.
 4. A logistic model of the summed hits turns them into a score.
 
 Bounds: FIT_ROWS toxic and FIT_ROWS other labelled rows, chosen by hash of their
-ids, are learned from; the lexicon holds MAX_TERMS terms at most, the surest
-first, and travels with the tasks. All texts are scored whole.
+ids, are learned from; so the lexicon, all words that pass the tests, is bounded
+and travels with the tasks. All texts are scored whole.
 """
 
 from __future__ import annotations
@@ -36,13 +37,12 @@ from spanveil.llm.tables import saved, slices
 from spanveil.llm.tokens import Kept
 
 FIT_ROWS = 5_000
-MAX_TERMS = 2_000
 # A term has at least so many neighbourhoods in toxic texts, and this share of all of them.
 MIN_PLACES, MIN_SHARE = 3, 0.9
 # A stem has at least so many letters and so many terms.
 MIN_SURENESS = 14
 STEM_LETTERS, STEM_TERMS, STEM_WEIGHT = 4, 5, 0.8
-SHORT, LONG = 5, 8
+SHORT, LONG = 4, 8
 WINDOW = 6
 QUOTED = 0.3
 # Automaton steps that a task keeps; the store is emptied when it is full.
@@ -243,7 +243,7 @@ def _lexicon(words: DataFrame, toxic: str, other: str, base: float) -> Lexicon:
     odds = F.round(F.log((t / base + 0.5) / (o / (1 - base) + 0.5)), 6)
     rows = (
         words.where((t >= MIN_PLACES) & (F.length("word") > 2) & _sure(t, o, base))
-        .select("word", odds.alias("odds")).orderBy(F.desc("odds"), "word").limit(MAX_TERMS).collect()
+        .select("word", odds.alias("odds")).orderBy(F.desc("odds"), "word").collect()
     )
     terms = {r.word: min(max(r.odds, 0.6), 6.0) / 6 for r in rows}
     prefixes = F.transform(F.sequence(F.lit(STEM_LETTERS), F.lit(STEM_LETTERS + 4)), lambda n: F.substring("word", F.lit(1), n))
@@ -252,7 +252,7 @@ def _lexicon(words: DataFrame, toxic: str, other: str, base: float) -> Lexicon:
         .select("word", t, o, F.explode(F.array_distinct(prefixes)).alias("stem"))
         .groupBy("stem").agg(F.sum(t).alias("t"), F.sum(o).alias("o"), F.count("*").alias("n"), F.max(t).alias("most"))
         .where((F.col("n") >= STEM_TERMS) & (F.col("most") * 2 <= F.col("t")) & (F.col("t") >= MIN_PLACES) & _sure(F.col("t"), F.col("o"), base))
-        .orderBy(F.length("stem"), F.desc("t"), "stem").limit(MAX_TERMS).collect()
+        .orderBy(F.length("stem"), F.desc("t"), "stem").collect()
     )
     pure = {r.stem for r in pooled}
     stems = {x: STEM_WEIGHT for x in pure if not any(x[:n] in pure for n in range(STEM_LETTERS, len(x)))}

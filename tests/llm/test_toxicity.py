@@ -1,11 +1,15 @@
 from __future__ import annotations
 
 import binascii
+import math
 import random
+import re
+
+import numpy as np
 
 from spanveil.llm.queries import op3_toxicity
 from spanveil.llm.tables import documents, labels
-from spanveil.llm.toxicity import QUOTED, Automaton, Judge, Lexicon, allowed, score_toxicity, train
+from spanveil.llm.toxicity import MARKS, QUOTED, SAYING, WINDOW, Automaton, Judge, Lexicon, allowed, score_toxicity, train
 
 
 def distance(a, b):
@@ -40,6 +44,53 @@ def test_misspelling_stem_and_quotation():
     assert quoted[1] == QUOTED * plain[1] > 0
 
 
+def judged(text, lexicon):
+    """Score of a text, word by word: nearest term by distance, quotation by looking at the words around."""
+    text = text.lower()
+    words = [(m.group(), *m.span()) for m in re.finditer(r"[^\W\d_]+", text)]
+    weights = []
+    for i, (word, start, end) in enumerate(words):
+        stem = [w for s, w in lexicon.stems.items() if word.startswith(s)]
+        near = sorted((distance(word, t), t) for t in lexicon.terms if distance(word, t) <= allowed(t))
+        if word in lexicon.terms:
+            weight = lexicon.terms[word]
+        elif stem:
+            weight = stem[0]
+        elif near and word not in lexicon.innocent:
+            weight = lexicon.terms[near[0][1]] / (1 + near[0][0])
+        else:
+            continue
+        before = text[words[max(0, i - WINDOW)][1] : start]
+        after = text[end : words[min(len(words) - 1, i + WINDOW)][2] + 1]
+        quoted = any(m in before for m in MARKS) and any(m in after for m in MARKS)
+        said = any(w in SAYING for w, _, _ in words[max(0, i - WINDOW) : i])
+        weights.append(weight * (QUOTED if quoted or said else 1))
+    total = sum(weights)
+    features = [math.log1p(total), max(weights, default=0), math.log1p(100 * total / max(len(words), 1)), 1.0]
+    return 1 / (1 + math.exp(-sum(f * w for f, w in zip(features, lexicon.weights))))
+
+
+def test_scores_word_by_word(spark):
+    rnd = random.Random(12)
+    lexicon = Lexicon({"scum": 0.9, "idiot": 1.0, "vermin": 0.6, "blockhead": 0.7}, {"vequ": 0.8}, {"idiom", "scam"})
+    lexicon.weights = np.array([1.5, 2.0, 0.4, -3.0])
+    parts = ["scum", "scvm", "scumm", "scam", "idiot", "idiom", "iidot", "vermin", "vermn", "blockhead", "blokchaed", "vequment", "the", "said",
+             "quote", "a", "green", "\"", "“", "”", ",", "3", "Wort", "SCUM", "é"]
+    texts = [" ".join(rnd.choice(parts) for _ in range(rnd.randrange(30))) for _ in range(300)]
+    texts += texts[:20] + ["", "scum"]  # rows that occur again
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in score_toxicity(docs, lexicon).collect()}
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):
+        assert math.isclose(got[i], judged(text, lexicon), abs_tol=1e-9), text
+
+
+def test_short_terms_misspelt():
+    judge = Judge(Lexicon({"scum": 1.0, "pig": 1.0}, {}, {"scam"}))
+    assert judge.of("you scvm")[1] == judge.of("you scumm")[1] == judge.of("you scmu")[1] == 0.5
+    assert judge.of("a scam")[1] == judge.of("a pin")[1] == 0 and judge.of("a pig")[1] == 1.0
+
+
 def texts_and_labels(spark):
     rnd = random.Random(1)
     rows, known = [], []
