@@ -83,16 +83,19 @@ def cut_substrings(docs, size=50):
     return out
 
 
-def cut_lines(docs, run=3):
-    """id -> (lines, removed, text), for unique ids."""
+def cut_lines(docs, run=3, passage=None):
+    """id -> (lines, removed, text), for unique ids. ``passage``: words of a shorter run that goes as well."""
     seen, out = set(), {}
     for doc, text in sorted(docs):
         lines = [x for x in (text or "").split("\n") if x]
         gone = set()
-        for i in range(len(lines) - run + 1):
-            key = tuple(lines[i : i + run])
-            if key in seen:
-                gone.update(range(i, i + run))
-            seen.add(key)
+        for k in range(1 if passage else run, run + 1):
+            for i in range(len(lines) - k + 1):
+                key = tuple(lines[i : i + k])
+                if k < run and sum(len(words(x)) for x in key) < passage:
+                    continue
+                if key in seen:
+                    gone.update(range(i, i + k))
+                seen.add(key)
         out[doc] = (len(lines), len(gone), "\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else text)
     return out

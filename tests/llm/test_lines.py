@@ -50,4 +50,20 @@ def test_short_runs_of_many_words(spark):
     got = {i: (gone, text) for i, (n, gone, text) in result(dedup_lines(frame, words=50)).items()}
     cut = {2: (1, ""), 3: (1, "own\nmore"), 5: (2, "end"), 8: (3, "d")}
     assert got == {i: cut.get(i, (0, text)) for i, text in docs}
+    assert result(dedup_lines(frame, words=50)) == plain.cut_lines(docs, passage=50)
     assert result(dedup_lines(frame)) == plain.cut_lines(docs)
+
+
+@pytest.mark.parametrize("passage", [1, 3, 6])
+def test_random_passages(spark, passage):
+    """Ties of hashes too: equal lines side by side, and rows of one id that occur again."""
+    rnd = random.Random(passage)
+    docs = []
+    for i in range(120):
+        lines = [rnd.choice(["a", "a", "", "c c", " d e f", f"u{rnd.randrange(9)} v w x"]) for _ in range(rnd.randrange(0, 10))]
+        docs.append(((i * 53) % 400, "\n".join(lines)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    want = plain.cut_lines(docs, passage=passage)
+    assert result(dedup_lines(frame, words=passage)) == want
+    twice = dedup_lines(frame.union(frame.limit(40)), words=passage)
+    assert twice.count() == 160 and result(twice) == want

@@ -26,7 +26,7 @@ def plain_run(spark, sf):
     for r in docs.collect():
         if scorer.score(describer.of(pa.array([r.text])))[0] >= 0.5:
             rows[r.doc_id] = r.text
-    cut = plain.cut_lines(list(rows.items()))
+    cut = plain.cut_lines(list(rows.items()), passage=50)
     rows = {i: text for i, (n, gone, text) in cut.items() if gone == 0 or gone < n}
     groups = plain.near_groups(list(rows.items()), k=5)
     rows = {i: text for i, text in rows.items() if groups[i][1] == i}
