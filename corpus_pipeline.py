@@ -24,15 +24,19 @@ from spanveil.llm.tables import benchmark, documents, labels, saved
 from spanveil.llm.tokens import round_trip
 
 
+# Words of a repeated passage that goes although it stands on one or two lines.
+PASSAGE = 50
+
+
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the positive-unlabelled classifier accepts."""
     return quality.keep_good(docs, quality.train(docs, labels(spark, sf_dir)))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later repeated runs of lines. Documents that lose all lines go."""
+    """Texts without later repeated runs of lines, or of fewer lines with PASSAGE words. Documents that lose all lines go."""
     columns = docs.columns
-    cut = dedup_lines(docs).where("n_removed = 0 OR n_removed < n_lines")
+    cut = dedup_lines(docs, words=PASSAGE).where("n_removed = 0 OR n_removed < n_lines")
     if "n_chars" in columns:
         cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return cut.select(columns)
