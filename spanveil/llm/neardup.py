@@ -17,19 +17,21 @@ From sets to links:
    Edges whose ends are connected by then cannot change a component; all others
    are confirmed in a second pass.
 4. Buckets that hold more than one component by then are looked into. One of at
-   most PAIRED classes gives its pairs across components. Larger ones that share
-   classes make one group, and a group takes rounds:
+   most GROUP classes gives its pairs across components. Larger ones that share
+   classes make one group, and a group is divided in rounds:
    its smallest set is the hub, with which all others are compared. Two sets that
    are alike and not both alike to the hub share a shingle that the hub lacks,
    since neither is smaller than the hub. So the group is divided by the shingles
    that the hub lacks: one that at most PAIRED classes have gives their pairs, and
-   classes that commoner ones join make the groups of the next round.
+   classes that commoner ones join make the groups of the next round, of which
+   those of at most GROUP classes give their pairs.
    Bit maps of both sets bound what a pair can share from above; pairs that may
    still reach the least share are confirmed.
 
-So every two classes that share a bucket are connected or were compared, no
-bucket is cut, capped or gathered in one task, and no group gives all its pairs:
-what a template has in common goes with the hub.
+So every two classes that share a bucket are connected or were compared, and no
+bucket is cut, capped or gathered in one task. What a template has in common goes
+with its hub, so a template group does not give all its pairs; a large group that
+ROUNDS hubs do not divide does.
 """
 
 from __future__ import annotations
@@ -51,7 +53,9 @@ BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 LEAST = 80  # percent
 MAP = 16  # longs of a set's bit map
-PAIRED = 32  # classes of a bucket, or with a shingle, that are paired
+GROUP = 512  # classes of a bucket or group that are paired
+PAIRED = 32  # classes with a shingle that are paired
+ROUNDS = 3  # hubs that a large group is divided by
 
 
 class Sketcher:
@@ -174,14 +178,20 @@ def _across(placed: DataFrame, sets: DataFrame, tested: DataFrame, least: int) -
         "mixed-buckets",
     )
     inside = saved(dealt.join(mixed, "band"), "mixed-members")
-    pairs = _paired(inside.where(F.col("k") <= PAIRED), "band")
-    links = inside.where(F.col("k") > PAIRED).select(F.col("rep").alias("a"), F.col("first").alias("b"))
+    pairs = _paired(inside.where(F.col("k") <= GROUP), "band")
+    links = inside.where(F.col("k") > GROUP).select(F.col("rep").alias("a"), F.col("first").alias("b"))
+    rounds = 0
     while not links.isEmpty():
-        links = links.distinct()
-        group = components(links).select(F.col("node").alias("rep"), F.col("component").alias("group"))
+        group = components(links.distinct()).select(F.col("node").alias("rep"), F.col("component").alias("group"))
         members = saved(group.distinct().join(placed.select("rep", "n", "component"), "rep"), "groups")
-        hubs = saved(members.groupBy("group").agg(F.min_by("rep", F.struct("n", "rep")).alias("hub")), "hubs")
-        known = members.join(hubs, "group").where("rep <> hub")
+        size = GROUP if rounds < ROUNDS else members.count()
+        rounds += 1
+        hubs = members.groupBy("group").agg(F.min_by("rep", F.struct("n", "rep")).alias("hub"), F.count("*").alias("size"))
+        dealt = members.join(saved(hubs, "hubs"), "group")
+        pairs = pairs.union(_paired(dealt.where(F.col("size") <= size), "group"))
+        known = saved(dealt.where((F.col("size") > size) & (F.col("rep") != F.col("hub"))), "group-members")
+        if known.isEmpty():
+            break
         to_hub = known.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
         own = known.join(sets.select(F.col("id").alias("rep"), F.col("members").alias("own")), "rep")
         against = own.join(sets.select(F.col("id").alias("hub"), F.col("members").alias("hubs")), "hub")

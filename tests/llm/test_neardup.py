@@ -76,6 +76,7 @@ def test_query(spark, sf):
 @pytest.mark.parametrize("paired", [2, 32])
 def test_links_inside_a_template_group(spark, monkeypatch, paired):
     monkeypatch.setattr(neardup, "PAIRED", paired)
+    monkeypatch.setattr(neardup, "GROUP", paired)
     rnd = random.Random(11)
     base = [f"t{j}" for j in range(200)]
     docs, fresh = [], 0
@@ -95,11 +96,9 @@ def test_links_inside_a_template_group(spark, monkeypatch, paired):
 
 
 def test_templates_within_templates(spark, monkeypatch):
-    """Groups that share a bucket, a template, a part of another and many shingles of no use; none gives all its pairs."""
+    """Groups that share a bucket, a template, a part of another and many shingles of no use."""
     monkeypatch.setattr(neardup, "PAIRED", 8)
-    made = []
-    paired = neardup._paired
-    monkeypatch.setattr(neardup, "_paired", lambda *a: made.append(paired(*a)) or made[-1])
+    monkeypatch.setattr(neardup, "GROUP", 16)
     rnd = random.Random(13)
     docs = []
     for i in range(240):
@@ -111,4 +110,14 @@ def test_templates_within_templates(spark, monkeypatch):
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     assert result(neardup.near_duplicates(frame, shingle=1)) == want
     assert len({x[1] for x in want.values()}) > 100
-    assert sum(m.count() for m in made) < 240 * 239 / 2
+
+
+def test_a_template_group_does_not_give_all_its_pairs(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "GROUP", 32)
+    made = []
+    paired = neardup._paired
+    monkeypatch.setattr(neardup, "_paired", lambda *a: made.append(paired(*a)) or made[-1])
+    docs = [(i, " ".join([*(f"t{j}" for j in range(200)), *(f"o{i}_{j}" for j in range(28))])) for i in range(400)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert result(neardup.near_duplicates(frame, shingle=1)) == {i: (228, i) for i, _ in docs}
+    assert sum(m.count() for m in made) < 20_000  # of 79,800
