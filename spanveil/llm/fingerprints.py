@@ -72,9 +72,11 @@ class Signatures:
         after = np.concatenate([bounds[filled], np.flatnonzero(common | chosen) + 1])
         owner = np.concatenate([filled, row[common | chosen]])
         spelt = np.concatenate([np.full(len(filled), 1, np.uint64), hashes[common | chosen]])
-        end = np.searchsorted(content, bounds)[owner + 1]
+        contents = np.searchsorted(content, bounds)
+        end = contents[owner + 1]
         first = np.searchsorted(content, after)
-        used = first < end
+        # A text of common words alone has its anchors for signatures.
+        used = (first < end) | (np.diff(contents) == 0)[owner]
         first, end, spelt, owner = first[used], end[used], spelt[used], owner[used]
         for step in range(CHAIN):
             at = first + step

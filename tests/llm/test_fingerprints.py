@@ -2,11 +2,13 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from spanveil.llm.fingerprints import fingerprints, likeness, neighbours, pruned_jaccard
+from spanveil.llm.fingerprints import ANCHORS, CHAIN, Signatures, fingerprints, likeness, neighbours, pruned_jaccard
 from spanveil.llm.queries import op4_spotsigs
 from spanveil.llm.tables import documents
 
@@ -51,6 +53,42 @@ def test_pruned_jaccard_equals_sets():
         assert pruned_jaccard(a, b, 0.6) == (exact if exact >= 0.6 else 0.0)
 
 
+def chains(text):
+    """Signatures of a text in which no stretch without common words is long: anchors with the words behind them, numbered."""
+    words = re.findall(r"[a-z0-9\x80-\U0010ffff]+", text.lower())
+    common = [w in ANCHORS for w in words]
+    found = [("", 0)] if words else []
+    found += [(w, i + 1) for i, w in enumerate(words) if common[i]]
+    found = [(a, tuple(w for w, c in zip(words[k:], common[k:]) if not c)[:CHAIN]) for a, k in found]
+    if not all(common):
+        found = [f for f in found if f[1]]
+    seen = Counter()
+    out = set()
+    for f in found:
+        out.add((f, seen[f]))
+        seen[f] += 1
+    return out
+
+
+def test_signatures_word_by_word():
+    rnd = random.Random(6)
+    some = ["the", "of", "der", "und", "house", "dog", "river", "blue", "x1", "é", "and"]
+    texts = [" ".join(rnd.choice(some) for _ in range(rnd.randrange(20))) for _ in range(120)]
+    texts += ["the of and a", "der die das", "the of and a", "the the", "the", "", "...", "dog", "House DOG"]
+    sets, plainly = Signatures().of(texts), [chains(t) for t in texts]
+    assert [len(s) for s in sets] == [len(c) for c in plainly]
+    for i, (a, x) in enumerate(zip(sets, plainly)):
+        for b, y in zip(sets[i:], plainly[i:]):
+            assert pruned_jaccard(a, b) == (len(x & y) / len(x | y) if x | y else 1.0)
+
+
+def test_rows_that_occur_again(spark, edges):
+    twice = edges.where("doc_id IS NOT NULL").union(edges.where("doc_id = 1"))
+    got = neighbours(twice).collect()
+    assert len(got) == twice.count()
+    assert len({(r.n_chars, r.fingerprint) for r in got if r.doc_id == 1}) == 1
+
+
 def test_query(spark, sf):
     want = plain([(r.doc_id, r.text) for r in documents(spark, sf).collect()])
     got = op4_spotsigs(spark, sf)
