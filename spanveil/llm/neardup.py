@@ -16,15 +16,15 @@ From sets to links:
 3. The edge to the least hub of each class is confirmed on the full sets first.
    Edges whose ends are connected by then cannot change a component; all others
    are confirmed in a second pass.
-4. Buckets that hold more than one component by then are looked into. One of at
-   most GROUP classes gives its pairs across components. Larger ones that share
-   classes make one group, and a group is divided in rounds:
+4. Buckets that hold more than one component by then are looked into. One with at
+   most GROUP classes outside of its largest component gives its pairs across
+   components. Larger ones that share classes make one group, and a group is divided
+   in rounds:
    its smallest set is the hub, with which all others are compared. Two sets that
    are alike and not both alike to the hub share a shingle that the hub lacks,
    since neither is smaller than the hub. So the group is divided by the shingles
    that the hub lacks: one that at most PAIRED classes have gives their pairs, and
-   classes that commoner ones join make the groups of the next round, of which
-   those of at most GROUP classes give their pairs.
+   classes that commoner ones join make the groups of the next round.
    Bit maps of both sets bound what a pair can share from above; pairs that may
    still reach the least share are confirmed.
 
@@ -53,7 +53,7 @@ BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 LEAST = 80  # percent
 MAP = 16  # longs of a set's bit map
-GROUP = 512  # classes of a bucket or group that are paired
+GROUP = 4096  # classes outside of the main component of a bucket or group that are paired with all of it
 PAIRED = 32  # classes with a shingle that are paired
 ROUNDS = 3  # hubs that a large group is divided by
 
@@ -166,48 +166,72 @@ def _paired(members: DataFrame, *key: str) -> DataFrame:
     return one.join(two, list(key)).where("a < b AND of_a <> of_b").select("a", "b")
 
 
+def _all_pairs(dealt: DataFrame, least: int) -> DataFrame:
+    """Pairs ``a < b`` of classes of one ``key`` and different components whose bit maps may share ``least`` percent.
+
+    One end is outside ``main``, the component that has most of the key.
+    """
+    side = lambda x: dealt.select("key", "main", *(F.col(c).alias(f"{x}_{c}") for c in ("rep", "n", "component", *_MAPS)))
+    one, two = side("x"), side("y").where("y_component <> main").drop("main")
+    only = lambda x, y: sum((F.bit_count(F.col(f"{x}_{m}").bitwiseAND(F.bitwise_not(F.col(f"{y}_{m}")))) for m in _MAPS), F.lit(0))
+    most = F.least(F.col("x_n") - only("x", "y"), F.col("y_n") - only("y", "x"))
+    pairs = one.join(two, "key").where(
+        (F.col("x_component") != F.col("y_component"))
+        & ((F.col("x_component") == F.col("main")) | (F.col("x_rep") < F.col("y_rep")))
+        & ((100 + least) * most >= least * (F.col("x_n") + F.col("y_n")))
+    )
+    return pairs.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
+
+
+def _mixed(dealt: DataFrame) -> DataFrame:
+    """Of keys with several components: ``key``, ``main``, ``others`` (classes outside it), ``first`` (least class); written."""
+    parts = dealt.groupBy("key", "component").agg(F.count("*").alias("k"), F.min("rep").alias("first"))
+    every = parts.groupBy("key").agg(
+        F.max_by("component", F.struct("k", "component")).alias("main"),
+        (F.sum("k") - F.max("k")).alias("others"),
+        F.min("first").alias("first"),
+    )
+    return saved(every.where("others > 0"), "mixed")
+
+
 def _across(placed: DataFrame, sets: DataFrame, tested: DataFrame, least: int) -> DataFrame:
     """Pairs to compare so that no two classes of one bucket stay apart that share ``least`` percent.
 
     ``placed``: ``rep``, ``n``, ``component``, ``bands`` and the bit map of each class.
     """
-    dealt = placed.select("rep", "component", F.explode("bands").alias("band"))
-    mixed = saved(
-        dealt.groupBy("band").agg(F.count("*").alias("k"), F.min("rep").alias("first"), F.min("component").alias("p"), F.max("component").alias("q"))
-        .where("p <> q").select("band", "k", "first"),
-        "mixed-buckets",
-    )
-    inside = saved(dealt.join(mixed, "band"), "mixed-members")
-    pairs = _paired(inside.where(F.col("k") <= GROUP), "band")
-    links = inside.where(F.col("k") > GROUP).select(F.col("rep").alias("a"), F.col("first").alias("b"))
+    buckets = placed.select("rep", "component", F.explode("bands").alias("key"))
+    mixed = _mixed(buckets)
+    whole = placed.select("rep", "n", "component", *_MAPS, F.explode("bands").alias("key"))
+    pairs = saved(_all_pairs(saved(whole.join(mixed.where(F.col("others") <= GROUP), "key"), "mixed-members"), least), "pairs")
+    links = buckets.join(mixed.where(F.col("others") > GROUP), "key").select(F.col("rep").alias("a"), F.col("first").alias("b"))
     rounds = 0
     while not links.isEmpty():
-        group = components(links.distinct()).select(F.col("node").alias("rep"), F.col("component").alias("group"))
+        group = components(links.distinct()).select(F.col("node").alias("rep"), F.col("component").alias("key"))
         members = saved(group.distinct().join(placed.select("rep", "n", "component"), "rep"), "groups")
-        size = GROUP if rounds < ROUNDS else members.count()
+        hubs = members.groupBy("key").agg(F.min_by("rep", F.struct("n", "rep")).alias("hub"))
+        # A group with others left in the last round gives its pairs.
+        large = (F.col("others") > GROUP) & F.lit(rounds < ROUNDS)
+        known = saved(_mixed(members).join(hubs, "key"), "hubs")
         rounds += 1
-        hubs = members.groupBy("group").agg(F.min_by("rep", F.struct("n", "rep")).alias("hub"), F.count("*").alias("size"))
-        dealt = members.join(saved(hubs, "hubs"), "group")
-        pairs = pairs.union(_paired(dealt.where(F.col("size") <= size), "group"))
-        known = saved(dealt.where((F.col("size") > size) & (F.col("rep") != F.col("hub"))), "group-members")
-        if known.isEmpty():
-            break
-        to_hub = known.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
-        own = known.join(sets.select(F.col("id").alias("rep"), F.col("members").alias("own")), "rep")
+        small = members.select("rep", "key").join(known.where(~large).drop("hub"), "key").join(placed.drop("bands"), "rep")
+        pairs = pairs.union(_all_pairs(saved(small, "mixed-members"), least))
+        dealt = saved(members.join(known.where(large).select("key", "hub"), "key").where("rep <> hub"), "group-members")
+        to_hub = dealt.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
+        own = dealt.join(sets.select(F.col("id").alias("rep"), F.col("members").alias("own")), "rep")
         against = own.join(sets.select(F.col("id").alias("hub"), F.col("members").alias("hubs")), "hub")
         left = F.explode(F.array_except("own", "hubs")).alias("shingle")
-        apart = saved(against.select("group", "rep", "component", left), "apart")
+        apart = saved(against.select("key", "rep", "component", left), "apart")
         shared = saved(
-            apart.groupBy("group", "shingle")
+            apart.groupBy("key", "shingle")
             .agg(F.count("*").alias("k"), F.min("rep").alias("first"), F.min("component").alias("p"), F.max("component").alias("q"))
-            .where("p <> q").select("group", "shingle", "k", "first"),
+            .where("p <> q").select("key", "shingle", "k", "first"),
             "apart-shingles",
         )
-        met = saved(apart.join(shared, ["group", "shingle"]), "apart-members")
-        few = _paired(met.where(F.col("k") <= PAIRED), "group", "shingle")
-        pairs = saved(pairs.union(to_hub).union(few).distinct(), "pairs")
+        met = saved(apart.join(shared, ["key", "shingle"]), "apart-members")
+        few = _paired(met.where(F.col("k") <= PAIRED), "key", "shingle")
+        pairs = saved(pairs.union(_hopeful(to_hub.union(few), placed, least)).distinct(), "pairs")
         links = met.where(F.col("k") > PAIRED).select(F.col("rep").alias("a"), F.col("first").alias("b"))
-    return saved(_hopeful(pairs, placed, least).join(tested, ["a", "b"], "left_anti"), "edges")
+    return saved(pairs.join(tested, ["a", "b"], "left_anti"), "edges")
 
 
 def near_duplicates(
