@@ -24,11 +24,11 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanveil.functions.batches import list_starts, slices
 from spanveil.functions.bit_map import bit_map, may_hold
 from spanveil.functions.text import quoted
 from spanveil.functions.word_runs import WORD_CLASS, Words, WordRuns, character_tables
@@ -78,12 +78,6 @@ def _plain(segments: pa.ListArray) -> tuple[np.ndarray, list[str]]:
     return at, flat.field("piece").take(pa.array(at)).fill_null("").to_pylist()
 
 
-def _starts(lists: pa.ListArray) -> np.ndarray:
-    """Where each row's elements begin in the flat array, and the end of all; null rows have none."""
-    sizes = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
-    return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-
-
 def _run_text(piece: str, words: Words, first: int, last: int) -> str:
     """A run of words as a term's key is written."""
     return " ".join(piece[words.start[i] : words.end[i]].lower() for i in range(first, last + 1))
@@ -113,7 +107,7 @@ def _cut(segments: pa.ListArray, hits: dict[int, list[tuple[int, int, str]]]) ->
         done = k + 1
     out_pieces += pieces[done:]
     out_labels += labels[done:]
-    starts = _starts(segments)
+    starts = list_starts(segments)
     starts = starts + np.concatenate([[0], np.cumsum(grown)])[starts]
     values = pa.StructArray.from_arrays([pa.array(out_pieces, pa.string()), pa.array(out_labels, pa.string())], fields=list(_SEGMENTS_ARROW))
     offsets = pa.array(starts.astype(np.int32), mask=np.append(np.asarray(segments.is_null()), False))
@@ -141,7 +135,7 @@ def _cut_at_terms(shared, tables) -> Callable:
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         lengths, hashes, blob, begins, codes, names = shared.value
         runs = WordRuns(*tables)
-        for segments in batches:
+        for segments in slices(batches):
             at, texts = _plain(segments)
             hits: dict[int, list] = {}
             for low, high in _pieces(texts) if len(hashes) else ():
@@ -168,7 +162,7 @@ def _hashed(terms: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = WordRuns(*tables)
-        for batch in batches:
+        for batch in slices(batches):
             keys = batch.column(0).to_pylist()
             sizes = pa.array([k.count(" ") + 1 for k in keys], pa.int32())
             yield pa.RecordBatch.from_arrays(
@@ -185,10 +179,10 @@ def _likely_runs(staged: DataFrame, lengths: Sequence[int], bits: np.ndarray) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs, known = WordRuns(*tables), shared.value
-        for batch in batches:
+        for batch in slices(batches):
             rows, segments = np.asarray(batch.column(0)), batch.column(1)
             at, texts = _plain(segments)
-            starts = _starts(segments)
+            starts = list_starts(segments)
             for low, high in _pieces(texts):
                 words = runs.words(texts[low:high])
                 for first, last, found in runs.of_lengths(words, lengths):
@@ -231,19 +225,16 @@ def _cut_at_found() -> Callable:
     @F.arrow_udf(_SEGMENTS_DDL)
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         word = regex.compile(f"[{WORD_CLASS}]+")
-        for segments, found in batches:
-            starts = _starts(segments)
-            here: dict[int, list] = {}
-            for row, terms in enumerate(found.to_pylist()):
-                for t in terms or ():
-                    here.setdefault(int(starts[row]) + t["segment"], []).append(t)
-            pieces = segments.flatten().field("piece")
+        for segments, found in slices(batches):
+            terms = found.flatten()
+            row = np.repeat(np.arange(len(found)), np.diff(list_starts(found)))
+            at, of = np.unique(list_starts(segments)[row] + np.asarray(terms.field("segment")), return_inverse=True)
+            texts = segments.flatten().field("piece").take(pa.array(at)).to_pylist()
             hits: dict[int, list] = {}
-            for flat, terms in here.items():
-                piece = pieces[flat].as_py()
-                for t in terms:
-                    if " ".join(w.lower() for w in word.findall(piece[t["start"] : t["end"]])) == t["key"]:
-                        hits.setdefault(flat, []).append((t["start"], -t["end"], t["label"]))
+            columns = (terms.field(c).to_pylist() for c in ("start", "end", "label", "key"))
+            for k, start, end, label, key in zip(of.tolist(), *columns):
+                if " ".join(w.lower() for w in word.findall(texts[k][start:end])) == key:
+                    hits.setdefault(int(at[k]), []).append((start, -end, label))
             yield _cut(segments, hits)
 
     return cut
