@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -227,18 +228,21 @@ def ask(
     failures in a row end a list.
     """
 
-    @F.pandas_udf("answer string, failure string")
-    def answer(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("answer string, failure string")
+    def answer(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         predict = make_predict()
         for batch in batches:
-            asked = batch.notna().tolist()
-            prompts_here = [p for p, a in zip(batch, asked) if a]
-            got: list[tuple[str | None, str | None]] = []
-            for first in range(0, len(prompts_here), batch_size):
-                got += _answer_batch(predict, prompts_here[first : first + batch_size], give_up)
-            given = iter(got)
-            rows = [next(given) if a else (None, "no text") for a in asked]
-            yield pd.DataFrame(rows, columns=["answer", "failure"], dtype=object)
+            # Only one list of prompts and its answers are Python objects at a time.
+            cuts = np.flatnonzero(batch.is_valid())[batch_size::batch_size].tolist()
+            for low, high in zip([0, *cuts], [*cuts, len(batch)]):
+                here = batch.slice(low, high - low).to_pylist()
+                prompts_here = [p for p in here if p is not None]
+                given = iter(_answer_batch(predict, prompts_here, give_up) if prompts_here else ())
+                rows = [(None, "no text") if p is None else next(given) for p in here]
+                columns = [pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)]
+                yield pa.StructArray.from_arrays(columns, names=["answer", "failure"])
+            del batch
+            pa.default_memory_pool().release_unused()
 
     # Asking again gives another answer and costs another call, so the planner
     # must not copy the call into filters above it.
