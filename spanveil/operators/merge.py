@@ -17,12 +17,12 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanveil.functions.batches import list_starts, slices
 from spanveil.operators.answer_table import redact_with_table
 from spanveil.operators.answers import Predict, redact_with
 from spanveil.operators.detect import add_redaction, redact
@@ -81,7 +81,7 @@ def merge_spans(df: DataFrame, text_col: str, spans_cols: Sequence[str]) -> Data
     # expressions of the spans into its call, and fails to evaluate nested lambdas there.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = regex.compile(r"[\p{L}\p{N}]")
-        for batch in batches:
+        for batch in slices(batches):
             merged = _merged(batch.column(place), batch.column(len(columns)), some)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], merged], names=[*columns, "_segments"])
 
@@ -95,8 +95,7 @@ def _merged(texts: pa.Array, found: pa.StructArray, some: regex.Pattern) -> pa.L
         spans = found.field(i)
         values = spans.flatten()
         flat.append([values.field(name).to_pylist() for name in ("start", "end", "label")])
-        sizes = pc.list_value_length(spans).fill_null(0).to_numpy(zero_copy_only=False)
-        bounds.append(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]))
+        bounds.append(list_starts(spans))
     pieces, labels, ends = [], [], [0]
     for row, text in enumerate(texts.to_pylist()):
         here = set()
