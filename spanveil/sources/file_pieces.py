@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanveil.functions.batches import slices
 from spanveil.sources.shared import written
 
 PIECE_BYTES = 1 << 20
@@ -72,7 +73,7 @@ def read_file_pieces(spark: SparkSession, path: str, piece_bytes: int = PIECE_BY
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # ``last`` waits for the piece behind it, whose head it takes along.
         where, last, held, taken, chars = None, None, [], 0, 0
-        for batch in batches:
+        for batch in slices(batches):
             columns = [batch.column(i).to_pylist() for i in range(5)]
             for *here, length, value in zip(*columns):
                 if held and (here != where or (taken + length > piece_bytes and chars >= zone)):
