@@ -86,8 +86,13 @@ Output:
 
 
 def _fill(template: str, text: Column, types: Sequence[str]) -> Column:
+    before, after = _around(template, types)
+    return F.concat(F.lit(before), text, F.lit(after))
+
+
+def _around(template: str, types: Sequence[str]) -> tuple[str, str]:
     before, after = template.split("{text}")
-    return F.concat(F.lit(before.replace("{types}", ", ".join(types))), text, F.lit(after))
+    return before.replace("{types}", ", ".join(types)), after
 
 
 def chat_prompt(text: Column, types: Sequence[str] = DEFAULT_TYPES) -> Column:
@@ -117,25 +122,33 @@ def parse_answer(raw: Column) -> Column:
     field is missing or has the wrong shape, or when an entity lacks its label or
     value; these and the masked text have to be JSON strings.
     """
-    parsed = F.from_json(raw, ANSWER_DDL, {"allowSingleQuotes": "false"})
     # The parser stops behind the first document. Inside a list and inside an
     # object, text that follows it breaks one of the two.
     listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]"))), "$", "array<variant>")
     document = F.try_parse_json(F.concat(F.lit('{"x":'), raw, F.lit("}")))
-    kind = lambda path: F.schema_of_variant(F.try_variant_get(document, path, "variant"))
-    entities = F.try_variant_get(document, "$.x.pii_entities", "array<struct<label: variant, value: variant>>")
     is_text = lambda v: F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False))
-    broken = F.exists(entities, lambda e: e.isNull() | ~is_text(e["label"]) | ~is_text(e["value"]))
-    usable = (
-        document.isNotNull()
-        & (F.size(listed) == 1)
-        & (kind("$.x.redacted_text") == "STRING")
-        & entities.isNotNull()
-        & ~broken
-        & parsed["redacted_text"].isNotNull()
-        & parsed["pii_entities"].isNotNull()
-    )
-    return F.when(usable, parsed)
+
+    def sound(document: Column) -> Column:
+        entities = F.try_variant_get(document, "$.x.pii_entities", "array<struct<label: variant, value: variant>>")
+        return (
+            document.isNotNull()
+            & (F.schema_of_variant(F.try_variant_get(document, "$.x.redacted_text", "variant")) == "STRING")
+            & _bound(
+                entities,
+                lambda a: a.isNotNull() & ~F.exists(a, lambda e: e.isNull() | ~is_text(e["label"]) | ~is_text(e["value"])),
+            )
+        )
+
+    def used(parsed: Column) -> Column:
+        return F.when(parsed["redacted_text"].isNotNull() & parsed["pii_entities"].isNotNull(), parsed)
+
+    parsed = F.from_json(raw, ANSWER_DDL, {"allowSingleQuotes": "false"})
+    return F.when(_bound(document, sound) & (F.size(listed) == 1), _bound(parsed, used))
+
+
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def with_fallback(df: DataFrame, text_col: str, masked: Column, spans: Column) -> DataFrame:
@@ -217,7 +230,11 @@ def _reason(problem: Exception) -> str:
 
 
 def ask(
-    prompts: Column, make_predict: Callable[[], Predict], batch_size: int = BATCH_SIZE, give_up: int | None = None
+    prompts: Column,
+    make_predict: Callable[[], Predict],
+    batch_size: int = BATCH_SIZE,
+    give_up: int | None = None,
+    around: tuple[str, str] = ("", ""),
 ) -> Column:
     """``answer`` and ``failure`` of the caller's function, which is made once per task.
 
@@ -225,8 +242,10 @@ def ask(
     none. Spark hands over ``spark.sql.execution.arrow.maxRecordsPerBatch`` rows
     at a time; the function gets them in lists of at most ``batch_size``. Each
     prompt is asked, on its own if need be, unless ``give_up`` says how many
-    failures in a row end a list.
+    failures in a row end a list. What all prompts begin and end with goes into
+    ``around`` and is not sent with every row.
     """
+    before, after = around
 
     @F.arrow_udf("answer string, failure string")
     def answer(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -236,7 +255,7 @@ def ask(
             cuts = np.flatnonzero(batch.is_valid())[batch_size::batch_size].tolist()
             for low, high in zip([0, *cuts], [*cuts, len(batch)]):
                 here = batch.slice(low, high - low).to_pylist()
-                prompts_here = [p for p in here if p is not None]
+                prompts_here = [before + p + after for p in here if p is not None]
                 given = iter(_answer_batch(predict, prompts_here, give_up) if prompts_here else ())
                 rows = [(None, "no text") if p is None else next(given) for p in here]
                 columns = [pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)]
@@ -267,16 +286,21 @@ def redact_with(
     Rows without a usable answer keep their text, and ``failure`` gives the reason.
     Write the result before using it twice if the model is not deterministic.
     """
-    make_prompt = prompt_maker(answers)
-    asked = df.withColumn("_asked", ask(make_prompt(F.col(text_col), types), make_predict, batch_size))
+    text = F.col(text_col).cast("string")
+    asked = df.withColumn("_asked", ask(text, make_predict, batch_size, around=_around(_template(answers), types)))
     asked = asked.withColumns({"_raw": F.col("_asked.answer"), "_why": F.col("_asked.failure")}).drop("_asked")
     return read_answers(asked, text_col, types, answers, placeholder, only_types)
 
 
 def prompt_maker(answers: str) -> Callable[[Column, Sequence[str]], Column]:
+    template = _template(answers)
+    return lambda text, types: _fill(template, text, types)
+
+
+def _template(answers: str) -> str:
     if answers not in ("json", "chat"):
         raise ValueError(f"answers must be 'json' or 'chat', not {answers!r}")
-    return json_prompt if answers == "json" else chat_prompt
+    return JSON_PROMPT if answers == "json" else CHAT_PROMPT
 
 
 def read_answers(

@@ -41,6 +41,8 @@ PART_BYTES = 32 << 20
 PIECE_CHARS = 1 << 20
 # Copies of a hot term in the join.
 SALTS = 16
+# Runs of words whose label a task remembers.
+KNOWN_RUNS = 1 << 14
 
 _SEGMENTS_DDL = "array<struct<piece: string, label: string>>"
 _SEGMENTS_ARROW = pa.struct([("piece", pa.string()), ("label", pa.string())])
@@ -135,6 +137,17 @@ def _cut_at_terms(shared, tables) -> Callable:
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         lengths, hashes, blob, begins, codes, names = shared.value
         runs = WordRuns(*tables)
+        # Labels of runs that were compared as text before; how a run reads tells its words.
+        labels: dict[str, str | None] = {}
+        missing = object()
+
+        def label_of(key: bytes, k: int, wanted: np.uint64) -> str | None:
+            while k < len(hashes) and hashes[k] == wanted:
+                if blob[begins[k] : begins[k + 1]] == key:
+                    return names[codes[k]]
+                k += 1
+            return None
+
         for segments in slices(batches):
             at, texts = _plain(segments)
             hits: dict[int, list] = {}
@@ -142,15 +155,17 @@ def _cut_at_terms(shared, tables) -> Callable:
                 words = runs.words(texts[low:high])
                 for first, last, found in runs.of_lengths(words, lengths):
                     place = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
-                    for i in np.flatnonzero(hashes[place] == found):
-                        text = low + int(words.text[first[i]])
-                        key = _run_text(texts[text], words, first[i], last[i]).encode()
-                        k = int(place[i])
-                        while k < len(hashes) and hashes[k] == found[i]:
-                            if blob[begins[k] : begins[k + 1]] == key:
-                                hit = int(words.start[first[i]]), -int(words.end[last[i]]), names[codes[k]]
-                                hits.setdefault(int(at[text]), []).append(hit)
-                            k += 1
+                    hit = np.flatnonzero(hashes[place] == found)
+                    of, begin, end = low + words.text[first[hit]], words.start[first[hit]], words.end[last[hit]]
+                    for i, text, a, b, flat in zip(hit.tolist(), of.tolist(), begin.tolist(), end.tolist(), at[of].tolist()):
+                        run = texts[text][a:b]
+                        if (label := labels.get(run, missing)) is missing:
+                            if len(labels) == KNOWN_RUNS:
+                                labels.clear()
+                            key = _run_text(texts[text], words, first[i], last[i]).encode()
+                            label = labels[run] = label_of(key, int(place[i]), found[i])
+                        if label is not None:
+                            hits.setdefault(flat, []).append((a, -b, label))
             yield _cut(segments, hits)
 
     return cut
@@ -262,6 +277,18 @@ def redact_with_lists(
     ``dictionary`` has the columns ``term`` and ``label``. Of several labels of a
     term the first in order counts. A list of more than ``part_bytes`` is joined.
     """
+    return add_redaction(with_list_segments(df, text_col, dictionary, types, rules, part_bytes))
+
+
+def with_list_segments(
+    df: DataFrame,
+    text_col: str,
+    dictionary: DataFrame,
+    types: Sequence[str] | None = None,
+    rules: Iterable[Rule] = DEFAULT_RULES,
+    part_bytes: int = PART_BYTES,
+) -> DataFrame:
+    """Append ``_segments``, the text cut at rule matches and listed terms."""
     spark = df.sparkSession
     terms = _terms(dictionary, types)
     size = list_bytes(dictionary, types)
@@ -270,12 +297,12 @@ def redact_with_lists(
     if size > part_bytes:
         if df.isStreaming:
             raise ValueError("a long list is joined batch by batch: write the stream with redact_stream")
-        return add_redaction(_with_long_list(staged, columns, terms))
+        return _with_long_list(staged, columns, terms)
     if size:
         lengths = [r[0] for r in terms.select(F.size(F.split("key", " "))).distinct().collect()]
         shared = spark.sparkContext.broadcast(_flat_list(terms, lengths))
         staged = staged.select(*columns, _cut_at_terms(shared, character_tables())("_segments").alias("_segments"))
-    return add_redaction(staged)
+    return staged
 
 
 def _with_long_list(staged: DataFrame, columns: Sequence[str], terms: DataFrame) -> DataFrame:

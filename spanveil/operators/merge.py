@@ -7,7 +7,8 @@ then the first label. Each stretch of one span is an entity. So whatever any
 detector found is masked, and a span that better ones cut leaves its pieces, but
 for pieces without a letter or digit.
 
-The sweep is n log n in the spans of a row and stays inside the row.
+The sweep is n log n in the spans of a row and stays inside the row. Rows whose spans
+cross few others are swept together, as arrays.
 """
 
 from __future__ import annotations
@@ -17,20 +18,24 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanveil.functions.batches import list_starts, slices
+from spanveil.functions.spans import SPANS_DDL
 from spanveil.operators.answer_table import redact_with_table
 from spanveil.operators.answers import Predict, redact_with
-from spanveil.operators.detect import add_redaction, redact
-from spanveil.operators.lookup import PART_BYTES, redact_with_lists
-from spanveil.operators.rules import DEFAULT_RULES, DEFAULT_TYPES, Rule
+from spanveil.operators.detect import with_segments
+from spanveil.operators.lookup import PART_BYTES, with_list_segments
+from spanveil.operators.rules import DEFAULT_RULES, DEFAULT_TYPES, Rule, select_rules
 
 DETECTORS = ("rules", "lists", "model")
 Span = tuple[int, int, int, str]
+# Spans of a row are laid on the text one by one where each covers at most so many stretches on average.
+FEW = 32
 
 
 def swept(spans: Sequence[Span]) -> Iterator[tuple[int, int, int]]:
@@ -54,28 +59,18 @@ def swept(spans: Sequence[Span]) -> Iterator[tuple[int, int, int]]:
             began, holder = edge, best
 
 
-def _segments_of(text: str, spans: Sequence[Span], some: regex.Pattern) -> tuple[list[str], list[str | None]]:
-    pieces, labels, at = [], [], 0
-    for start, end, i in swept(spans):
-        whole = end - start == spans[i][1] - spans[i][0]
-        if whole or some.search(text, start, end):
-            pieces += [text[at:start], text[start:end]]
-            labels += [None, spans[i][3]]
-            at = end
-    return [*pieces, text[at:]], [*labels, None]
-
-
 def merge_spans(df: DataFrame, text_col: str, spans_cols: Sequence[str]) -> DataFrame:
     """Replace the span columns, the best first, by ``redacted_text`` and ``pii_entities``.
 
-    Null spans and spans that are empty or reach outside of the text are cut to
-    what lies inside, or left out; values are read from the text.
+    A column holds spans, or the segments of the whole text whose labelled ones
+    are the spans. Null spans and spans that are empty or reach outside of the
+    text are cut to what lies inside, or left out; values are read from the text.
     """
 
     columns = [c for c in df.columns if c not in (*spans_cols, "redacted_text", "pii_entities")]
     rows = df.select(*columns, F.struct(*(F.col(c).alias(f"d{i}") for i, c in enumerate(spans_cols))).alias("_found"))
     place = columns.index(text_col)
-    segments = T.StructField("_segments", T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("piece", "label")])))
+    added = T.StructType.fromDDL(f"redacted_text STRING, pii_entities {SPANS_DDL}")
 
     # A step of the plan and not a function in an expression: Spark would put the
     # expressions of the spans into its call, and fails to evaluate nested lambdas there.
@@ -83,36 +78,92 @@ def merge_spans(df: DataFrame, text_col: str, spans_cols: Sequence[str]) -> Data
         some = regex.compile(r"[\p{L}\p{N}]")
         for batch in slices(batches):
             merged = _merged(batch.column(place), batch.column(len(columns)), some)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], merged], names=[*columns, "_segments"])
-
-    return add_redaction(rows.mapInArrow(run, T.StructType([*(df.schema[c] for c in columns), segments])))
-
-
-def _merged(texts: pa.Array, found: pa.StructArray, some: regex.Pattern) -> pa.ListArray:
-    """The segments of each text, by the span lists in the fields of ``found``."""
-    flat, bounds = [], []
-    for i in range(found.type.num_fields):
-        spans = found.field(i)
-        values = spans.flatten()
-        flat.append([values.field(name).to_pylist() for name in ("start", "end", "label")])
-        bounds.append(list_starts(spans))
-    pieces, labels, ends = [], [], [0]
-    for row, text in enumerate(texts.to_pylist()):
-        here = set()
-        for d, (starts, stops, names) in enumerate(flat if text is not None else ()):
-            for k in range(bounds[d][row], bounds[d][row + 1]):
-                if starts[k] is not None and stops[k] is not None and names[k] is not None:
-                    start, end = max(starts[k], 0), min(stops[k], len(text))
-                    if start < end:
-                        here.add((start, end, d, names[k]))
-        if text is not None:
-            more, kinds = _segments_of(text, sorted(here), some) if here else ([text], [None])
-            pieces += more
-            labels += kinds
-        ends.append(len(pieces))
-    offsets = pa.array(np.array(ends, np.int32), mask=np.append(np.asarray(texts.is_null()), False))
-    values = pa.StructArray.from_arrays([pa.array(pieces, pa.string()), pa.array(labels, pa.string())], names=["piece", "label"])
-    return pa.ListArray.from_arrays(offsets, values)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *merged], names=[*columns, *added.names])
+
+    return rows.mapInArrow(run, T.StructType([*(df.schema[c] for c in columns), *added]))
+
+
+def _flat_spans(found: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Row, start, end and label of the spans of a column; those with a null among them are left out."""
+    bounds = list_starts(found)
+    row = np.repeat(np.arange(len(found)), np.diff(bounds))
+    # The fields with the nulls of the structs.
+    fields = dict(zip((f.name for f in found.type.value_type), found.flatten().flatten()))
+    label = fields["label"]
+    if "piece" in fields:
+        ends = np.concatenate([[0], np.cumsum(pc.utf8_length(fields["piece"]).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+        first = ends[bounds[row]]
+        start, end, good = ends[:-1] - first, ends[1:] - first, label.is_valid()
+    else:
+        good = pc.and_(pc.and_(fields["start"].is_valid(), fields["end"].is_valid()), label.is_valid())
+        start, end = (fields[c].fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "end"))
+    kept = np.asarray(good)
+    return row[kept], start[kept], end[kept], label.filter(good)
+
+
+def _held(spans: list[tuple], lengths: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Row, start, end and label number of the best span of each stretch, whether it is the whole span, and the labels."""
+    row, start, end = (np.concatenate([s[i] for s in spans]) for i in range(3))
+    detector = np.repeat(np.arange(len(spans)), [len(s[0]) for s in spans])
+    coded = pa.concat_arrays([s[3].cast(pa.string()) for s in spans]).dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    number = np.argsort(np.argsort(np.array(names, dtype=object), kind="stable"))[coded.indices.to_numpy()] if names else np.zeros(0, np.int64)
+    start, end = np.maximum(start, 0), np.minimum(end, lengths[row])
+    order = np.lexsort((number, start, start - end, detector, row))
+    order = order[(start < end)[order]]
+    row, start, end, number, detector = row[order], start[order], end[order], number[order], detector[order]
+    # Places in all texts, one behind the other; stretches between the edges of spans go to the first span in order.
+    base = np.cumsum(lengths + 1) - lengths - 1
+    edges = np.unique(np.concatenate([base[row] + start, base[row] + end]))
+    low, high = np.searchsorted(edges, base[row] + start), np.searchsorted(edges, base[row] + end)
+    holder = np.full(len(edges), len(row))
+    size = high - low
+    many = np.bincount(row, size, len(lengths)) > FEW * np.bincount(row, minlength=len(lengths))
+    direct = np.flatnonzero(~many[row])[::-1]
+    size = size[direct]
+    inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    # Of several that are put to a place the last one stays.
+    holder[np.repeat(low[direct], size) + inside] = np.repeat(direct, size)
+    for r in np.flatnonzero(many):
+        first, last = np.searchsorted(row, [r, r + 1])
+        here = [(int(start[i]), int(end[i]), int(detector[i]), int(number[i])) for i in range(first, last)]
+        for begin, stop, i in swept(here):
+            holder[np.searchsorted(edges, base[r] + begin) : np.searchsorted(edges, base[r] + stop)] = first + i
+    changes = np.flatnonzero(np.concatenate([[True], holder[1:] != holder[:-1]])) if len(holder) else np.zeros(0, np.int64)
+    stops = np.append(changes[1:], len(holder))
+    held = holder[changes] < len(row)
+    begin, by = edges[changes[held]], holder[changes[held]]
+    stop = edges[stops[held]]
+    whole = stop - begin == end[by] - start[by]
+    return row[by], begin - base[row[by]], stop - base[row[by]], number[by], whole, sorted(names)
+
+
+def _merged(texts: pa.Array, found: pa.StructArray, some: regex.Pattern) -> tuple[pa.Array, pa.Array]:
+    """The masked form and the entities of each text, by the columns in the fields of ``found``."""
+    lengths = pc.utf8_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    spans = [_flat_spans(found.field(i)) for i in range(found.type.num_fields)]
+    row, start, end, number, whole, names = _held(spans, lengths)
+    strings = texts.to_pylist()
+    kept = whole.copy()
+    for k in np.flatnonzero(~whole).tolist():
+        kept[k] = some.search(strings[row[k]], start[k], end[k]) is not None
+    row, start, end, number = row[kept], start[kept], end[kept], number[kept]
+    bounds = np.searchsorted(row, np.arange(len(strings) + 1))
+    masks = [f"[{name}]" for name in names]
+    starts, ends, numbers = start.tolist(), end.tolist(), number.tolist()
+    masked, values = list(strings), []
+    rows = np.flatnonzero(np.diff(bounds))
+    for r, low, high in zip(rows.tolist(), bounds[rows].tolist(), bounds[rows + 1].tolist()):
+        text, at, parts = strings[r], 0, []
+        for k in range(low, high):
+            parts += [text[at : starts[k]], masks[numbers[k]]]
+            at = ends[k]
+            values.append(text[starts[k] : at])
+        masked[r] = "".join([*parts, text[at:]])
+    labels = pa.array(names, pa.string()).take(pa.array(number))
+    columns = [labels, pa.array(values, pa.string()), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))]
+    entities = pa.StructArray.from_arrays(columns, names=["label", "value", "start", "end"])
+    return pa.array(masked, pa.string()), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), entities)
 
 
 def redact_merged(
@@ -141,9 +192,9 @@ def redact_merged(
     # A model is asked first: its answers are what is most costly to have again.
     for detector in sorted((d for d in order if given[d]), key=DETECTORS.index, reverse=True):
         if detector == "rules":
-            found = redact(found, text_col, types, rules)
+            found = with_segments(found, text_col, select_rules(types, rules))
         elif detector == "lists":
-            found = redact_with_lists(found, text_col, dictionary, types, (), part_bytes)
+            found = with_list_segments(found, text_col, dictionary, types, (), part_bytes)
         else:
             asked = DEFAULT_TYPES if types is None else types
             if answer_table is not None:
@@ -152,7 +203,7 @@ def redact_merged(
                 found = redact_with(found, text_col, make_predict, asked, answers, only_types=types is not None)
             told = ["failed", "failure"]
         spans_cols.append(f"_spans_{detector}")
-        found = found.withColumnRenamed("pii_entities", spans_cols[-1]).select(
+        found = found.withColumnRenamed("_segments" if detector != "model" else "pii_entities", spans_cols[-1]).select(
             *[c for c in columns if c not in told], *told, *spans_cols
         )
     best_first = [f"_spans_{d}" for d in order if given[d]]
